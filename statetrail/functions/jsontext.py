@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import sys
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -18,19 +21,49 @@ from statetrail.functions.let import let
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+MAP = "map<string,variant>"
+
+
 def as_variant(text: Column) -> Column:
-    """VARIANT of a JSON text, NULL when it is not JSON."""
-    return F.try_parse_json(text)
+    """VARIANT of a JSON text, NULL when the text as a whole is not JSON.
+
+    The parser stops after the first value. Text inside brackets only parses to
+    its end if the text is all there is, or closes the bracket itself, which it
+    cannot do for both kinds of bracket.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    one = let(
+        F.when(named.isNotNull(), listed.cast("array<variant>")), lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))
+    )
+    return one
+
+
+def json_object(text: Column, needs: list[str]) -> Column:
+    """Array with the MAP<STRING, VARIANT> of a line that is one JSON object and
+    has the needed keys, NULL or empty otherwise.
+
+    Text after the object, a second object and repeated keys make it a bad line.
+    """
+    listed = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), f"array<{MAP}>", {"allowSingleQuotes": "false"}
+    )
 
+    def good(entries: Column) -> Column:
+        keys = F.map_keys(entries)
+        wanted = [entries[k].isNotNull() for k in needs]
+        return reduce(and_, wanted, F.size(F.array_distinct(keys)) == F.size(keys))
 
-def as_map(variant: Column) -> Column:
-    """MAP<STRING, VARIANT> of a JSON object, NULL for every other value."""
     return let(
-        variant,
-        lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v.cast("map<string,variant>")),
+        listed, lambda a: F.when((F.size(a) == 1) & F.rtrim(text).endswith("}"), F.filter(a, good))
     )
 
 
+def text_of(value: Column) -> Column:
+    """Text of a VARIANT: a string as it is, anything else as JSON."""
+    return F.try_variant_get(value, "$", "string")
+
+
 def comparable(entries: Column, ignored: list[str]) -> Column:
     """Ordered (key, JSON text) array of a MAP<STRING, VARIANT> without some keys.
 
@@ -40,27 +73,45 @@ def comparable(entries: Column, ignored: list[str]) -> Column:
     pairs = F.transform(
         F.map_entries(kept), lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("v"))
     )
-    return F.array_sort(pairs)
+    return F.sort_array(pairs)
+
+
+_NUMBER = re.compile(r"-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?", re.ASCII)
+_WORDS = {"true": True, "false": False, "null": None}
+_NOT_JSON = object()
 
 
 def _reject(name: str):
     raise ValueError(name)
 
 
+def _load(text: str):
+    """Value of a JSON text. What cannot be JSON by its first character, which is
+    most text, is told without raising an exception."""
+    bare = text.strip(" \t\r\n")
+    first = bare[:1]
+    if first and first in '{["':
+        try:
+            return json.loads(bare, parse_constant=_reject)
+        except (ValueError, RecursionError):
+            return _NOT_JSON
+    if first and first in "-0123456789":
+        if not _NUMBER.fullmatch(bare):
+            return _NOT_JSON
+        number = json.loads(bare)
+        return _NOT_JSON if isinstance(number, float) and math.isinf(number) else number
+    return _WORDS.get(bare, _NOT_JSON)
+
+
 def _unwrap(value):
+    if isinstance(value, str):
+        inner = _load(value)
+        return value if inner is _NOT_JSON else _unwrap(inner)
     if isinstance(value, dict):
         return {k: _unwrap(v) for k, v in value.items()}
     if isinstance(value, list):
         return [_unwrap(v) for v in value]
-    if not isinstance(value, str):
-        return value
-    try:
-        inner = json.loads(value, parse_constant=_reject)
-    except (ValueError, RecursionError):
-        return value
-    if isinstance(inner, float) and math.isinf(inner):
-        return value
-    return _unwrap(inner)
+    return value
 
 
 @F.pandas_udf(StringType())
@@ -87,9 +138,9 @@ def unwrap_paths(text: Column, paths: list[str]) -> Column:
         found = {p: F.try_variant_get(whole, f"$.{p}", "variant") for p in paths}
         return F.struct(
             *[
-                F.coalesce(F.try_parse_json(F.try_variant_get(v, "$", "string")), v).alias(p)
+                F.coalesce(as_variant(text_of(v)), v).alias(p)
                 for p, v in found.items()
             ]
         )
 
-    return let(as_variant(text), places)
+    return let(F.try_parse_json(text), places)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from statetrail.operators.slices import HOT_ROWS, previous
+from statetrail.operators.slices import HOT_ROWS, changed
 
 
 def changes(
@@ -22,6 +21,4 @@ def changes(
     else the rows carry.
     """
     keys = [key] if isinstance(key, str) else key
-    state = F.struct(*compare)
-    seen = previous(df, keys, order, state, hot_rows)
-    return seen.filter(F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(state)).drop("_prev")
+    return changed(df, keys, order, compare, hot_rows).filter("_changed").drop("_changed")

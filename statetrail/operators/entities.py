@@ -31,6 +31,12 @@ def extract_entities(
     return lines.withColumn("entity_id", F.explode(mentioned(F.col(text), pattern, normalize)))
 
 
+def fits_broadcast(entities: DataFrame, max_ids: int = BROADCAST_IDS) -> bool:
+    """Whether there are at most ``max_ids`` distinct ids. An id is some 40 bytes,
+    so the default bounds a broadcast by 100 MB."""
+    return entities.select("entity_id").distinct().limit(max_ids + 1).count() <= max_ids
+
+
 def match_entities(
     lines: DataFrame,
     entities: DataFrame,
@@ -42,17 +48,17 @@ def match_entities(
 ) -> DataFrame:
     """One row per line and wanted id in it.
 
-    ``broadcast="auto"`` counts the ids, stopping at ``max_broadcast_ids``: an id
-    is some 40 bytes, so the default keeps the broadcast under 100 MB and lets
+    ``broadcast="auto"`` counts the ids and broadcasts them when they are few, so
     the lines stay where they are. Beyond that the join shuffles, with nothing
-    hinted; adaptive execution then splits the partition of a hot id.
+    hinted; adaptive execution then splits the partition of a hot id. Pass the
+    outcome of ``fits_broadcast`` to count once for several sources.
     """
     if normalize:
         plain = F.lower(F.replace("entity_id", F.lit("-"), F.lit("")))
         entities = entities.select(plain.alias("entity_id"))
-    wanted = entities.select("entity_id").distinct()
     if broadcast == "auto":
-        broadcast = wanted.limit(max_broadcast_ids + 1).count() <= max_broadcast_ids
+        broadcast = fits_broadcast(entities, max_broadcast_ids)
+    wanted = entities.select("entity_id").distinct()
     if broadcast:
         wanted = F.broadcast(wanted)
     return extract_entities(lines, text, pattern, normalize).join(wanted, "entity_id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from statetrail.functions import patterns as P
 from statetrail.functions.fields import matched_parts, regex_parts
-from statetrail.functions.jsontext import as_map, as_variant, comparable, unwrap_json, unwrap_paths
+from statetrail.functions.jsontext import comparable, json_object, text_of, unwrap_json, unwrap_paths
 from statetrail.functions.let import let, only_if
 from statetrail.operators.records import settle
 
@@ -97,14 +97,14 @@ def decode_messages(
     """
     if paths is None:
         lines_in = lines.withColumn("_body", unwrap_json(F.col(text)))
-        ts = F.try_variant_get(as_variant(F.col("_body")), "$.timestamp", "string")
+        ts = F.try_variant_get(F.try_parse_json("_body"), "$.timestamp", "string")
         whole = F.struct(ts.alias("ts_text"), F.col("_body").alias("body"))
     else:
         keys = list(dict.fromkeys(["timestamp", *paths]))
         lines_in = lines
         whole = let(
             unwrap_paths(F.col(text), keys),
-            lambda b: F.struct(F.try_variant_get(b["timestamp"], "$", "string").alias("ts_text"), b.alias("body")),
+            lambda b: F.struct(text_of(b["timestamp"]).alias("ts_text"), b.alias("body")),
         )
     parsed = settle(lines_in, only_if(whole, lambda m: m["ts_text"].isNotNull()), on_bad_record, text)
     return parsed.select(*lines.columns, "parse_ok", "_hit.ts_text", "_hit.body")
@@ -113,18 +113,16 @@ def decode_messages(
 def parse_states(lines: DataFrame, text: str = "value", on_bad_record: str = "fail") -> DataFrame:
     """VM states: entity_id, ts_text, ``body`` (the whole object as a map of
     VARIANTs) and ``state``, the comparable form of everything but the timestamp."""
-
-    def fields(body: Column) -> Column:
-        return F.struct(
-            F.try_variant_get(body["uuid"], "$", "string").alias("entity_id"),
-            F.try_variant_get(body["timestamp"], "$", "string").alias("ts_text"),
-            body.alias("body"),
-        )
-
-    whole = let(as_map(as_variant(F.col(text))), fields)
-    hit = only_if(whole, lambda s: s["entity_id"].isNotNull() & s["ts_text"].isNotNull())
-    parsed = settle(lines, hit, on_bad_record, text).select(*lines.columns, "parse_ok", "_hit.*")
-    return parsed.withColumn("state", comparable(F.col("body"), ["timestamp"]))
+    hit = json_object(F.col(text), ["uuid", "timestamp"])
+    parsed = settle(lines, hit, on_bad_record, text)
+    return parsed.select(
+        *lines.columns,
+        "parse_ok",
+        text_of(F.col("_hit")["uuid"]).alias("entity_id"),
+        text_of(F.col("_hit")["timestamp"]).alias("ts_text"),
+        F.col("_hit").alias("body"),
+        comparable(F.col("_hit"), ["timestamp"]).alias("state"),
+    )
 
 
 def as_ops(parsed: DataFrame, source: str, fields: list[str] | None = None, seq: str = "seq") -> DataFrame:

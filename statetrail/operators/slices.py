@@ -12,7 +12,9 @@ the limit do two narrow passes over that group follow.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,19 +115,25 @@ def _split_points(df: DataFrame, hot: DataFrame, keys: list[str], order: list[st
     return df.sparkSession.createDataFrame(found, schema)
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Add ``_prev``, the struct ``value`` of the row before, NULL on the first row."""
-    s = cut(df.withColumn("_value", value), keys, order, hot_rows)
-    lagged = F.lag("_value").over(s.window())
-    if not s.hot:
-        return s.df.withColumn("_prev", lagged).drop("_slice", "_value")
-    last = s.per_slice(F.max_by("_value", F.struct(*order)).alias("_last"))
-    carried = last.select(*keys, "_slice", F.lag("_last").over(s.across()).alias("_carried"))
-    return (
-        s.hand_over(carried)
-        .withColumn("_prev", F.coalesce(lagged, F.col("_carried")))
-        .drop("_slice", "_value", "_carried")
-    )
+def changed(df: DataFrame, keys: list[str], order: list[str], compare: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add ``_changed``: whether a row is the first of its group or differs in any
+    ``compare`` column from the row before."""
+    s = cut(df, keys, order, hot_rows)
+    w = s.window()
+    seen = {f"_prev_{i}": F.lag(c).over(w) for i, c in enumerate(compare)}
+    with_prev = s.df
+    if s.hot:
+        last = s.per_slice(F.max_by(F.struct(*compare), F.struct(*order)).alias("_last"))
+        carried = last.select(*keys, "_slice", F.lag("_last").over(s.across()).alias("_carried"))
+        with_prev = s.hand_over(carried)
+    with_prev = with_prev.withColumns({"_first": F.row_number().over(w) == 1, **seen})
+    moved = reduce(or_, [~F.col(f"_prev_{i}").eqNullSafe(F.col(c)) for i, c in enumerate(compare)])
+    at_start = F.lit(True)
+    if s.hot:
+        before = F.col("_carried")
+        at_start = before.isNull() | ~before.eqNullSafe(F.struct(*compare))
+    flagged = with_prev.withColumn("_changed", F.when(F.col("_first"), at_start).otherwise(moved))
+    return flagged.drop("_slice", "_carried", "_first", *seen)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statetrail.functions import patterns as P
-from statetrail.functions.jsontext import as_map, as_variant
-from statetrail.functions.let import let, only_if
+from statetrail.functions.jsontext import json_object, text_of
 from statetrail.functions.tagged import decode_tagged, map_entry
 from statetrail.operators.changes import changes
 from statetrail.operators.records import settle
@@ -20,17 +19,15 @@ from statetrail.operators.slices import HOT_ROWS
 
 def parse_snapshots(lines: DataFrame, text: str = "value", on_bad_record: str = "fail") -> DataFrame:
     """Add ``host``, ``ts_text`` and ``tables``, a map of VARIANTs."""
-
-    def fields(snap: Column) -> Column:
-        return F.struct(
-            F.try_variant_get(snap["IP"], "$", "string").alias("host"),
-            F.try_variant_get(snap["timestamp"], "$", "string").alias("ts_text"),
-            F.map_filter(snap, lambda k, v: ~k.isin(P.SNAPSHOT_META)).alias("tables"),
-        )
-
-    whole = let(as_map(as_variant(F.col(text))), fields)
-    hit = only_if(whole, lambda s: s["host"].isNotNull() & s["ts_text"].isNotNull())
-    return settle(lines, hit, on_bad_record, text).select(*lines.columns, "parse_ok", "_hit.*")
+    hit = json_object(F.col(text), P.SNAPSHOT_META)
+    parsed = settle(lines, hit, on_bad_record, text)
+    return parsed.select(
+        *lines.columns,
+        "parse_ok",
+        text_of(F.col("_hit")["IP"]).alias("host"),
+        text_of(F.col("_hit")["timestamp"]).alias("ts_text"),
+        F.map_filter("_hit", lambda k, v: ~k.isin(P.SNAPSHOT_META)).alias("tables"),
+    )
 
 
 def _headings(table: Column) -> Column:
@@ -56,7 +53,7 @@ def snapshot_digest(tables: Column, ignored: str = "statistics") -> Column:
         )
 
     content = F.transform(
-        F.array_sort(F.map_keys(tables)),
+        F.sort_array(F.map_keys(tables)),
         lambda name: F.struct(name.alias("table"), rows(F.element_at(tables, name)).alias("rows")),
     )
     return F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256)
@@ -101,7 +98,7 @@ def record_id(cols: Column) -> Column:
 def comparable_cells(cols: Column, ignored: list[str] | None = None) -> Column:
     """Ordered entries without the ignored columns; has equality, unlike the map."""
     skip = P.RECORD_IGNORED if ignored is None else ignored
-    return F.array_sort(F.map_entries(F.map_filter(cols, lambda k, v: ~k.isin(skip))))
+    return F.sort_array(F.map_entries(F.map_filter(cols, lambda k, v: ~k.isin(skip))))
 
 
 def record_changes(

@@ -68,21 +68,21 @@ def vm_changes(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFram
     return kept.select("entity_id", "ts_text", "seq", F.col("status_text").alias("state"))
 
 
-def log_ops(spark: SparkSession, sf_dir: str, entity: str, ids: DataFrame | None = None) -> DataFrame:
-    return pa.as_ops(pa.parse_log(_wanted(role_lines(spark, sf_dir, "log", entity), ids)), "log", LOG_FIELDS)
+def log_ops(spark: SparkSession, sf_dir: str, entity: str, ids: DataFrame | None = None, small="auto") -> DataFrame:
+    return pa.as_ops(pa.parse_log(_wanted(role_lines(spark, sf_dir, "log", entity), ids, small)), "log", LOG_FIELDS)
 
 
-def msg_ops(spark: SparkSession, sf_dir: str, entity: str, ids: DataFrame | None = None) -> DataFrame:
+def msg_ops(spark: SparkSession, sf_dir: str, entity: str, ids: DataFrame | None = None, small="auto") -> DataFrame:
     lines = bare(role_lines(spark, sf_dir, "msg", entity))
-    return pa.as_ops(pa.decode_messages(_wanted(lines, ids)), "msg")
+    return pa.as_ops(pa.decode_messages(_wanted(lines, ids, small)), "msg")
 
 
-def db_ops(spark: SparkSession, sf_dir: str, entity: str, ids: DataFrame | None = None) -> DataFrame:
-    return pa.as_ops(pa.parse_db(_wanted(role_lines(spark, sf_dir, "db", entity), ids)), "db", DB_FIELDS)
+def db_ops(spark: SparkSession, sf_dir: str, entity: str, ids: DataFrame | None = None, small="auto") -> DataFrame:
+    return pa.as_ops(pa.parse_db(_wanted(role_lines(spark, sf_dir, "db", entity), ids, small)), "db", DB_FIELDS)
 
 
-def _wanted(lines: DataFrame, ids: DataFrame | None) -> DataFrame:
-    return en.extract_entities(lines) if ids is None else en.match_entities(lines, ids)
+def _wanted(lines: DataFrame, ids: DataFrame | None, small) -> DataFrame:
+    return en.extract_entities(lines) if ids is None else en.match_entities(lines, ids, broadcast=small)
 
 
 def all_ops(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
@@ -385,7 +385,8 @@ def correlated(spark, sf_dir, seconds=300):
     """From lines to correlation: histories, their ids, three matched timelines."""
     states = vm_changes(spark, sf_dir)
     ids = en.entity_ids(vm_states(spark, sf_dir))
-    ops = co.union_ops([f(spark, sf_dir, "vm", ids) for f in (log_ops, msg_ops, db_ops)])
+    small = en.fits_broadcast(ids)
+    ops = co.union_ops([f(spark, sf_dir, "vm", ids, small) for f in (log_ops, msg_ops, db_ops)])
     return co.correlate(states, ops, seconds=seconds)
 
 
