@@ -51,7 +51,7 @@ def json_object(text: Column, needs: list[str]) -> Column:
 
     def good(entries: Column) -> Column:
         keys = F.map_keys(entries)
-        wanted = [entries[k].isNotNull() for k in needs]
+        wanted = [text_of(entries[k]).isNotNull() for k in needs]
         return reduce(and_, wanted, F.size(F.array_distinct(keys)) == F.size(keys))
 
     return let(

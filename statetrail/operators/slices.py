@@ -150,3 +150,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | N
         .withColumn("pos", place + F.coalesce("_before", F.lit(0).cast("bigint")))
         .drop("_slice", "_before")
     )
+
+
+def next_flagged(df: DataFrame, keys: list[str], place: str, flag: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add ``_next``, the place of the next flagged row after each row of a group."""
+    s = cut(df, keys, [place], hot_rows)
+    spot = F.when(F.col(flag), F.col(place))
+    later = Window.partitionBy(*keys, "_slice").orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.min(spot).over(later)
+    if not s.hot:
+        return s.df.withColumn("_next", inside).drop("_slice")
+    firsts = s.per_slice(F.min(spot).alias("_first"))
+    behind = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = firsts.select(*keys, "_slice", F.min("_first").over(behind).alias("_ahead"))
+    return s.hand_over(carried).withColumn("_next", F.coalesce(inside, "_ahead")).drop("_slice", "_ahead")

@@ -38,31 +38,49 @@ def _data(table: Column) -> Column:
     return F.try_variant_get(table, "$.data", "array<array<variant>>")
 
 
+def _row_texts(table: Column, ignored: str) -> Column:
+    """Rows of a table as arrays of cell texts, one column left out."""
+    skip = F.array_position(_headings(table), ignored) - 1
+    return F.transform(
+        _data(table),
+        lambda row: F.transform(row, lambda c, i: F.when(skip == i, None).otherwise(F.to_json(c))),
+    )
+
+
+def _digest(value: Column) -> Column:
+    return F.sha2(F.to_json(value, {"ignoreNullFields": "false"}), 256)
+
+
 def snapshot_digest(tables: Column, ignored: str = "statistics") -> Column:
     """SHA-256 of all tables in name order, rows in place, one column left out.
 
     The digest stands for the snapshot in comparisons, so that shuffles and sorts
     do not compare whole databases.
     """
-
-    def rows(table: Column) -> Column:
-        skip = F.array_position(_headings(table), ignored) - 1
-        return F.transform(
-            _data(table),
-            lambda row: F.transform(row, lambda c, i: F.when(skip == i, None).otherwise(F.to_json(c))),
-        )
-
     content = F.transform(
         F.sort_array(F.map_keys(tables)),
-        lambda name: F.struct(name.alias("table"), rows(F.element_at(tables, name)).alias("rows")),
+        lambda name: F.struct(
+            name.alias("table"), _row_texts(F.element_at(tables, name), ignored).alias("rows")
+        ),
+    )
+    return _digest(content)
+
+
+def table_rows(snapshots: DataFrame, ignored: str = "statistics") -> DataFrame:
+    """A row per table row: table, row_pos and a digest of the compared cells."""
+    kept = [c for c in snapshots.columns if c != "tables"]
+    tables = snapshots.select(*kept, F.explode("tables").alias("table", "_table"))
+    rows = tables.select(
+        *kept, "table", F.posexplode(_row_texts(F.col("_table"), ignored)).alias("row_pos", "_row")
     )
-    return F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256)
+    return rows.select(*kept, "table", "row_pos", _digest(F.col("_row")).alias("digest"))
 
 
 def snapshot_changes(
     snapshots: DataFrame, order: list[str] | None = None, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
-    """First snapshot of every run of equal ones per host; added and removed rows count."""
+    """First snapshot of every run of equal ones per host; added and removed rows
+    count. See ``prefix_changes`` for the comparison that ignores those."""
     digested = snapshots.withColumn("digest", snapshot_digest(F.col("tables")))
     return changes(digested, "host", order or ["ts_text", "seq"], ["digest"], hot_rows)
 

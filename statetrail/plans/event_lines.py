@@ -35,6 +35,8 @@ BASE = [
     # an entity per user, one per user and week, and one per neighbouring user
     ("uuid", _SHAPE.replace("{h}", "md5(cast(user_id as {S}))")),
     ("vm", _SHAPE.replace("{h}", "md5(cast(user_id as {S})||'/'||{week})")),
+    ("link", "CASE WHEN event_type='error' THEN 'down' ELSE 'up' END"),
+    ("wk", "{week}"),
     ("peer", _SHAPE.replace("{h}", "md5(cast(user_id+1 as {S}))")),
 ]
 
@@ -63,6 +65,11 @@ LINES = {
     "'\",[\"map\",[[\"rx\",'||es||']]],[\"map\",[[\"iface-id\",\"if-'||us||'\"]]]]]}}, "
     "\"Bridge\": {{\"headings\": [\"_uuid\",\"ports\"], \"data\": [[[\"uuid\",\"br-'||cast(user_id%8 as {S})||"
     "'\"],[\"set\",[[\"uuid\",\"p1\"],[\"uuid\",\"p2\"]]]]]}}}},'",
+    # one table of one to three rows, so that comparing the rows both have is not transitive
+    "ports": "'{{\"timestamp\": \"'||ts_ms||'\", \"IP\": \"10.1.0.'||cast(user_id%8 as {S})||"
+    "'\", \"Port\": {{\"headings\": [\"name\",\"statistics\"], \"data\": [[\"'||link||'\",'||es||']'||"
+    "CASE WHEN event_id%3>0 THEN ',[\"'||event_type||'\",'||es||']' ELSE '' END||"
+    "CASE WHEN event_id%3>1 THEN ',[\"'||wk||'\",'||es||']' ELSE '' END||']}}}},'",
     # several ids: two dashed, one repeated, one undashed inside other text, one in capitals
     "mention": "'ev '||{id}||' and '||peer||' again '||{id}||' raw'||replace({id},'-','')||'ff '||upper(peer)",
 }

@@ -14,6 +14,7 @@ from statetrail.operators import correlate as co
 from statetrail.operators import entities as en
 from statetrail.operators import lookback as lb
 from statetrail.operators import parse as pa
+from statetrail.operators import prefix as pf
 from statetrail.operators import slices as sl
 from statetrail.operators import snapshots as sn
 from statetrail.operators import timeline as tl
@@ -89,8 +90,8 @@ def all_ops(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
     return co.union_ops([f(spark, sf_dir, entity) for f in (log_ops, msg_ops, db_ops)])
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sn.parse_snapshots(bare(event_lines(spark, sf_dir, "snapshot")))
+def snapshots(spark: SparkSession, sf_dir: str, kind: str = "snapshot") -> DataFrame:
+    return sn.parse_snapshots(bare(event_lines(spark, sf_dir, kind)))
 
 
 # -- entity matching ---------------------------------------------------------
@@ -321,6 +322,11 @@ def snapshot_changes(spark, sf_dir):
     return sn.snapshot_changes(snapshots(spark, sf_dir)).select("host", "ts_text", "seq")
 
 
+@query
+def snapshot_changes_prefix(spark, sf_dir):
+    return pf.prefix_changes(snapshots(spark, sf_dir, "ports")).select("host", "ts_text", "seq")
+
+
 @query
 def iface_filter(spark, sf_dir):
     records = sn.record_changes(sn.expand_snapshots(snapshots(spark, sf_dir)))
