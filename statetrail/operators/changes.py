@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from statetrail.operators.slices import HOT_ROWS, changed
+from statetrail.operators.slices import HOT_ROWS, Probe, changed
 
 
 def changes(
@@ -13,12 +13,13 @@ def changes(
     order: list[str],
     compare: list[str],
     hot_rows: int | None = HOT_ROWS,
+    probe: Probe | None = None,
 ) -> DataFrame:
     """Rows whose ``compare`` columns differ from the row before in their group.
 
     The columns must have equality; use a comparable form for maps and VARIANTs.
-    A missing value is NULL and equals NULL. One shuffle on the key, whatever
-    else the rows carry.
+    A missing value is NULL and equals NULL. One shuffle on the key; groups of more
+    than ``hot_rows`` rows, counted on ``probe`` if given, are spread over tasks.
     """
     keys = [key] if isinstance(key, str) else key
-    return changed(df, keys, order, compare, hot_rows).filter("_changed").drop("_changed")
+    return changed(df, keys, order, compare, hot_rows, probe).filter("_changed").drop("_changed")

@@ -15,17 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statetrail.operators.lineage import settle_rounds
-from statetrail.operators.slices import HOT_ROWS, changed, next_flagged, numbered
+from statetrail.operators.slices import HOT_ROWS, Probe, changed, next_flagged, numbered
 from statetrail.operators.snapshots import table_rows
 
 CELL = ["host", "table", "row_pos"]
 
 
 def prefix_changes(
-    snapshots: DataFrame, order: list[str] | None = None, hot_rows: int | None = HOT_ROWS
+    snapshots: DataFrame,
+    order: list[str] | None = None,
+    hot_rows: int | None = HOT_ROWS,
+    probe: Probe | None = None,
 ) -> DataFrame:
     """First snapshot of a host and each one that replaces the kept one before."""
-    placed = numbered(snapshots, ["host"], order or ["ts_text", "seq"], hot_rows)
+    placed = numbered(snapshots, ["host"], order or ["ts_text", "seq"], hot_rows, probe)
     pointers = settle_rounds(_pointers(placed, hot_rows))
     kept = _follow(placed.select("host", "pos").filter("pos = 1"), pointers)
     return placed.join(kept, ["host", "pos"]).drop("pos")

@@ -5,8 +5,10 @@ many rows is cut into slices, contiguous in the order of the group, and what one
 row has to know of the slices before its own is worked out from one row per slice
 and handed to the slice. The answer is that of the plain window, for every row.
 
-Deciding costs one counting pass over the key column. Only when a group is over
-the limit do two narrow passes over that group follow.
+Deciding costs one counting pass over the key column, or over a sample of the
+rows where parsing them all a second time would be dear. What is cut never changes
+a result, only the sizes of tasks, so an estimate is enough. Only when a group is
+over the limit do two narrow passes over that group follow.
 """
 
 from __future__ import annotations
@@ -27,6 +29,23 @@ FAN_OUT = 32
 COLD = -1
 
 
+@dataclass(frozen=True)
+class Probe:
+    """Rows to count instead of all: a random ``share`` of them, taken as early as
+    possible. Only the choice of cuts rests on it."""
+
+    df: DataFrame
+    share: float
+
+
+PROBE_SHARE = 0.01
+
+
+def sample_lines(lines: DataFrame, share: float = PROBE_SHARE) -> DataFrame:
+    """Lines for a probe, taken before anything is parsed."""
+    return lines.sample(share, seed=11)
+
+
 @dataclass(frozen=True)
 class Sliced:
     """A frame with the column ``_slice``; ``hot`` says whether any group was cut."""
@@ -59,6 +78,7 @@ def cut(
     order: list[str],
     hot_rows: int | None = HOT_ROWS,
     max_slices: int = MAX_SLICES,
+    probe: Probe | None = None,
 ) -> Sliced:
     """Number the slices of groups with more than ``hot_rows`` rows.
 
@@ -69,12 +89,13 @@ def cut(
     plain = Sliced(df.withColumn("_slice", F.lit(COLD)), keys, order, False)
     if hot_rows is None:
         return plain
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    probe = probe or Probe(df, 1.0)
+    counts = probe.df.groupBy(*keys).agg((F.count(F.lit(1)) / probe.share).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(hot_rows, (total or 0) // max_slices)
+    limit = max(hot_rows, int(total or 0) // max_slices)
     if largest is None or largest <= limit:
         return plain
-    splits = _split_points(df, counts.filter(F.col("_n") > limit).drop("_n"), keys, order, limit)
+    splits = _split_points(probe, counts.filter(F.col("_n") > limit).drop("_n"), keys, order, limit)
     here = F.struct(*order)
     group = F.size(F.filter("_heads", lambda b: b <= here))
     within = F.size(F.filter(F.get("_splits", group - 1), lambda b: b <= here))
@@ -83,18 +104,19 @@ def cut(
         .when(group == 0, F.lit(0))
         .otherwise((group - 1) * FAN_OUT + within)
     )
-    numbered = df.join(F.broadcast(splits), keys, "left").withColumn("_slice", number)
-    return Sliced(numbered.drop("_heads", "_splits"), keys, order, True)
+    cut_up = df.join(F.broadcast(splits), keys, "left").withColumn("_slice", number)
+    return Sliced(cut_up.drop("_heads", "_splits"), keys, order, True)
 
 
-def _split_points(df: DataFrame, hot: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+def _split_points(probe: Probe, hot: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
     """Cut points of the hot groups, taken from a sample of their order columns.
 
     The sample only places the cuts; no row is lost to it. It holds some
     ``SAMPLES_PER_SLICE`` values per slice, and so is bounded like the slices.
     """
-    share = min(1.0, SAMPLES_PER_SLICE / limit)
-    step = max(1, round(limit * share))
+    df = probe.df
+    share = min(1.0, SAMPLES_PER_SLICE / limit / probe.share)
+    step = max(1, round(limit * share * probe.share))
     at = F.struct(*order).alias("at")
     sampled = df.select(*keys, at).join(F.broadcast(hot), keys).sample(share, seed=7)
     rows = sampled.sort(*keys, "at").collect()
@@ -115,10 +137,17 @@ def _split_points(df: DataFrame, hot: DataFrame, keys: list[str], order: list[st
     return df.sparkSession.createDataFrame(found, schema)
 
 
-def changed(df: DataFrame, keys: list[str], order: list[str], compare: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def changed(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    compare: list[str],
+    hot_rows: int | None = HOT_ROWS,
+    probe: Probe | None = None,
+) -> DataFrame:
     """Add ``_changed``: whether a row is the first of its group or differs in any
     ``compare`` column from the row before."""
-    s = cut(df, keys, order, hot_rows)
+    s = cut(df, keys, order, hot_rows, probe=probe)
     w = s.window()
     seen = {f"_prev_{i}": F.lag(c).over(w) for i, c in enumerate(compare)}
     with_prev = s.df
@@ -136,9 +165,15 @@ def changed(df: DataFrame, keys: list[str], order: list[str], compare: list[str]
     return flagged.drop("_slice", "_carried", "_first", *seen)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def numbered(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    hot_rows: int | None = HOT_ROWS,
+    probe: Probe | None = None,
+) -> DataFrame:
     """Add ``pos``, the 1-based place of each row in its group."""
-    s = cut(df, keys, order, hot_rows)
+    s = cut(df, keys, order, hot_rows, probe=probe)
     place = F.row_number().over(s.window()).cast("bigint")
     if not s.hot:
         return s.df.withColumn("pos", place).drop("_slice")

@@ -14,7 +14,7 @@ from statetrail.functions.jsontext import json_object, text_of
 from statetrail.functions.tagged import decode_tagged, map_entry
 from statetrail.operators.changes import changes
 from statetrail.operators.records import settle
-from statetrail.operators.slices import HOT_ROWS
+from statetrail.operators.slices import HOT_ROWS, Probe
 
 
 def parse_snapshots(lines: DataFrame, text: str = "value", on_bad_record: str = "fail") -> DataFrame:
@@ -77,12 +77,15 @@ def table_rows(snapshots: DataFrame, ignored: str = "statistics") -> DataFrame:
 
 
 def snapshot_changes(
-    snapshots: DataFrame, order: list[str] | None = None, hot_rows: int | None = HOT_ROWS
+    snapshots: DataFrame,
+    order: list[str] | None = None,
+    hot_rows: int | None = HOT_ROWS,
+    probe: Probe | None = None,
 ) -> DataFrame:
     """First snapshot of every run of equal ones per host; added and removed rows
     count. See ``prefix_changes`` for the comparison that ignores those."""
     digested = snapshots.withColumn("digest", snapshot_digest(F.col("tables")))
-    return changes(digested, "host", order or ["ts_text", "seq"], ["digest"], hot_rows)
+    return changes(digested, "host", order or ["ts_text", "seq"], ["digest"], hot_rows, probe)
 
 
 def _zip_row(headings: Column, row: Column) -> Column:
@@ -105,12 +108,21 @@ def expand_snapshots(snapshots: DataFrame) -> DataFrame:
     rows = tables.select(
         *kept, "table", _headings(F.col("_table")).alias("_headings"), F.posexplode(_data(F.col("_table"))).alias("row_pos", "_row")
     )
-    zipped = rows.select(*kept, "table", "row_pos", _zip_row(F.col("_headings"), F.col("_row")).alias("cols"))
-    return zipped.withColumn("record_id", record_id(F.col("cols")))
+    return rows.select(
+        *kept,
+        "table",
+        "row_pos",
+        _record_id(F.col("_headings"), F.col("_row")).alias("record_id"),
+        _zip_row(F.col("_headings"), F.col("_row")).alias("cols"),
+    )
 
 
-def record_id(cols: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(cols["_uuid"]), "$[1]", "string")
+def _record_id(headings: Column, row: Column) -> Column:
+    """Id out of the ``_uuid`` cell, read from the row so that a query for ids does
+    not build the columns."""
+    from_end = F.array_position(F.reverse(headings), "_uuid")
+    cell = F.when(from_end > 0, F.get(row, (F.size(headings) - from_end).cast("int")))
+    return F.try_variant_get(cell, "$[1]", "string")
 
 
 def comparable_cells(cols: Column, ignored: list[str] | None = None) -> Column:
@@ -125,13 +137,15 @@ def record_changes(
     order: list[str] | None = None,
     ignored: list[str] | None = None,
     hot_rows: int | None = HOT_ROWS,
+    probe: Probe | None = None,
 ) -> DataFrame:
     """Change history of every record, statistics and injected columns ignored.
 
     Record ids are taken to be unique over hosts; give ``key`` to add the host.
     """
     cells = records.withColumn("_cells", comparable_cells(F.col("cols"), ignored))
-    kept = changes(cells, key or ["record_id"], order or ["ts_text", "seq", "table", "row_pos"], ["_cells"], hot_rows)
+    by = order or ["ts_text", "seq", "table", "row_pos"]
+    kept = changes(cells, key or ["record_id"], by, ["_cells"], hot_rows, probe)
     return kept.drop("_cells")
 
 

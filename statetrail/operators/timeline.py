@@ -16,14 +16,14 @@ MAX_RECORDS = 10_000
 
 
 def timeline(records: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Records sorted by entity and time.
+    """Records brought together by entity and sorted by time, ready to be written.
 
-    Range-partitioned on entity and time together, so a hot entity spreads over
-    partitions like any other rows and files written from it can be skipped by
-    entity.
+    One shuffle, rebalanced: adaptive execution splits the partition of a hot
+    entity, each piece sorted, and joins small ones. Unlike a range partitioning
+    it does not run the whole input a first time to look for borders.
     """
     by = ["entity_id", *(order or ORDER)]
-    return records.repartitionByRange(*by).sortWithinPartitions(*by)
+    return records.hint("rebalance", "entity_id").sortWithinPartitions(*by)
 
 
 def nested_timeline(

@@ -239,9 +239,9 @@ ORACLES: dict[str, str] = {
     "snapshot_changes": f"WITH {E} SELECT host, ts_text, seq FROM (SELECT {_HOST} AS host, ts_ms AS ts_text, event_id AS seq, "
     "row_number() OVER w AS rn, uuid||event_type||us AS fp, lag(uuid||event_type||us) OVER w AS p FROM e "
     f"WINDOW w AS (PARTITION BY {_HOST} ORDER BY ts_ms, event_id)) WHERE rn = 1 OR p <> fp",
-    "snapshot_changes_prefix": f"WITH RECURSIVE {E}, n AS (SELECT {_HOST} AS host, ts_ms AS ts_text, event_id AS seq, event_id%3 AS more, link, event_type, wk, "
+    "snapshot_changes_prefix": f"WITH RECURSIVE {E}, n AS MATERIALIZED (SELECT {_HOST} AS host, ts_ms AS ts_text, event_id AS seq, event_id%3 AS more, link, event_type, wk, "
     f"row_number() OVER (PARTITION BY {_HOST} ORDER BY ts_ms, event_id) AS pos FROM e), "
-    "nxt AS (SELECT a.host, a.pos, min(b.pos) AS next FROM n a JOIN n b ON a.host = b.host AND b.pos > a.pos AND (a.link <> b.link "
+    "nxt AS MATERIALIZED (SELECT a.host, a.pos, min(b.pos) AS next FROM n a JOIN n b ON a.host = b.host AND b.pos > a.pos AND (a.link <> b.link "
     "OR (a.more > 0 AND b.more > 0 AND a.event_type <> b.event_type) OR (a.more > 1 AND b.more > 1 AND a.wk <> b.wk)) GROUP BY a.host, a.pos), "
     "kept AS (SELECT host, pos FROM n WHERE pos = 1 UNION ALL SELECT k.host, x.next FROM kept k JOIN nxt x ON x.host = k.host AND x.pos = k.pos) "
     "SELECT host, ts_text, seq FROM n JOIN kept USING (host, pos)",

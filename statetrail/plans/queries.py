@@ -52,9 +52,8 @@ def role_lines(spark: SparkSession, sf_dir: str, kind: str, entity: str) -> Data
     return event_lines(spark, sf_dir, kind, entity).filter(F.col("role") == ROLES[kind])
 
 
-def vm_states(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
-    parsed = pa.parse_states(bare(event_lines(spark, sf_dir, "state", entity)))
-    return parsed.select(
+def vm_fields(lines: DataFrame) -> DataFrame:
+    return pa.parse_states(lines).select(
         "entity_id",
         "ts_text",
         "seq",
@@ -64,8 +63,14 @@ def vm_states(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame
     )
 
 
+def vm_states(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
+    return vm_fields(bare(event_lines(spark, sf_dir, "state", entity)))
+
+
 def vm_changes(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
-    kept = ch.changes(vm_states(spark, sf_dir, entity), "entity_id", ["ts_text", "seq"], ["state"])
+    lines = bare(event_lines(spark, sf_dir, "state", entity))
+    probe = probe_of(lines, vm_fields)
+    kept = ch.changes(vm_fields(lines), "entity_id", ["ts_text", "seq"], ["state"], probe=probe)
     return kept.select("entity_id", "ts_text", "seq", F.col("status_text").alias("state"))
 
 
@@ -90,8 +95,21 @@ def all_ops(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
     return co.union_ops([f(spark, sf_dir, entity) for f in (log_ops, msg_ops, db_ops)])
 
 
-def snapshots(spark: SparkSession, sf_dir: str, kind: str = "snapshot") -> DataFrame:
-    return sn.parse_snapshots(bare(event_lines(spark, sf_dir, kind)))
+def snapshot_lines(spark: SparkSession, sf_dir: str, kind: str = "snapshot") -> DataFrame:
+    return bare(event_lines(spark, sf_dir, kind))
+
+
+def records_of(lines: DataFrame) -> DataFrame:
+    return sn.expand_snapshots(sn.parse_snapshots(lines))
+
+
+def probe_of(lines: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> sl.Probe:
+    return sl.Probe(parse(sl.sample_lines(lines)), sl.PROBE_SHARE)
+
+
+def record_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = snapshot_lines(spark, sf_dir)
+    return sn.record_changes(records_of(lines), probe=probe_of(lines, records_of))
 
 
 # -- entity matching ---------------------------------------------------------
@@ -289,7 +307,7 @@ def state_explode(spark, sf_dir):
 
 @query
 def snapshot_expand(spark, sf_dir):
-    return sn.expand_snapshots(snapshots(spark, sf_dir)).select(
+    return records_of(snapshot_lines(spark, sf_dir)).select(
         "host", "ts_text", "seq", "table", "record_id", F.size("cols").cast("bigint").alias("n_cols"),
         F.col("cols")["name"].alias("name_cell"), F.col("cols")["ports"].alias("ports_cell"),
     )
@@ -297,7 +315,7 @@ def snapshot_expand(spark, sf_dir):
 
 @query
 def tagged_decode(spark, sf_dir):
-    records = sn.decode_cells(sn.expand_snapshots(snapshots(spark, sf_dir)))
+    records = sn.decode_cells(records_of(snapshot_lines(spark, sf_dir)))
     cell = F.col("cols")
     return records.select(
         "seq",
@@ -313,29 +331,33 @@ def tagged_decode(spark, sf_dir):
 
 @query
 def record_changes(spark, sf_dir):
-    kept = sn.record_changes(sn.expand_snapshots(snapshots(spark, sf_dir)))
+    kept = record_history(spark, sf_dir)
     return kept.select("record_id", "host", "table", "ts_text", "seq", F.col("cols")["name"].alias("name_cell"))
 
 
 @query
 def snapshot_changes(spark, sf_dir):
-    return sn.snapshot_changes(snapshots(spark, sf_dir)).select("host", "ts_text", "seq")
+    lines = snapshot_lines(spark, sf_dir)
+    kept = sn.snapshot_changes(sn.parse_snapshots(lines), probe=probe_of(lines, sn.parse_snapshots))
+    return kept.select("host", "ts_text", "seq")
 
 
 @query
 def snapshot_changes_prefix(spark, sf_dir):
-    return pf.prefix_changes(snapshots(spark, sf_dir, "ports")).select("host", "ts_text", "seq")
+    lines = snapshot_lines(spark, sf_dir, "ports")
+    kept = pf.prefix_changes(sn.parse_snapshots(lines), probe=probe_of(lines, sn.parse_snapshots))
+    return kept.select("host", "ts_text", "seq")
 
 
 @query
 def iface_filter(spark, sf_dir):
-    records = sn.record_changes(sn.expand_snapshots(snapshots(spark, sf_dir)))
+    records = record_history(spark, sf_dir)
     return sn.rekey(records).select("record_id", "table", "seq")
 
 
 @query
 def iface_rekey(spark, sf_dir):
-    records = sn.record_changes(sn.expand_snapshots(snapshots(spark, sf_dir)))
+    records = record_history(spark, sf_dir)
     return sn.rekey(records).select("entity_id", "record_id", "ts_text", "seq")
 
 

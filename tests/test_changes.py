@@ -48,6 +48,18 @@ def test_changes_same_for_any_slicing(spark, hot_rows, seed):
     assert sorted(r["seq"] for r in kept.collect()) == runs(rows)
 
 
+@pytest.mark.parametrize("share", [0.5, 0.1])
+def test_probe_only_places_the_cuts(spark, share):
+    rows = random_rows(6, 600)
+    df = frame(spark, rows)
+    probe = slices.Probe(df.sample(share, seed=1), share)
+    assert slices.cut(df, ["k"], ["ts_text", "seq"], 100, probe=probe).hot
+    kept = changes(df, "k", ["ts_text", "seq"], ["v"], hot_rows=100, probe=probe)
+    assert sorted(r["seq"] for r in kept.collect()) == runs(rows)
+    nothing = slices.Probe(df.limit(0), share)
+    assert changes(df, "k", ["ts_text", "seq"], ["v"], hot_rows=1, probe=nothing).count() == len(runs(rows))
+
+
 def test_several_columns_and_new_nulls(spark):
     rows = [("k", "t0", 0, "x", 1), ("k", "t1", 1, "x", 1), ("k", "t2", 2, "x", None), ("k", "t3", 3, None, None)]
     df = spark.createDataFrame(rows, "k string, ts_text string, seq bigint, v string, w int")
