@@ -85,32 +85,32 @@ def _reject(name: str):
     raise ValueError(name)
 
 
-def _load(text: str):
+def _load(text: str, decode):
     """Value of a JSON text. What cannot be JSON by its first character, which is
     most text, is told without raising an exception."""
     bare = text.strip(" \t\r\n")
     first = bare[:1]
     if first and first in '{["':
         try:
-            return json.loads(bare, parse_constant=_reject)
+            return decode(bare)
         except (ValueError, RecursionError):
             return _NOT_JSON
     if first and first in "-0123456789":
         if not _NUMBER.fullmatch(bare):
             return _NOT_JSON
-        number = json.loads(bare)
+        number = decode(bare)
         return _NOT_JSON if isinstance(number, float) and math.isinf(number) else number
     return _WORDS.get(bare, _NOT_JSON)
 
 
-def _unwrap(value):
+def _unwrap(value, decode):
     if isinstance(value, str):
-        inner = _load(value)
-        return value if inner is _NOT_JSON else _unwrap(inner)
+        inner = _load(value, decode)
+        return value if inner is _NOT_JSON else _unwrap(inner, decode)
     if isinstance(value, dict):
-        return {k: _unwrap(v) for k, v in value.items()}
+        return {k: _unwrap(v, decode) for k, v in value.items()}
     if isinstance(value, list):
-        return [_unwrap(v) for v in value]
+        return [_unwrap(v, decode) for v in value]
     return value
 
 
@@ -121,12 +121,13 @@ def unwrap_json(texts: pd.Series) -> pd.Series:
     There is no bound on the nesting, which no built-in expression can follow.
     Text that is not a JSON object gives NULL.
     """
+    # json.loads and json.dumps with options build these anew for every text
+    decode = json.JSONDecoder(parse_constant=_reject).decode
+    encode = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
 
     def one(text):
-        value = _unwrap(text) if isinstance(text, str) else None
-        if not isinstance(value, dict):
-            return None
-        return json.dumps(value, sort_keys=True, separators=(",", ":"))
+        value = _unwrap(text, decode) if isinstance(text, str) else None
+        return encode(value) if isinstance(value, dict) else None
 
     return texts.map(one)
 

@@ -89,15 +89,17 @@ def snapshot_changes(
 
 
 def _zip_row(headings: Column, row: Column) -> Column:
-    """(column, JSON text) entries up to the shorter side, last of equal headings."""
+    """Map of column to JSON text, up to the shorter side, last of equal headings."""
+    plain = (F.size(headings) == F.size(row)) & (F.size(F.array_distinct(headings)) == F.size(headings))
     n = F.least(F.size(headings), F.size(row))
+    names = F.slice(headings, 1, n)
     entries = F.transform(
-        F.slice(headings, 1, n),
-        lambda name, i: F.struct(name.alias("key"), F.to_json(F.get(row, i)).alias("value")),
+        names, lambda name, i: F.struct(name.alias("key"), F.to_json(F.get(row, i)).alias("value"))
     )
-    names = F.slice(headings, 1, n)
     kept = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, n), e["key"]))
-    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == n, entries).otherwise(kept))
+    return F.when(plain, F.map_from_arrays(headings, F.transform(row, lambda c: F.to_json(c)))).otherwise(
+        F.map_from_entries(kept)
+    )
 
 
 def expand_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -125,6 +127,11 @@ def _record_id(headings: Column, row: Column) -> Column:
     return F.try_variant_get(cell, "$[1]", "string")
 
 
+def first_records(records: DataFrame, n: int = 10) -> DataFrame:
+    """A look at the earliest records."""
+    return records.orderBy("ts_text", "seq", "table", "row_pos").limit(n)
+
+
 def comparable_cells(cols: Column, ignored: list[str] | None = None) -> Column:
     """Ordered entries without the ignored columns; has equality, unlike the map."""
     skip = P.RECORD_IGNORED if ignored is None else ignored

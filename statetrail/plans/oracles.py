@@ -231,6 +231,7 @@ ORACLES: dict[str, str] = {
     "state_changes": f"WITH {E}, {_changes('uuid')} SELECT entity_id, ts_text, seq, state FROM s",
     "state_explode": f"WITH {E}, {_changes('uuid')} SELECT entity_id, ts_text, state FROM s",
     "snapshot_expand": f"WITH {E}, {_RECORDS} SELECT host, ts_text, seq, \"table\", record_id, n_cols, name_cell, ports_cell FROM r",
+    "record_take": f"WITH {E}, {_RECORDS} SELECT ts_text, seq, \"table\", record_id FROM r ORDER BY ts_text, seq, \"table\" LIMIT 10",
     "tagged_decode": f"WITH {E}, {_RECORDS} SELECT seq, \"table\", record_id AS id, "
     "CASE WHEN \"table\"='Interface' THEN event_type END AS name, CASE WHEN \"table\"='Interface' THEN es END AS rx, "
     "CASE WHEN \"table\"='Interface' THEN 'if-'||us END AS iface_id, CASE WHEN \"table\"='Bridge' THEN 'p1,p2' END AS ports, "

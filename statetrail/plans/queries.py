@@ -313,6 +313,12 @@ def snapshot_expand(spark, sf_dir):
     )
 
 
+@query
+def record_take(spark, sf_dir):
+    records = sn.first_records(records_of(snapshot_lines(spark, sf_dir)))
+    return records.select("ts_text", "seq", "table", "record_id")
+
+
 @query
 def tagged_decode(spark, sf_dir):
     records = sn.decode_cells(records_of(snapshot_lines(spark, sf_dir)))
