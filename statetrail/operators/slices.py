@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statetrail.functions.let import let
+
 HOT_ROWS = 5_000_000
 MAX_SLICES = 2_000
 SAMPLES_PER_SLICE = 16
@@ -48,12 +50,13 @@ def sample_lines(lines: DataFrame, share: float = PROBE_SHARE) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sliced:
-    """A frame with the column ``_slice``; ``hot`` says whether any group was cut."""
+    """A frame with the column ``_slice``; ``hot`` has the rows of the cut groups and
+    is None when there are none."""
 
     df: DataFrame
     keys: list[str]
     order: list[str]
-    hot: bool
+    hot: DataFrame | None
 
     def window(self):
         return Window.partitionBy(*self.keys, "_slice").orderBy(*self.order)
@@ -61,7 +64,7 @@ class Sliced:
     def per_slice(self, *aggregates: Column) -> DataFrame:
         """Aggregates of the slices of cut groups: a row per slice, partially
         aggregated before the shuffle."""
-        return self.df.filter(F.col("_slice") != COLD).groupBy(*self.keys, "_slice").agg(*aggregates)
+        return self.hot.groupBy(*self.keys, "_slice").agg(*aggregates)
 
     def across(self):
         """Window over the slices of a group, at most a few thousand rows in all."""
@@ -86,7 +89,7 @@ def cut(
     ``max_slices`` slices, which bounds what is collected and broadcast here.
     ``hot_rows=None`` skips the counting pass for data known to be even.
     """
-    plain = Sliced(df.withColumn("_slice", F.lit(COLD)), keys, order, False)
+    plain = Sliced(df.withColumn("_slice", F.lit(COLD)), keys, order, None)
     if hot_rows is None:
         return plain
     probe = probe or Probe(df, 1.0)
@@ -97,15 +100,19 @@ def cut(
         return plain
     splits = _split_points(probe, counts.filter(F.col("_n") > limit).drop("_n"), keys, order, limit)
     here = F.struct(*order)
-    group = F.size(F.filter("_heads", lambda b: b <= here))
-    within = F.size(F.filter(F.get("_splits", group - 1), lambda b: b <= here))
-    number = (
-        F.when(F.col("_heads").isNull(), F.lit(COLD))
-        .when(group == 0, F.lit(0))
-        .otherwise((group - 1) * FAN_OUT + within)
-    )
-    cut_up = df.join(F.broadcast(splits), keys, "left").withColumn("_slice", number)
-    return Sliced(cut_up.drop("_heads", "_splits"), keys, order, True)
+
+    def number(group: Column) -> Column:
+        within = F.size(F.filter(F.get("_splits", group - 1), lambda b: b <= here))
+        return F.when(group == 0, 0).otherwise((group - 1) * FAN_OUT + within)
+
+    in_hot = let(F.size(F.filter("_heads", lambda b: b <= here)), number)
+
+    def placed(how: str) -> DataFrame:
+        joined = df.join(F.broadcast(splits), keys, how)
+        cut_up = joined.withColumn("_slice", F.when(F.col("_heads").isNull(), COLD).otherwise(in_hot))
+        return cut_up.drop("_heads", "_splits")
+
+    return Sliced(placed("left"), keys, order, placed("inner"))
 
 
 def _split_points(probe: Probe, hot: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
@@ -151,14 +158,14 @@ def changed(
     w = s.window()
     seen = {f"_prev_{i}": F.lag(c).over(w) for i, c in enumerate(compare)}
     with_prev = s.df
-    if s.hot:
+    if s.hot is not None:
         last = s.per_slice(F.max_by(F.struct(*compare), F.struct(*order)).alias("_last"))
         carried = last.select(*keys, "_slice", F.lag("_last").over(s.across()).alias("_carried"))
         with_prev = s.hand_over(carried)
     with_prev = with_prev.withColumns({"_first": F.row_number().over(w) == 1, **seen})
     moved = reduce(or_, [~F.col(f"_prev_{i}").eqNullSafe(F.col(c)) for i, c in enumerate(compare)])
     at_start = F.lit(True)
-    if s.hot:
+    if s.hot is not None:
         before = F.col("_carried")
         at_start = before.isNull() | ~before.eqNullSafe(F.struct(*compare))
     flagged = with_prev.withColumn("_changed", F.when(F.col("_first"), at_start).otherwise(moved))
@@ -175,7 +182,7 @@ def numbered(
     """Add ``pos``, the 1-based place of each row in its group."""
     s = cut(df, keys, order, hot_rows, probe=probe)
     place = F.row_number().over(s.window()).cast("bigint")
-    if not s.hot:
+    if s.hot is None:
         return s.df.withColumn("pos", place).drop("_slice")
     sizes = s.per_slice(F.count(F.lit(1)).alias("_n"))
     before = s.across().rowsBetween(Window.unboundedPreceding, -1)
@@ -193,7 +200,7 @@ def next_flagged(df: DataFrame, keys: list[str], place: str, flag: str, hot_rows
     spot = F.when(F.col(flag), F.col(place))
     later = Window.partitionBy(*keys, "_slice").orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.min(spot).over(later)
-    if not s.hot:
+    if s.hot is None:
         return s.df.withColumn("_next", inside).drop("_slice")
     firsts = s.per_slice(F.min(spot).alias("_first"))
     behind = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
