@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statetrail.functions.patterns import UUID_V4
+from statetrail.operators.apart import distinct_apart
 
 BROADCAST_IDS = 2_000_000
 
@@ -58,10 +59,11 @@ def match_entities(
         entities = entities.select(plain.alias("entity_id"))
     if broadcast == "auto":
         broadcast = fits_broadcast(entities, max_broadcast_ids)
-    wanted = entities.select("entity_id").distinct()
     if broadcast:
-        wanted = F.broadcast(wanted)
-    return extract_entities(lines, text, pattern, normalize).join(wanted, "entity_id")
+        wanted = F.broadcast(entities.select("entity_id").distinct())
+    else:
+        wanted = distinct_apart(entities, ["entity_id"])
+    return extract_entities(lines, text, pattern, normalize).join(wanted, "entity_id", "left_semi")
 
 
 def filter_lines(lines: DataFrame, entities: DataFrame, key: list[str], **options) -> DataFrame:

@@ -30,8 +30,12 @@ def prefix_changes(
     """First snapshot of a host and each one that replaces the kept one before."""
     placed = numbered(snapshots, ["host"], order or ["ts_text", "seq"], hot_rows, probe)
     pointers = settle_rounds(_pointers(placed, hot_rows))
-    kept = _follow(placed.select("host", "pos").filter("pos = 1"), pointers)
-    return placed.join(kept, ["host", "pos"]).drop("pos")
+    start = placed.select("host", "pos").filter("pos = 1")
+    # Only the start and what is pointed at can be kept. A long run of equal
+    # snapshots, which all point to its end, leaves one pointer.
+    targets = pointers.select("host", F.col("next").alias("pos")).union(start).distinct()
+    pointers = settle_rounds(pointers.join(targets, ["host", "pos"], "left_semi"))
+    return placed.join(_follow(start, pointers), ["host", "pos"]).drop("pos")
 
 
 def _pointers(placed: DataFrame, hot_rows: int | None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from statetrail.functions import patterns as P
 from statetrail.functions.jsontext import json_object, text_of
 from statetrail.functions.tagged import decode_tagged, map_entry
+from statetrail.operators.apart import aggregate_apart
 from statetrail.operators.changes import changes
 from statetrail.operators.records import settle
 from statetrail.operators.slices import HOT_ROWS, Probe
@@ -180,9 +181,9 @@ def rekey(
     order = order or ["ts_text", "seq"]
     value = iface_id(F.col("cols")) if new_key is None else new_key
     tagged = records.withColumn("_new", value)
-    firsts = (
-        tagged.filter(F.col("_new").isNotNull())
-        .groupBy(old_key)
-        .agg(F.min_by("_new", F.struct(*order)).alias("entity_id"))
+    firsts = aggregate_apart(
+        tagged.filter(F.col("_new").isNotNull()),
+        [old_key],
+        F.min_by("_new", F.struct(*order)).alias("entity_id"),
     )
     return records.join(firsts, old_key)
