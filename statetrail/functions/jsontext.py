@@ -55,7 +55,7 @@ def json_object(text: Column, needs: list[str]) -> Column:
         return reduce(and_, wanted, F.size(F.array_distinct(keys)) == F.size(keys))
 
     return let(
-        listed, lambda a: F.when((F.size(a) == 1) & F.rtrim(text).endswith("}"), F.filter(a, good))
+        listed, lambda a: F.when((F.size(a) == 1) & F.rtrim(text, F.lit(" \t\r\n")).endswith("}"), F.filter(a, good))
     )
 
 

@@ -4,6 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from statetrail.operators.changes import changes
+from statetrail.operators.parse import parse_states
+from statetrail.operators.slices import Probe, cut, sample_lines
 from statetrail.plans import jobs
 from statetrail.sinks import write_ids, write_json_lines, write_table
 from statetrail.sources import read_entities, read_lines, read_table
@@ -83,7 +86,7 @@ def inputs(tmp_path):
         table = {"headings": ["_uuid", "name", "statistics", "external_ids"], "data": [cells]}
         return json.dumps({"timestamp": ts(s) + ".000", "IP": "10.1.0.2", "Interface": table}) + ","
 
-    put(tmp_path / "ovs" / "10.1.0.2.out", snapshot(25, "tap0"), snapshot(26, "tap0"), snapshot(27, "tap1"))
+    put(tmp_path / "switch" / "10.1.0.2.out", snapshot(25, "tap0"), snapshot(26, "tap0"), snapshot(27, "tap1"))
     return tmp_path
 
 
@@ -114,7 +117,7 @@ def test_vm_path(spark, inputs):
 @pytest.mark.parametrize("mode", ["strict", "prefix"])
 def test_switch_path(spark, inputs, mode):
     p = lambda name: str(inputs / name)
-    jobs.snapshot_history(spark, p("ovs"), p("snap_out"), mode)
+    jobs.snapshot_history(spark, p("switch"), p("snap_out"), mode)
     assert read_table(spark, p("snap_out")).count() == 2
     jobs.record_history(spark, p("snap_out"), p("rec_out"))
     jobs.iface_history(spark, p("rec_out"), p("iface_out"))
@@ -155,3 +158,18 @@ def test_interleaved_files_do_not_break_histories(spark, tmp_path):
     jobs.vm_history(spark, str(tmp_path / "vm"), str(tmp_path / "out"))
     want = [ts(i) + ".000" for i, s in states if i == 0 or states[i - 1][1] != s]
     assert sorted(r["ts_text"] for r in read_table(spark, str(tmp_path / "out")).collect()) == want
+
+
+def test_cut_groups_over_files(spark, tmp_path):
+    """Slices by place in the file, with borders taken from a sample of the lines."""
+    rnd = random.Random(4)
+    states = [(i // 4, rnd.choice("xy")) for i in range(400)]
+    put(tmp_path / "vm" / "f", *[json.dumps({"uuid": VM, "timestamp": ts(i), "s": s}) + "," for i, s in states])
+    given = read_lines(spark, str(tmp_path / "vm"), strip=",\n")
+    probe = Probe(parse_states(sample_lines(given, 0.5)), 0.5)
+    order = ["ts_text", "seq"]
+    assert cut(parse_states(given), ["entity_id"], order, 50, probe=probe).hot is not None
+    kept = changes(parse_states(given), "entity_id", order, ["state"], hot_rows=50, probe=probe)
+    got = sorted(r["seq"]["row"] for r in kept.select("seq").collect())
+    want = [i for i, (_, s) in enumerate(states) if i == 0 or states[i - 1][1] != s]
+    assert len(got) == len(want) and [g - got[0] for g in got] == want

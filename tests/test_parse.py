@@ -133,6 +133,7 @@ def test_states(lines):
         '{"a": "q", "b": {"x": [1, "1"], "y": 1}, "timestamp": "t2", "uuid": "u"}',
         '{"uuid": "u", "timestamp": "t", "b": {"y": "1", "x": [1, "1"]}, "a": "q"}',
     )
+    assert parse_states(lines(' {"uuid": "u", "timestamp": "t"}\t ')).count() == 1
     states = by_seq(parse_states(df), "entity_id", "ts_text", "state")
     assert states[0][:2] == ("u", "t") and states[1][1] == "t2"
     assert states[0][2] == states[1][2]
