@@ -23,8 +23,6 @@ MODULUS = 1 << 16
 EQUAL_LANES, LIKE_LANES = 4 * len(WHOLE), 64 * len(SIGNS)
 PIECE = r"[^ \t\r\n]++(?:[ \t\r]++[^ \t\r\n]++){0,2}+"
 LOW_BITS = 0x0000000100000001
-#: Stands for a row of the table; no piece can be one.
-MARK = "\r"
 
 
 def units(text: Column) -> Column:
@@ -36,9 +34,9 @@ def units(text: Column) -> Column:
 def sums(unit: Column) -> list[Column]:
     """Aggregates over units. Two counts of 32 bits share a BIGINT, so nothing overflows."""
     whole = unit.startswith("\n")
-    piece = ~(whole | (unit == MARK))
+    piece = ~whole
     none = F.lit(0).cast("bigint")
-    out = [F.count_if(piece).alias("n"), F.count_if(unit == MARK).alias("copies")]
+    out = [F.count_if(piece).alias("n")]
     for i, seed in enumerate(WHOLE):
         h = F.when(whole, F.xxhash64(F.lit(seed), unit)).otherwise(none)
         for j in range(4):
@@ -51,13 +49,13 @@ def sums(unit: Column) -> list[Column]:
     return out
 
 
-def lanes(copies: Column) -> Column:
-    """The vector, from ``sums``; they have counted a document once for each of its equal rows."""
+def lanes() -> Column:
+    """The vector, from ``sums``."""
     low, n = F.lit(0xFFFFFFFF), F.col("n")
     equal = [F.col(f"e{i}") for i in range(EQUAL_LANES)]
     ones = [x for i in range(32 * len(SIGNS)) for x in (F.col(f"s{i}").bitwiseAND(low), F.shiftrightunsigned(f"s{i}", 32))]
     values = F.array(*equal, *[2 * x - n for x in ones])
-    return F.transform(values, lambda x: F.pmod(F.round(x / copies).cast("bigint"), F.lit(MODULUS)).cast("int"))
+    return F.transform(values, lambda x: F.pmod(x, F.lit(MODULUS)).cast("int"))
 
 
 def render(vector: Column) -> Column:
@@ -82,10 +80,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
-    """``keys`` and the vector ``name`` of each text; rows with equal keys must have equal texts."""
-    parts = F.concat(units(F.col(text)), F.array(F.lit(MARK)))
-    counted = texts.select(*keys, F.explode(parts).alias("unit")).groupBy(*keys).agg(*sums(F.col("unit")))
-    return counted.select(*keys, lanes(F.col("copies")).alias(name))
+    """``keys`` and the vector ``name`` of each text; ``keys`` must tell the texts apart."""
+    exploded = texts.select(*keys, F.explode(units(F.col(text))).alias("unit"))
+    return exploded.groupBy(*keys).agg(*sums(F.col("unit"))).select(*keys, lanes().alias(name))
 
 
 def followed(keys: DataFrame) -> DataFrame:
@@ -111,18 +108,20 @@ def followed(keys: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """Each document of ``keyed`` rows with ``nk, nh`` (see ``followed``) and its edited text: the last
-    half of its code points replaced by as many first ones, or all, of the following document."""
-    docs = docs.withColumn("size", F.char_length("text"))
-    order = followed(docs.select("k", "h", "size").distinct())
-    sent = order.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.col("k").alias("to_k"),
-                        F.col("h").alias("to_h"), F.expr("cast(size div 2 as int)").alias("half"))
-    heads = docs.join(sent, ["k", "h"]).select(
+    """``k, h, text`` of distinct documents with ``nk, nh``, the following one (see ``followed``), and the
+    edited text: the last half of the code points replaced by as many first ones, or all, of the following text.
+
+    The texts are dealt out once; what travels besides is the part that each sends to the one before it.
+    """
+    dealt = docs.repartition("k", "h").dropDuplicates(["k", "h"])
+    order = followed(docs.select("k", "h", F.char_length("text").alias("size")).distinct())
+    sent = order.selectExpr("nk as k", "nh as h", "k as to_k", "h as to_h", "size", "cast(size div 2 as int) as half")
+    heads = dealt.join(sent, ["k", "h"]).select(
         F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.col("k").alias("nk"), F.col("h").alias("nh"),
-        F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"),
+        "size", "half", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"),
     )
-    kept = F.substring(F.col("text"), F.lit(1), (F.col("size") - F.expr("size div 2")).cast("int"))
-    return docs.join(heads.dropDuplicates(["k", "h"]), ["k", "h"]).withColumn("edited", F.concat(kept, F.col("head")))
+    kept = F.substring(F.col("text"), F.lit(1), (F.col("size") - F.col("half")).cast("int"))
+    return dealt.join(heads, ["k", "h"]).withColumn("edited", F.concat(kept, F.col("head")))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -143,7 +142,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         F.max(F.when(~F.col("new"), F.col("vector"))).alias("own"), F.max(F.when(F.col("new"), F.col("vector"))).alias("changed")
     )
     texts = both.select(*keys, "nk", "nh", F.col("size").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    full = texts.dropDuplicates(keys).join(pair, keys)
+    full = texts.join(pair, keys)
     following = pair.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("own").alias("next_own"))
     return full.join(following, ["nk", "nh"]).select(
         id_of(F.col("k")).alias("doc_id"), "n_chars", "edited_sha256",
