@@ -101,9 +101,13 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        values = (self.data if data is None else data).astype(np.uint64) + np.uint64(1)
-        return _spans(values, self.start, self.end, BYTE_BASE)
+    def hashes(self) -> np.ndarray:
+        return _spans(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end, BYTE_BASE)
+
+    def beginnings(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of the words."""
+        end = np.minimum(self.end, self.start + size)
+        return _spans(self.data.astype(np.uint64) + np.uint64(1), self.start, end, BYTE_BASE)
 
 
 def runs(hashes: np.ndarray, length: int) -> np.ndarray:

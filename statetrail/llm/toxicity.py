@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence scores the logistic of a sum of weights of
-its words and word pairs; a document scores the noisy-or of its sentences, one minus the
+its words and of their beginnings; a document scores the noisy-or of its sentences, one minus the
 product of their complements. Weights are learned from labels of whole documents, and the
 sentences that carry a document over the threshold are located from their own scores.
 """
@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from statetrail.llm import arrays
 
-#: Weights are shared by features that hash alike, two to this power of them.
-BITS = 18
+#: Words have a weight if they are in this many documents of the sample at least, and toxic ones
+#: among these exceed the number expected by chance by so many standard deviations. Weights of all
+#: other words would be learned by heart.
+LEAST_DOCS, LEAST_Z = 5, 5.0
+#: Bytes of a word that count as its beginnings, besides the whole word.
+BEGINNINGS = (5, 7)
 #: Labelled documents that the weights are fitted on, at most, and the bytes of text beyond
 #: which a document is not learned from (every document is scored whole).
 TRAIN_ROWS, TRAIN_BYTES = 8_000, 20_000
-STEPS, RATE, DECAY = 40, 0.4, 1e-4
+STEPS, RATE, DECAY = 80, 0.2, 1e-4
 #: Bytes that end a sentence: full stop, exclamation and question mark, line feed.
 ENDS = np.isin(arrays.BYTES, [0x2E, 0x21, 0x3F, 0x0A])
 
@@ -50,19 +54,29 @@ class Bags:
         #: Bytes of the block that each sentence covers.
         self.from_byte = words.start[self.begin]
         self.to_byte = words.end[np.append(self.begin[1:], len(words))[: len(self.begin)] - 1] if len(words) else self.begin
-        h = words.hashes()
-        pair = arrays.runs(h, 2)
-        inner = ~new[1:]
-        first = np.arange(len(words) - 1)[inner] if len(words) else np.zeros(0, np.int64)
-        shift = np.uint64(64 - BITS)
-        place = np.repeat(np.arange(len(self.begin)), np.diff(np.append(self.begin, len(words))))
-        #: Feature numbers and the sentence of each.
-        self.feature = np.concatenate([h >> shift, pair[inner] >> shift]).astype(np.int32) if len(words) else np.zeros(0, np.int32)
-        self.place = np.concatenate([place, place[first]]).astype(np.int32) if len(words) else np.zeros(0, np.int32)
-
-
-def sentence_scores(weights: np.ndarray, feature: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    z = np.bincount(place, weights[feature], n) + weights[-1]
+        #: The hash of each word and beginning, and the sentence it is in, in order of sentences.
+        seen = [words.hashes(), *(words.beginnings(n) ^ np.uint64(n) for n in BEGINNINGS)]
+        self.words = np.stack(seen, axis=1).ravel()
+        self.place = np.repeat(np.arange(len(self.begin)), len(seen) * np.diff(np.append(self.begin, len(words))))
+
+
+class Weights:
+    """Weights of words, by their sorted hashes, and the bias of a sentence."""
+
+    def __init__(self, words: np.ndarray, values: np.ndarray, bias: float):
+        self.words, self.values, self.bias = words, values, bias
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words have a weight, and its number."""
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        known = np.flatnonzero(self.words[at] == words)
+        return known, at[known]
+
+
+def sentence_scores(values: np.ndarray, bias: float, feature: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    z = np.bincount(place, values[feature], n) + bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -70,30 +84,41 @@ def noisy_or(p: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def fit(label: np.ndarray, feature: np.ndarray, place: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Weights, the last one the bias, by Adam on the log-likelihood of the labels."""
+def fit(label: np.ndarray, words: np.ndarray, place: np.ndarray, owner: np.ndarray) -> Weights:
+    """Weights by Adam on the log-likelihood of the labels, with a quadratic penalty."""
     n, m = len(label), len(owner)
-    w = np.zeros((1 << BITS) + 1)
+    names, code = np.unique(words, return_inverse=True)
+    of_doc, in_docs = np.divmod(np.unique(owner[place].astype(np.int64) * len(names) + code), max(len(names), 1))
+    docs = np.bincount(in_docs, minlength=len(names))
+    toxic = np.bincount(in_docs, label[of_doc], len(names))
+    share = docs / max(n, 1)
+    chance = label.sum() * share
+    often = (docs >= LEAST_DOCS) & (toxic - chance >= LEAST_Z * np.sqrt(chance * (1 - share)))
+    vocabulary = Weights(names[often], np.zeros(often.sum()), 0.0)
+    known, feature = vocabulary.find(words)
+    place, size = place[known], len(vocabulary.words)
+    w = np.zeros(size + 1)
     w[-1] = -5.0
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        p = sentence_scores(w, feature, place, m)
+        p = sentence_scores(w[:-1], w[-1], feature, place, m)
         whole = np.clip(noisy_or(p, owner, n), 1e-9, 1 - 1e-9)
         slope = np.where(label == 1, -(1 - whole) / whole, 1.0)[owner] * p
-        grad = np.bincount(feature, slope[place], len(w)) / n + DECAY * w
-        grad[-1] = slope.sum() / n
+        grad = np.append(np.bincount(feature, slope[place], size), slope.sum()) / n
+        grad[:-1] += DECAY * w[:-1]
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
-        w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    return w
+        w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+    return Weights(vocabulary.words, w[:-1], float(w[-1]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights:
     """Weights from at most ``rows`` labelled documents outside the held-out fold.
 
     Which rows: the smallest hashes of ids, alike at every size. Labels other than 0 and 1
     and rows without an id are not learned from; of several labels the largest counts.
-    The sample is bounded, so its ids are broadcast and one task fits the weights.
+    The sample is bounded, so its ids are broadcast and one task fits the weights. Without
+    labels no word has a weight.
     """
     wanted = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -107,55 +132,48 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch["toxic"].to_numpy()
             for row, data, borders in arrays.blocks(batch["text"]):
-                b = Bags(data, borders)
-                at = np.searchsorted(b.place[np.argsort(b.place, kind="stable")], np.arange(len(b.begin) + 1))
-                features = b.feature[np.argsort(b.place, kind="stable")]
-                of_text = np.searchsorted(b.owner, np.arange(len(borders)))
-                out = [
-                    (int(toxic[row + i]), features[at[of_text[i]] : at[of_text[i + 1]]].tobytes(),
-                     np.diff(at[of_text[i] : of_text[i + 1] + 1]).astype(np.int32).tobytes())
-                    for i in range(len(borders) - 1)
-                ]
+                b, n = Bags(data, borders), len(borders) - 1
+                word_at = np.searchsorted(b.owner[b.place], np.arange(n + 1))
+                sentence_at = np.searchsorted(b.owner, np.arange(n + 1))
+                sizes = np.bincount(b.place, minlength=len(b.begin)).astype(np.int32)
+                cut = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                    names=["toxic", "feature", "size"],
+                    [batch["toxic"].slice(row, n), cut(b.words, word_at), cut(sizes, sentence_at)], names=["toxic", "words", "size"]
                 )
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["feature", "toxic"], kind="stable")
+        rows = rows.sort_values(["words", "toxic"], kind="stable")
         size = [np.frombuffer(x, np.int32) for x in rows["size"]]
-        feature = np.concatenate([np.frombuffer(x, np.int32) for x in rows["feature"]])
+        words = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["words"]])
         owner = np.repeat(np.arange(len(rows)), [len(x) for x in size])
-        place = np.repeat(np.arange(len(owner), dtype=np.int32), np.concatenate(size))
-        w = fit(rows["toxic"].to_numpy(), feature, place, owner)
-        return pd.DataFrame({"w": [w.astype("<f4").tobytes()]})
+        place = np.repeat(np.arange(len(owner)), np.concatenate(size))
+        w = fit(rows["toxic"].to_numpy(), words, place, owner)
+        return pd.DataFrame({"words": [w.words.tobytes()], "weights": [w.values.tobytes()], "bias": [w.bias]})
 
-    bagged = sample.mapInArrow(bags, "toxic int, feature binary, size binary").withColumn("one", F.lit(1))
-    got = bagged.groupBy("one").applyInPandas(fitted, "w binary").first()
+    bagged = sample.mapInArrow(bags, "toxic int, words binary, size binary").withColumn("one", F.lit(1))
+    got = bagged.groupBy("one").applyInPandas(fitted, "words binary, weights binary, bias double").first()
     if got is None:
-        w = np.zeros((1 << BITS) + 1)
-        w[-1] = -5.0
-        return w
-    return np.frombuffer(got["w"], "<f4").astype(np.float64)
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), -5.0)
+    return Weights(np.frombuffer(got["words"], np.uint64), np.frombuffer(got["weights"]), got["bias"])
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, weights: Weights) -> DataFrame:
     """``doc_id``, ``score`` and ``sentences``: where (in bytes) those sentences are that score 0.5 or more by themselves.
 
     A row for each row of ``docs``. Null and empty texts have no sentence and score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
     schema = "doc_id bigint, score double, sentences array<struct<from_byte bigint, to_byte bigint>>"
     span = pa.struct([("from_byte", pa.int64()), ("to_byte", pa.int64())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value.astype(np.float64)
+        w = shared.value
         for batch in batches:
             for row, data, borders in arrays.blocks(batch["text"]):
                 b, n = Bags(data, borders), len(borders) - 1
-                p = sentence_scores(w, b.feature, b.place, len(b.begin))
+                known, feature = w.find(b.words)
+                p = sentence_scores(w.values, w.bias, feature, b.place[known], len(b.begin))
                 whole = noisy_or(p, b.owner, n)
                 bad = np.flatnonzero(p >= 0.5)
                 at = np.searchsorted(b.owner[bad], np.arange(n + 1)).astype(np.int32)
