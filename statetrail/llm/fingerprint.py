@@ -49,29 +49,33 @@ def sums(unit: Column) -> list[Column]:
     return out
 
 
+def wrapped(x: Column) -> Column:
+    """``x`` modulo 2**16, as a SMALLINT from -32768 on."""
+    return (F.pmod(x + MODULUS // 2, F.lit(MODULUS)) - MODULUS // 2).cast("smallint")
+
+
 def lanes() -> Column:
     """The vector, from ``sums``."""
     low, n = F.lit(0xFFFFFFFF), F.col("n")
     equal = [F.col(f"e{i}") for i in range(EQUAL_LANES)]
     ones = [x for i in range(32 * len(SIGNS)) for x in (F.col(f"s{i}").bitwiseAND(low), F.shiftrightunsigned(f"s{i}", 32))]
-    values = F.array(*equal, *[2 * x - n for x in ones])
-    return F.transform(values, lambda x: F.pmod(x, F.lit(MODULUS)).cast("int"))
+    return F.transform(F.array(*equal, *[2 * x - n for x in ones]), wrapped)
 
 
 def render(vector: Column) -> Column:
     """A vector as text, four hexadecimal digits a component."""
-    return F.lower(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(x), 4, "0")), ""))
+    digits = F.transform(vector, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(MODULUS))), 4, "0"))
+    return F.lower(F.array_join(digits, ""))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Vector of the paragraphs of both; with ``sign=-1`` those of ``b`` are taken out of ``a``."""
-    return F.zip_with(a, b, lambda x, y: F.pmod(x + sign * y, F.lit(MODULUS)))
+    return F.zip_with(a, b, lambda x, y: wrapped(x.cast("int") + sign * y.cast("int")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated 2<a,b> / (<a,a> + <b,b>) of the multisets of pieces, in 0 to 1; equal vectors: 1."""
-    signed = lambda x: F.when(x >= MODULUS // 2, x - MODULUS).otherwise(x).cast("double")
-    like = lambda v: F.transform(F.slice(v, EQUAL_LANES + 1, LIKE_LANES), signed)
+    like = lambda v: F.transform(F.slice(v, EQUAL_LANES + 1, LIKE_LANES), lambda x: x.cast("double"))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
     product = total(F.zip_with(like(a), like(b), lambda x, y: x * y))
     norms = total(F.zip_with(like(a), like(b), lambda x, y: x * x + y * y))
@@ -107,14 +111,12 @@ def followed(keys: DataFrame) -> DataFrame:
     )
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """``k, h, text`` of distinct documents with ``nk, nh``, the following one (see ``followed``), and the
-    edited text: the last half of the code points replaced by as many first ones, or all, of the following text.
+def edited(dealt: DataFrame, order: DataFrame) -> DataFrame:
+    """``k, h, text`` of distinct documents with ``nk, nh, size`` of ``order`` (see ``followed``) and the edited
+    text: the last half of the code points replaced by as many first ones, or all, of the following text.
 
-    The texts are dealt out once; what travels besides is the part that each sends to the one before it.
+    Besides the texts, only the part travels that each sends to the document before it.
     """
-    dealt = docs.repartition("k", "h").dropDuplicates(["k", "h"])
-    order = followed(docs.select("k", "h", F.char_length("text").alias("size")).distinct())
     sent = order.selectExpr("nk as k", "nh as h", "k as to_k", "h as to_h", "size", "cast(size div 2 as int) as half")
     heads = dealt.join(sent, ["k", "h"]).select(
         F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.col("k").alias("nk"), F.col("h").alias("nh"),
@@ -131,22 +133,23 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     A null id counts as the smallest id and a null text as empty. Rows equal in id and text are
     one document and give one row. An empty text has one empty paragraph. No documents, no rows.
     """
-    both = edited(keyed(docs))
-    keys = ["k", "h"]
+    slim = keyed(docs)
+    order = followed(slim.select("k", "h", F.char_length("text").alias("size")).distinct())
+    dealt = slim.repartition("k", "h").dropDuplicates(["k", "h"])
+    both = edited(dealt, order).withColumn("edited_sha256", F.sha2("edited", 256))
+    keys = ["k", "h", "nk", "nh", "size", "edited_sha256"]
     versions = both.select(*keys, F.explode(F.array(
         F.struct(F.lit(False).alias("new"), F.col("text").alias("text")),
         F.struct(F.lit(True).alias("new"), F.col("edited").alias("text")),
     )).alias("v")).select(*keys, "v.*")
-    vectors = fingerprints(versions, [*keys, "new"], "text", "vector")
-    pair = vectors.groupBy(*keys).agg(
-        F.max(F.when(~F.col("new"), F.col("vector"))).alias("own"), F.max(F.when(F.col("new"), F.col("vector"))).alias("changed")
+    pair = fingerprints(versions, [*keys, "new"], "text", "vector").groupBy(*keys).agg(
+        F.max(F.when(~F.col("new"), F.col("vector"))).alias("own"),
+        F.max(F.when(F.col("new"), F.col("vector"))).alias("changed"),
     )
-    texts = both.select(*keys, "nk", "nh", F.col("size").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    full = texts.join(pair, keys)
-    following = pair.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("own").alias("next_own"))
-    return full.join(following, ["nk", "nh"]).select(
-        id_of(F.col("k")).alias("doc_id"), "n_chars", "edited_sha256",
+    following = fingerprints(dealt, ["k", "h"], "text", "following").withColumnsRenamed({"k": "nk", "h": "nh"})
+    return pair.join(following, ["nk", "nh"]).select(
+        id_of(F.col("k")).alias("doc_id"), F.col("size").cast("bigint").alias("n_chars"), "edited_sha256",
         render(F.col("own")).alias("fingerprint"), render(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
