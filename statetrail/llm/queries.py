@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statetrail.llm import chat, fingerprint, licenses, toxicity
+from statetrail.llm import bpe, chat, fingerprint, licenses, linedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +68,40 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return bpe.digest_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of runs of two lines or more."""
+    return linedup.dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+ORACLES["op10_line_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM d
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), p AS (
+  SELECT a.doc_id, a.seq, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.seq) AS copy
+  FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.seq = a.seq + 1
+), gone AS (
+  SELECT doc_id, seq FROM p WHERE copy > 1 UNION SELECT doc_id, seq + 1 FROM p WHERE copy > 1
+), m AS (
+  SELECT l.doc_id, l.pos, l.line, g.seq IS NOT NULL AS removed
+  FROM l LEFT JOIN s ON l.doc_id = s.doc_id AND l.pos = s.pos LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.seq = g.seq
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT removed), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
