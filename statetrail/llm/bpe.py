@@ -165,7 +165,7 @@ def ids_of_block(table: PieceTable, data: np.ndarray, borders: np.ndarray) -> tu
     start, end, first = split(data, borders)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(len(borders), np.int64)
-    ids, counts, _ = table.look_up(data, start, end)
+    ids, counts, *_ = table.look_up(data, start, end)
     return ids, np.concatenate([[0], np.cumsum(counts)])[first]
 
 

@@ -110,8 +110,8 @@ class PieceTable:
         where = np.searchsorted(self.keys, keys)
         self.keys, self.number = np.insert(self.keys, where, keys), np.insert(self.number, where, numbers)
 
-    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids of consecutive pieces, how many each has, and a number that names each piece in this table."""
+    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Flat ids of consecutive pieces, how many each has, the distinct hashes and which of them each piece has."""
         if len(self.keys) > REMEMBERED:
             self.clear()
         hashes = arrays._spans(data.astype(np.uint64) + np.uint64(1), start, end, arrays.BYTE_BASE)
@@ -124,4 +124,4 @@ class PieceTable:
             place = np.searchsorted(self.keys, keys)
         number = self.number[place][inverse]
         counts = self.at[number + 1] - self.at[number]
-        return self.ids[np.repeat(self.at[number], counts) + arrays.ragged(counts)], counts, number
+        return self.ids[np.repeat(self.at[number], counts) + arrays.ragged(counts)], counts, keys, inverse

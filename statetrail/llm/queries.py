@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statetrail.llm import bpe, chat, fingerprint, licenses, linedup, toxicity
+from statetrail.llm import bpe, chat, fingerprint, hnsw, licenses, linedup, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +105,15 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT removed), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+@query
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id 20 divides, among all others."""
+    return hnsw.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
