@@ -85,7 +85,7 @@ def dedup_lines(
     counted as part of a run and always kept. Earlier is a smaller id, of equal ids a smaller
     hash of the text, of one text a smaller place. Runs are judged on the input. A null id
     counts as the smallest, a null text as empty (one blank line). Rows equal in id and text
-    are one document and get the same result; every row of ``docs`` gives one, with all its
+    are one document and get the same result; every row of ``docs`` gives one, with its other
     columns in ``row`` if ``rows`` is set.
     """
     whole = keyed(docs, id_col, text_col, rows)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statetrail.llm import bpe, chat, fingerprint, hnsw, licenses, linedup, packing, toxicity
+from statetrail.llm import bpe, chat, debruijn, fingerprint, hnsw, licenses, linedup, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +117,26 @@ def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of runs of 20 that also start earlier."""
+    return debruijn.dedup_substrings(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(debruijn.words_joined(F.col("text")), 256).alias("kept_sha256")
+    )
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS copy FROM s
+), gone AS (SELECT DISTINCT doc_id, i + o AS i FROM r, range(20) AS t(o) WHERE copy > 1),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+m AS (SELECT p.*, g.i IS NOT NULL AS removed FROM p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (m.removed) AS n_removed,
+  sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.i) FILTER (NOT m.removed), '')) AS kept_sha256
+FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id, d.w
+"""

@@ -22,7 +22,7 @@ def settle(frame: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
-    """``k`` and ``h`` name a document, ``text`` is its text; ``rows`` keeps all its columns in ``row``.
+    """``k`` and ``h`` name a document, ``text`` is its text; ``rows`` keeps its other columns in ``row``.
 
     A null id counts as the smallest id, a null text as empty. Rows equal in id and
     text are one document, rows that share an id but not the text are several.
@@ -34,7 +34,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
         text.alias("text"),
     ]
     if rows:
-        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
     return docs.select(*columns)
 
 
