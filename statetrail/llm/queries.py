@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statetrail.llm import bpe, chat, debruijn, fingerprint, hnsw, licenses, linedup, packing, toxicity
+from statetrail.llm import bpe, chat, debruijn, fingerprint, hnsw, jaccard, licenses, linedup, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,3 +140,9 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (m.removed
   sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.i) FILTER (NOT m.removed), '')) AS kept_sha256
 FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id, d.w
 """
+
+
+@query
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents, as components."""
+    return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
