@@ -196,3 +196,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, learn(docs, labels)).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences"
     )
+
+
+def toxicity_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose texts score 0.5 or more; all else stays as it is."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            for row, data, borders in arrays.blocks(batch["text"]):
+                b, n = Bags(data, borders), len(borders) - 1
+                known, feature = w.find(b.words)
+                p = sentence_scores(w.values, w.bias, feature, b.place[known], len(b.begin))
+                yield batch.slice(row, n).filter(pa.array(noisy_or(p, b.owner, n) < 0.5))
+
+    return docs.mapInArrow(kept, docs.schema)
