@@ -199,7 +199,8 @@ def copied_paths(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     """``k, place, n, source_k, source_place``: maximal paths of ``n`` edges that also start earlier."""
     here = F.struct("k", "place")
     same = Window.partitionBy("run", "content")
-    pieces = _pieces(docs).select("*", F.min(here).over(same).alias("first"))
+    # dealt out once for both windows and for both uses of the result
+    pieces = _pieces(docs).repartition("run").select("*", F.min(here).over(same).alias("first"))
     run = Window.partitionBy("run")
     pieces = pieces.select("*", (F.min("content").over(run) != F.max("content").over(run)).alias("branches"))
     pieces = pieces.withColumn("n", F.col("content").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)))
