@@ -41,8 +41,8 @@ def ranked(suffixes: DataFrame, first: str, second: str) -> DataFrame:
     since numbering is not the same when it is done again.
     """
     pairs = suffixes.groupBy(first, second).count().where("count > 1").select(first, second)
-    names = settle(pairs.orderBy(first, second).withColumn("rank", F.monotonically_increasing_id()))
-    return suffixes.join(names, [first, second]).drop(first, second)
+    names = settle(pairs.orderBy(first, second).withColumn("named", F.monotonically_increasing_id()))
+    return suffixes.join(names, [first, second]).drop(first, second).withColumnRenamed("named", "rank")
 
 
 def repeated_starts(lines: DataFrame, min_lines: int) -> DataFrame:
