@@ -52,7 +52,13 @@ def _words(data: np.ndarray, borders: np.ndarray) -> arrays.Words:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """``run, content, k, place`` of every path piece; ``place`` is the text's number, then the first edge's word."""
+    """``run, content, k, place`` of every path piece; ``place`` is the text's number, then the first edge's word.
+
+    Contents are combined before they travel: in a block of texts only the earliest piece of a
+    content looks for partners, the others have it as ``source_k, source_place``. So what many
+    texts share, or one text repeats, doesn't gather.
+    """
+    names = ["run", "content", "k", "place", "source_k", "source_place"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,12 +82,26 @@ def _pieces(docs: DataFrame) -> DataFrame:
                 content = (content >> np.uint64(COUNT_BITS) << np.uint64(COUNT_BITS)) | size.astype(np.uint64)
                 of = row + owner[start]
                 place = (g[of] << 32) | (start - words.first[owner[start]])
+                run, first = small[at[start]], _first_of_block(content, k[of], place)
+                copy = (k[of] != k[of][first]) | (place != place[first])
+                # a copy needs no partner any more: it goes anywhere, with its source
+                run = np.where(copy, arrays.mix(k[of].view(np.uint64) ^ arrays.mix(place.view(np.uint64))), run)
+                source = [pa.array(x[first], mask=~copy) for x in (k[of], place)]
                 yield pa.RecordBatch.from_arrays(
-                    [arrays.int64(small[at[start]]), arrays.int64(content), pa.array(k[of]), pa.array(place)],
-                    names=["run", "content", "k", "place"],
+                    [arrays.int64(run), arrays.int64(content), pa.array(k[of]), pa.array(place), *source], names=names
                 )
 
-    return docs.mapInArrow(found, "run bigint, content bigint, k bigint, place bigint")
+    return docs.mapInArrow(found, ", ".join(f"{c} bigint" for c in names))
+
+
+def _first_of_block(content: np.ndarray, k: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each piece of a block, the number of the earliest one of equal content."""
+    order = np.lexsort((place, k, content))
+    new = np.ones(len(order), bool)
+    new[1:] = content[order[1:]] != content[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return out
 
 
 def _items(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
@@ -205,8 +225,10 @@ def copied_paths(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     pieces = pieces.select("*", (F.min("content").over(run) != F.max("content").over(run)).alias("branches"))
     pieces = pieces.withColumn("n", F.col("content").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)))
     source = [F.col("first.k").alias("source_k"), F.col("first.place").alias("source_place")]
-    whole = pieces.where(here != F.col("first")).select("k", "place", "n", *source)
-    branching = pieces.where((here == F.col("first")) & F.col("branches"))
+    known = F.col("source_k").isNotNull()
+    either = [F.when(known, F.col(c)).otherwise(f).alias(c) for c, f in zip(("source_k", "source_place"), (F.col("first.k"), F.col("first.place")), strict=True)]
+    whole = pieces.where(known | (here != F.col("first"))).select("k", "place", "n", *either)
+    branching = pieces.where(~known & (here == F.col("first")) & F.col("branches"))
     edges = _edges(dealt.join(_gathered(branching, "k", "place", "n"), ["k", "g"]).select("k", "text", "items"))
     edges = edges.select("*", F.min(here).over(Window.partitionBy("edge")).alias("first"))
     single = edges.where(here != F.col("first")).select("k", "place", F.lit(1).cast("bigint").alias("n"), *source)
