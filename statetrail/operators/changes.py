@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from statetrail.operators.slices import HOT_ROWS, Probe, changed
+from statetrail.operators.slices import HOURS, Bins, changed
 
 
-def changes(
-    df: DataFrame,
-    key: str | list[str],
-    order: list[str],
-    compare: list[str],
-    hot_rows: int | None = HOT_ROWS,
-    probe: Probe | None = None,
-) -> DataFrame:
+def changes(df: DataFrame, key: str | list[str], order: list[str], compare: list[str], bins: Bins = HOURS) -> DataFrame:
     """Rows whose ``compare`` columns differ from the row before in their group.
 
     The columns must have equality; use a comparable form for maps and VARIANTs.
-    A missing value is NULL and equals NULL. One shuffle on the key; groups of more
-    than ``hot_rows`` rows, counted on ``probe`` if given, are spread over tasks.
+    A missing value is NULL and equals NULL, also in the key.
     """
     keys = [key] if isinstance(key, str) else key
-    return changed(df, keys, order, compare, hot_rows, probe).filter("_changed").drop("_changed")
+    return changed(df, keys, order, compare, bins).filter("_changed").drop("_changed")
+
+
+def slim_changes(
+    df: DataFrame, key: list[str], order: list[str], digest: str, place: list[str], bins: Bins = HOURS
+) -> DataFrame:
+    """As ``changes`` on one ``digest``, for wide rows: only key, order and digest go
+    through the windows, and the rows kept are found again by ``place``, the columns
+    that name a row and are never missing."""
+    narrow = df.select(*dict.fromkeys([*key, *order, digest, *place]))
+    kept = changes(narrow, key, order, [digest], bins).select(F.struct(*place).alias("_place"))
+    return df.withColumn("_place", F.struct(*place)).join(kept, "_place", "left_semi").drop("_place")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from statetrail.functions.patterns import UUID_V4
 from statetrail.operators.apart import distinct_apart
 
-BROADCAST_IDS = 2_000_000
+#: Bytes of ids that are broadcast to all executors, at most.
+BROADCAST_BYTES = 100_000_000
 
 
 def mentioned(text: Column, pattern: str = UUID_V4, normalize: bool = False) -> Column:
@@ -32,10 +33,12 @@ def extract_entities(
     return lines.withColumn("entity_id", F.explode(mentioned(F.col(text), pattern, normalize)))
 
 
-def fits_broadcast(entities: DataFrame, max_ids: int = BROADCAST_IDS) -> bool:
-    """Whether there are at most ``max_ids`` distinct ids. An id is some 40 bytes,
-    so the default bounds a broadcast by 100 MB."""
-    return entities.select("entity_id").distinct().limit(max_ids + 1).count() <= max_ids
+def fits_broadcast(entities: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the distinct ids have at most ``max_bytes``, 24 counted for each besides
+    its text. An aggregate, so ids of any number and length stay where they are."""
+    ids = entities.select("entity_id").distinct()
+    size = ids.agg(F.sum(F.coalesce(F.octet_length("entity_id"), F.lit(0)) + 24)).first()[0]
+    return (size or 0) <= max_bytes
 
 
 def match_entities(
@@ -44,21 +47,21 @@ def match_entities(
     text: str = "value",
     pattern: str = UUID_V4,
     broadcast: str | bool = "auto",
-    max_broadcast_ids: int = BROADCAST_IDS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
     normalize: bool = False,
 ) -> DataFrame:
     """One row per line and wanted id in it.
 
-    ``broadcast="auto"`` counts the ids and broadcasts them when they are few, so
+    ``broadcast="auto"`` measures the ids and broadcasts them when they are few, so
     the lines stay where they are. Beyond that the join shuffles, with nothing
     hinted; adaptive execution then splits the partition of a hot id. Pass the
-    outcome of ``fits_broadcast`` to count once for several sources.
+    outcome of ``fits_broadcast`` to measure once for several sources.
     """
     if normalize:
         plain = F.lower(F.replace("entity_id", F.lit("-"), F.lit("")))
         entities = entities.select(plain.alias("entity_id"))
     if broadcast == "auto":
-        broadcast = fits_broadcast(entities, max_broadcast_ids)
+        broadcast = fits_broadcast(entities, max_broadcast_bytes)
     if broadcast:
         wanted = F.broadcast(entities.select("entity_id").distinct())
     else:

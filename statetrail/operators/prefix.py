@@ -15,50 +15,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statetrail.operators.lineage import settle_rounds
-from statetrail.operators.slices import HOT_ROWS, Probe, changed, next_flagged, numbered
+from statetrail.operators.slices import HOURS, Bins, changed, next_flagged, numbered
 from statetrail.operators.snapshots import table_rows
 
 CELL = ["host", "table", "row_pos"]
 
 
-def prefix_changes(
-    snapshots: DataFrame,
-    order: list[str] | None = None,
-    hot_rows: int | None = HOT_ROWS,
-    probe: Probe | None = None,
-) -> DataFrame:
-    """First snapshot of a host and each one that replaces the kept one before."""
-    placed = numbered(snapshots, ["host"], order or ["ts_text", "seq"], hot_rows, probe)
-    pointers = settle_rounds(_pointers(placed, hot_rows))
+def prefix_changes(snapshots: DataFrame, order: list[str] | None = None, bins: Bins = HOURS) -> DataFrame:
+    """First snapshot of a host and each one that replaces the kept one before.
+
+    ``seq`` names a snapshot. Places and digests are worked out once each and written
+    in slim form; whole snapshots are only read again for those kept.
+    """
+    order = order or ["ts_text", "seq"]
+    slim = snapshots.select(*dict.fromkeys(["host", *order, "seq"]))
+    placed = settle_rounds(numbered(slim, ["host"], order, bins).select("host", "seq", "pos"))
     start = placed.select("host", "pos").filter("pos = 1")
+    rows = table_rows(snapshots.select("seq", "tables")).join(placed, "seq").select(*CELL, "pos", "digest")
+    pointers = settle_rounds(_pointers(rows, bins))
     # Only the start and what is pointed at can be kept. A long run of equal
     # snapshots, which all point to its end, leaves one pointer.
     targets = pointers.select("host", F.col("next").alias("pos")).union(start).distinct()
     pointers = settle_rounds(pointers.join(targets, ["host", "pos"], "left_semi"))
-    return placed.join(_follow(start, pointers), ["host", "pos"]).drop("pos")
+    kept = placed.join(_follow(start, pointers), ["host", "pos"]).select("seq")
+    return snapshots.join(kept, "seq", "left_semi")
 
 
-def _pointers(placed: DataFrame, hot_rows: int | None) -> DataFrame:
+def _pointers(rows: DataFrame, bins: Bins) -> DataFrame:
     """(host, pos, next): where the snapshot at ``pos`` would be replaced."""
-    rows = table_rows(placed.select("host", "pos", "tables"))
-    flagged = changed(rows, CELL, ["pos"], ["digest"], hot_rows)
-    ahead = next_flagged(flagged, CELL, "pos", "_changed", hot_rows)
+    flagged = changed(rows, CELL, ["pos"], ["digest"], bins)
+    ahead = next_flagged(flagged, CELL, "pos", "_changed", bins)
     return ahead.groupBy("host", "pos").agg(F.min("_next").alias("next")).filter("next is not null")
 
 
 def _follow(start: DataFrame, pointers: DataFrame) -> DataFrame:
     """Places reached from the start; doubles the reach of the pointers each round,
-    so a chain of a billion steps takes thirty rounds."""
+    so a chain of a billion steps takes thirty rounds. Ends when none is left."""
     kept = settle_rounds(start)
-    size = kept.count()
-    while True:
+    while not pointers.isEmpty():
         reached = kept.join(pointers, ["host", "pos"]).select("host", F.col("next").alias("pos"))
         kept = settle_rounds(kept.union(reached).distinct())
-        grown = kept.count()
-        if grown == size:
-            return kept
-        size = grown
         onward = pointers.select("host", F.col("pos").alias("next"), F.col("next").alias("_onward"))
         pointers = settle_rounds(
             pointers.join(onward, ["host", "next"]).select("host", "pos", F.col("_onward").alias("next"))
         )
+    return kept

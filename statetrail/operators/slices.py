@@ -1,208 +1,122 @@
 """Ordered work on groups of which a few may be huge.
 
-A window over a key puts all rows of that key in one task. Here a group with too
-many rows is cut into slices, contiguous in the order of the group, and what one
-row has to know of the slices before its own is worked out from one row per slice
-and handed to the slice. The answer is that of the plain window, for every row.
-
-Deciding costs one counting pass over the key column, or over a sample of the
-rows where parsing them all a second time would be dear. What is cut never changes
-a result, only the sizes of tasks, so an estimate is enough. Only when a group is
-over the limit do two narrow passes over that group follow.
+A window over a key puts all rows of that key in one task. Here every group is cut
+into slices that are a fixed function of the row: its key and a bin of the first
+order column, which rises with the order. The window runs inside (key, bin). What a
+row has to know of the bins before its own comes from one pre-aggregated row per
+(key, bin), folded over bins in two levels, and is joined back to the rows. The
+answer is that of the plain window for every row and any width of the bins; nothing
+is counted or sampled to decide, and nothing is collected or broadcast.
+
+Missing keys are one group. Keys and bins travel packed in a struct, which compares
+missing parts as equal.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from itertools import groupby
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statetrail.functions.let import let
-
-HOT_ROWS = 5_000_000
-MAX_SLICES = 2_000
-SAMPLES_PER_SLICE = 16
-FAN_OUT = 32
-COLD = -1
-
 
 @dataclass(frozen=True)
-class Probe:
-    """Rows to count instead of all: a random ``share`` of them, taken as early as
-    possible. Only the choice of cuts rests on it."""
-
-    df: DataFrame
-    share: float
-
-
-PROBE_SHARE = 0.01
+class Bins:
+    """Widths of the bins. Text is cut to its first characters: of a time written
+    ``YYYY-MM-DD hh:mm:ss``, 13 are the hour and 7 the month. Numbers are divided."""
 
+    text: tuple[int, int] = (13, 7)
+    number: tuple[int, int] = (100_000, 100_000_000)
 
-def sample_lines(lines: DataFrame, share: float = PROBE_SHARE) -> DataFrame:
-    """Lines for a probe, taken before anything is parsed."""
-    return lines.sample(share, seed=11)
+    def of(self, df: DataFrame, column: str) -> tuple[Column, Column]:
+        """The bin of a row, and the coarser bin of that."""
+        c = F.col(column)
+        if isinstance(df.schema[column].dataType, T.StringType):
+            fine, coarse = (F.substring(c, 1, n) for n in self.text)
+        else:
+            fine, coarse = (F.floor(c / n) for n in self.number)
+        return fine, coarse
 
 
-@dataclass(frozen=True)
-class Sliced:
-    """A frame with the column ``_slice``; ``hot`` has the rows of the cut groups and
-    is None when there are none."""
-
-    df: DataFrame
-    keys: list[str]
-    order: list[str]
-    hot: DataFrame | None
-
-    def window(self):
-        return Window.partitionBy(*self.keys, "_slice").orderBy(*self.order)
-
-    def per_slice(self, *aggregates: Column) -> DataFrame:
-        """Aggregates of the slices of cut groups: a row per slice, partially
-        aggregated before the shuffle."""
-        return self.hot.groupBy(*self.keys, "_slice").agg(*aggregates)
-
-    def across(self):
-        """Window over the slices of a group, at most a few thousand rows in all."""
-        return Window.partitionBy(*self.keys).orderBy("_slice")
-
-    def hand_over(self, carried: DataFrame) -> DataFrame:
-        """Join per-slice values back; there are at most a few thousand of them."""
-        return self.df.join(F.broadcast(carried), [*self.keys, "_slice"], "left")
-
-
-def cut(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    hot_rows: int | None = HOT_ROWS,
-    max_slices: int = MAX_SLICES,
-    probe: Probe | None = None,
-) -> Sliced:
-    """Number the slices of groups with more than ``hot_rows`` rows.
-
-    The limit grows with the data so that there are never more than about
-    ``max_slices`` slices, which bounds what is collected and broadcast here.
-    ``hot_rows=None`` skips the counting pass for data known to be even.
-    """
-    plain = Sliced(df.withColumn("_slice", F.lit(COLD)), keys, order, None)
-    if hot_rows is None:
-        return plain
-    probe = probe or Probe(df, 1.0)
-    counts = probe.df.groupBy(*keys).agg((F.count(F.lit(1)) / probe.share).alias("_n"))
-    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(hot_rows, int(total or 0) // max_slices)
-    if largest is None or largest <= limit:
-        return plain
-    splits = _split_points(probe, counts.filter(F.col("_n") > limit).drop("_n"), keys, order, limit)
-    here = F.struct(*order)
+HOURS = Bins()
+KEY, FINE, COARSE = "_group.key", "_group.fine", "_group.coarse"
 
-    def number(group: Column) -> Column:
-        within = F.size(F.filter(F.get("_splits", group - 1), lambda b: b <= here))
-        return F.when(group == 0, 0).otherwise((group - 1) * FAN_OUT + within)
 
-    in_hot = let(F.size(F.filter("_heads", lambda b: b <= here)), number)
+def sliced(df: DataFrame, keys: list[str], order: list[str], bins: Bins = HOURS) -> DataFrame:
+    """Add ``_group``, the key and the bin of each row."""
+    fine, coarse = bins.of(df, order[0])
+    parts = F.struct(F.struct(*keys).alias("key"), coarse.alias("coarse"), fine.alias("fine"))
+    return df.withColumn("_group", parts)
 
-    def placed(how: str) -> DataFrame:
-        joined = df.join(F.broadcast(splits), keys, how)
-        cut_up = joined.withColumn("_slice", F.when(F.col("_heads").isNull(), COLD).otherwise(in_hot))
-        return cut_up.drop("_heads", "_splits")
 
-    return Sliced(placed("left"), keys, order, placed("inner"))
+def inside(order: list[Column | str]):
+    """Window over the rows of a slice."""
+    return Window.partitionBy("_group").orderBy(*order)
 
 
-def _split_points(probe: Probe, hot: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
-    """Cut points of the hot groups, taken from a sample of their order columns.
+def carried(per_slice: DataFrame, fold, join, descending: bool = False) -> DataFrame:
+    """``_group`` and ``_carried``, the fold of ``_value`` over the slices of the key
+    that come before (or after, if ``descending``).
 
-    The sample only places the cuts; no row is lost to it. It holds some
-    ``SAMPLES_PER_SLICE`` values per slice, and so is bounded like the slices.
+    ``fold`` is an aggregate that also works over a window, ``join`` puts the fold of
+    coarser bins and that of bins inside the own coarse bin together. No window holds
+    more than the fine bins of one coarse bin, or the coarse bins of one key.
     """
-    df = probe.df
-    share = min(1.0, SAMPLES_PER_SLICE / limit / probe.share)
-    step = max(1, round(limit * share * probe.share))
-    at = F.struct(*order).alias("at")
-    sampled = df.select(*keys, at).join(F.broadcast(hot), keys).sample(share, seed=7)
-    rows = sampled.sort(*keys, "at").collect()
-    found = []
-    for key, members in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
-        points = [r["at"] for r in members][step - 1 :: step]
-        if points:
-            blocks = [points[i : i + FAN_OUT] for i in range(0, len(points), FAN_OUT)]
-            found.append((*key, [b[0] for b in blocks], blocks))
-    point = sampled.schema["at"].dataType
-    schema = T.StructType(
-        [T.StructField(k, df.schema[k].dataType) for k in keys]
-        + [
-            T.StructField("_heads", T.ArrayType(point)),
-            T.StructField("_splits", T.ArrayType(T.ArrayType(point))),
-        ]
+    direction = F.desc if descending else F.asc
+    before = (Window.unboundedPreceding, -1)
+    near = Window.partitionBy(KEY, COARSE).orderBy(direction(FINE)).rowsBetween(*before)
+    whole = Window.partitionBy("key").orderBy(direction("coarse")).rowsBetween(*before)
+    # ordered inside the aggregate, since a group has no order of its own
+    folded = per_slice.select("*", fold("_value").over(near).alias("_near"))
+    totals = (
+        per_slice.select(
+            F.col(KEY).alias("key"), F.col(COARSE).alias("coarse"),
+            fold("_value").over(
+                Window.partitionBy(KEY, COARSE).orderBy(direction(FINE)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            ).alias("_all"),
+            F.row_number().over(Window.partitionBy(KEY, COARSE).orderBy(direction(FINE))).alias("_nth"),
+        )
+        .filter("_nth = 1")
+        .select(F.struct("key", "coarse").alias("_month"), fold("_all").over(whole).alias("_far"))
     )
-    return df.sparkSession.createDataFrame(found, schema)
+    both = folded.withColumn("_month", F.struct(F.col(KEY).alias("key"), F.col(COARSE).alias("coarse"))).join(totals, "_month")
+    return both.select("_group", join(F.col("_near"), F.col("_far")).alias("_carried"))
 
 
-def changed(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    compare: list[str],
-    hot_rows: int | None = HOT_ROWS,
-    probe: Probe | None = None,
-) -> DataFrame:
+def changed(df: DataFrame, keys: list[str], order: list[str], compare: list[str], bins: Bins = HOURS) -> DataFrame:
     """Add ``_changed``: whether a row is the first of its group or differs in any
     ``compare`` column from the row before."""
-    s = cut(df, keys, order, hot_rows, probe=probe)
-    w = s.window()
+    rows = sliced(df, keys, order, bins)
+    w = inside(order)
+    state = F.struct(F.struct(*compare).alias("state"))
+    last = rows.groupBy("_group").agg(F.max_by(state, F.struct(*order)).alias("_value"))
+    ahead = carried(last, lambda c: F.last(c, ignorenulls=True), lambda near, far: F.coalesce(near, far))
     seen = {f"_prev_{i}": F.lag(c).over(w) for i, c in enumerate(compare)}
-    with_prev = s.df
-    if s.hot is not None:
-        last = s.per_slice(F.max_by(F.struct(*compare), F.struct(*order)).alias("_last"))
-        carried = last.select(*keys, "_slice", F.lag("_last").over(s.across()).alias("_carried"))
-        with_prev = s.hand_over(carried)
-    with_prev = with_prev.withColumns({"_first": F.row_number().over(w) == 1, **seen})
+    placed = rows.withColumns({"_first": F.row_number().over(w) == 1, **seen}).join(ahead, "_group")
     moved = reduce(or_, [~F.col(f"_prev_{i}").eqNullSafe(F.col(c)) for i, c in enumerate(compare)])
-    at_start = F.lit(True)
-    if s.hot is not None:
-        before = F.col("_carried")
-        at_start = before.isNull() | ~before.eqNullSafe(F.struct(*compare))
-    flagged = with_prev.withColumn("_changed", F.when(F.col("_first"), at_start).otherwise(moved))
-    return flagged.drop("_slice", "_carried", "_first", *seen)
-
-
-def numbered(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    hot_rows: int | None = HOT_ROWS,
-    probe: Probe | None = None,
-) -> DataFrame:
+    at_start = F.col("_carried").isNull() | ~F.col("_carried.state").eqNullSafe(F.struct(*compare))
+    flagged = placed.withColumn("_changed", F.when(F.col("_first"), at_start).otherwise(moved))
+    return flagged.drop("_group", "_carried", "_first", *seen)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], bins: Bins = HOURS) -> DataFrame:
     """Add ``pos``, the 1-based place of each row in its group."""
-    s = cut(df, keys, order, hot_rows, probe=probe)
-    place = F.row_number().over(s.window()).cast("bigint")
-    if s.hot is None:
-        return s.df.withColumn("pos", place).drop("_slice")
-    sizes = s.per_slice(F.count(F.lit(1)).alias("_n"))
-    before = s.across().rowsBetween(Window.unboundedPreceding, -1)
-    carried = sizes.select(*keys, "_slice", F.sum("_n").over(before).alias("_before"))
-    return (
-        s.hand_over(carried)
-        .withColumn("pos", place + F.coalesce("_before", F.lit(0).cast("bigint")))
-        .drop("_slice", "_before")
-    )
+    rows = sliced(df, keys, order, bins)
+    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_value"))
+    none = F.lit(0).cast("bigint")
+    ahead = carried(sizes, F.sum, lambda near, far: F.coalesce(near, none) + F.coalesce(far, none))
+    placed = rows.withColumn("_at", F.row_number().over(inside(order))).join(ahead, "_group")
+    return placed.withColumn("pos", F.col("_at") + F.col("_carried")).drop("_group", "_at", "_carried")
 
 
-def next_flagged(df: DataFrame, keys: list[str], place: str, flag: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def next_flagged(df: DataFrame, keys: list[str], place: str, flag: str, bins: Bins = HOURS) -> DataFrame:
     """Add ``_next``, the place of the next flagged row after each row of a group."""
-    s = cut(df, keys, [place], hot_rows)
-    spot = F.when(F.col(flag), F.col(place))
-    later = Window.partitionBy(*keys, "_slice").orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.min(spot).over(later)
-    if s.hot is None:
-        return s.df.withColumn("_next", inside).drop("_slice")
-    firsts = s.per_slice(F.min(spot).alias("_first"))
-    behind = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = firsts.select(*keys, "_slice", F.min("_first").over(behind).alias("_ahead"))
-    return s.hand_over(carried).withColumn("_next", F.coalesce(inside, "_ahead")).drop("_slice", "_ahead")
+    rows = sliced(df, keys, [place], bins).withColumn("_spot", F.when(F.col(flag), F.col(place)))
+    firsts = rows.groupBy("_group").agg(F.min("_spot").alias("_value"))
+    behind = carried(firsts, F.min, lambda near, far: F.least(near, far), descending=True)
+    later = inside([F.desc(place)]).rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("_here", F.min("_spot").over(later)).join(behind, "_group")
+    return seen.withColumn("_next", F.coalesce("_here", "_carried")).drop("_group", "_spot", "_here", "_carried")

@@ -13,9 +13,9 @@ from statetrail.functions import patterns as P
 from statetrail.functions.jsontext import json_object, text_of
 from statetrail.functions.tagged import decode_tagged, map_entry
 from statetrail.operators.apart import aggregate_apart
-from statetrail.operators.changes import changes
+from statetrail.operators.changes import slim_changes
 from statetrail.operators.records import settle
-from statetrail.operators.slices import HOT_ROWS, Probe
+from statetrail.operators.slices import HOURS, Bins
 
 
 def parse_snapshots(lines: DataFrame, text: str = "value", on_bad_record: str = "fail") -> DataFrame:
@@ -77,16 +77,14 @@ def table_rows(snapshots: DataFrame, ignored: str = "statistics") -> DataFrame:
     return rows.select(*kept, "table", "row_pos", _digest(F.col("_row")).alias("digest"))
 
 
-def snapshot_changes(
-    snapshots: DataFrame,
-    order: list[str] | None = None,
-    hot_rows: int | None = HOT_ROWS,
-    probe: Probe | None = None,
-) -> DataFrame:
+def snapshot_changes(snapshots: DataFrame, order: list[str] | None = None, bins: Bins = HOURS) -> DataFrame:
     """First snapshot of every run of equal ones per host; added and removed rows
-    count. See ``prefix_changes`` for the comparison that ignores those."""
+    count. See ``prefix_changes`` for the comparison that ignores those.
+
+    Whole snapshots stay out of the windows; ``seq`` finds the kept ones again.
+    """
     digested = snapshots.withColumn("digest", snapshot_digest(F.col("tables")))
-    return changes(digested, "host", order or ["ts_text", "seq"], ["digest"], hot_rows, probe)
+    return slim_changes(digested, ["host"], order or ["ts_text", "seq"], "digest", ["seq"], bins)
 
 
 def _zip_row(headings: Column, row: Column) -> Column:
@@ -144,17 +142,16 @@ def record_changes(
     key: list[str] | None = None,
     order: list[str] | None = None,
     ignored: list[str] | None = None,
-    hot_rows: int | None = HOT_ROWS,
-    probe: Probe | None = None,
+    bins: Bins = HOURS,
 ) -> DataFrame:
     """Change history of every record, statistics and injected columns ignored.
 
-    Record ids are taken to be unique over hosts; give ``key`` to add the host.
+    Record ids are taken to be unique over hosts; give ``key`` to add the host. Cells
+    are compared by their digest and stay out of the windows.
     """
-    cells = records.withColumn("_cells", comparable_cells(F.col("cols"), ignored))
+    cells = records.withColumn("_cells", _digest(comparable_cells(F.col("cols"), ignored)))
     by = order or ["ts_text", "seq", "table", "row_pos"]
-    kept = changes(cells, key or ["record_id"], by, ["_cells"], hot_rows, probe)
-    return kept.drop("_cells")
+    return slim_changes(cells, key or ["record_id"], by, "_cells", ["seq", "table", "row_pos"], bins).drop("_cells")
 
 
 def decode_cells(records: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Records of an entity in order of time.
 
 The flat form has a row per record and no limit on the records of an entity. The
-nested form packs them into arrays of a bounded length.
+nested form packs those of a fixed stretch of time into an array.
 """
 
 from __future__ import annotations
@@ -9,38 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statetrail.operators.slices import HOT_ROWS, numbered
+from statetrail.operators.slices import HOURS, Bins, numbered
 
 ORDER = ["ts_text", "seq"]
-MAX_RECORDS = 10_000
+#: Characters of the time that an array of the nested form shares: the day.
+PART = 10
 
 
 def timeline(records: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Records brought together by entity and sorted by time, ready to be written.
 
-    One shuffle, rebalanced: adaptive execution splits the partition of a hot
-    entity, each piece sorted, and joins small ones. Unlike a range partitioning
-    it does not run the whole input a first time to look for borders.
+    Partitioned by ranges of entity and time: the files of a hot entity are cut by
+    time and never overlap, a cold one lies in one piece. A sample of the input
+    places the borders.
     """
     by = ["entity_id", *(order or ORDER)]
-    return records.hint("rebalance", "entity_id").sortWithinPartitions(*by)
+    return records.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def nested_timeline(
     records: DataFrame,
     fields: list[str],
     order: list[str] | None = None,
-    max_records: int = MAX_RECORDS,
-    hot_rows: int | None = HOT_ROWS,
+    part_chars: int = PART,
+    bins: Bins = HOURS,
 ) -> DataFrame:
-    """``(entity_id, part, records)`` with ``records`` sorted by time.
+    """``(entity_id, part, records)`` with ``records`` sorted by time and numbered
+    through all parts by ``pos``.
 
-    An entity with up to ``max_records`` records has the one part 0; a longer
-    timeline goes on in part 1, 2, ... and no array outgrows its task.
+    ``part`` is the beginning of the time that its records share, the day by default:
+    a fixed rule, so results have the same shape at every size.
     """
     order = order or ORDER
-    placed = numbered(records, ["entity_id"], order, hot_rows)
-    part = F.floor((F.col("pos") - 1) / F.lit(max_records)).alias("part")
+    placed = numbered(records, ["entity_id"], order, bins)
+    part = F.substring(F.col(order[0]), 1, part_chars).alias("part")
     item = F.struct("pos", *fields)
     return placed.groupBy("entity_id", part).agg(F.array_sort(F.collect_list(item)).alias("records"))
 

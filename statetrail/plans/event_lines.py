@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statetrail.sources.tables import spread
-
 SPARK = {
     "S": "string",
     "ts_ms": "concat(substr(cast(ts as string),1,19),'.',rpad(substr(cast(ts as string),21,3),3,'0'))",
@@ -81,7 +79,7 @@ def _fill(template: str, dialect: dict, entity: str = "uuid") -> str:
 
 def event_lines(spark: SparkSession, sf_dir: str, kind: str, entity: str = "uuid") -> DataFrame:
     """Lines of one kind with the event's id as ``seq`` and its type as ``role``."""
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").repartition("event_id")
     base = events.selectExpr("*", *[f"{_fill(x, SPARK)} AS {name}" for name, x in BASE])
     line = _fill(LINES[kind], SPARK, entity)
     return base.selectExpr(f"{line} AS value", "event_id AS seq", "event_type AS role")

@@ -80,11 +80,17 @@ def _log_table(entity: str = "uuid", where: str = "true") -> str:
     )
 
 
+def _role(entity: str, kind: str) -> str:
+    """Events that stand for a kind of line: all, or one part where states meet operations."""
+    parts = {"log": "('click')", "msg": "('purchase')", "db": "('signup')", "state": "('view', 'error')"}
+    return f"event_type IN {parts[kind]}" if entity == "vm" else "true"
+
+
 def _changes(entity: str) -> str:
     """CTE ``s``: change history of the state lines of an entity."""
     return (
         f"s AS (SELECT entity_id, ts_text, seq, state FROM (SELECT {entity} AS entity_id, ts_ms AS ts_text, event_id AS seq, "
-        f"event_type AS state, user_id%4 AS vcpu, lag(event_type) OVER w AS p, lag(user_id%4) OVER w AS pv FROM e "
+        f"event_type AS state, user_id%4 AS vcpu, lag(event_type) OVER w AS p, lag(user_id%4) OVER w AS pv FROM e WHERE {_role(entity, 'state')} "
         f"WINDOW w AS (PARTITION BY {entity} ORDER BY ts_ms, event_id)) "
         "WHERE p IS NULL OR p IS DISTINCT FROM state OR pv IS DISTINCT FROM vcpu)"
     )
@@ -102,18 +108,18 @@ def _ops(entity: str, sources: tuple[str, ...] = ("log", "msg", "db"), ids: str
         f"FROM (SELECT * FROM lp WHERE format IS NOT NULL) {keep}",
         "msg": f"SELECT id AS entity_id, 'msg' AS source, ts_ms AS ts_text, event_id AS seq, "
         "'{\"body\":{\"id\":\"'||id||'\",\"n\":'||es||'},\"event\":\"'||event_type||'\",\"timestamp\":\"'||ts_ms||'\"}' AS payload "
-        f"FROM (SELECT *, {entity} AS id FROM e WHERE event_type='purchase') {keep}",
+        f"FROM (SELECT *, {entity} AS id FROM e WHERE {_role(entity, 'msg')}) {keep}",
         "db": f"SELECT eid AS entity_id, 'db' AS source, \"timestamp\" AS ts_text, seq, {_json(DB_FIELDS)} AS payload "
         f"FROM dbp {keep.replace('WHERE id', 'WHERE eid')}",
     }
     db = ", ".join(f"{_group(DB_RECORD, i + 1)} AS \"{f}\"" for i, f in enumerate(DB_FIELDS))
     ctes = []
     if "log" in sources:
-        ctes.append(_log_table(entity, "event_type='click'"))
+        ctes.append(_log_table(entity, _role(entity, "log")))
     if "db" in sources:
         ctes.append(
             f"dbp AS (SELECT seq, eid, {db} FROM (SELECT event_id AS seq, {entity} AS eid, "
-            f"{oracle_line('db', entity)} AS value FROM e WHERE event_type='signup'))"
+            f"{oracle_line('db', entity)} AS value FROM e WHERE {_role(entity, 'db')}))"
         )
     ctes.append("ops AS (" + " UNION ALL ".join(parts[s] for s in sources) + ")")
     return ", ".join(ctes)
@@ -185,10 +191,15 @@ def _lookback_source(source: str) -> str:
     return f"WITH {_pairs(DAY, (source,))} SELECT {_PAIR}, payload FROM pairs"
 
 
+def _stretch(ts: str) -> str:
+    """Number of the hour a time is in."""
+    return f"CAST(floor(epoch(CAST({ts} AS TIMESTAMP)) / 3600) AS BIGINT)"
+
+
 def _list(source: str) -> str:
     return (
-        f"coalesce((SELECT string_agg(CAST(p.op_seq AS VARCHAR), ',' ORDER BY p.op_ts_text, p.op_seq) FROM pairs p WHERE "
-        f"p.entity_id=s.entity_id AND p.ts_text=s.ts_text AND p.seq=s.seq AND p.source='{source}'), "
+        f"coalesce((SELECT string_agg(CAST(p.op_seq AS VARCHAR), ',' ORDER BY p.op_ts_text, p.op_seq) FROM pp p WHERE "
+        f"p.entity_id=s.entity_id AND p.ts_text=s.ts_text AND p.seq=s.seq AND p.part=s.part AND p.source='{source}'), "
         f"CASE WHEN EXISTS (SELECT 1 FROM ops o WHERE o.entity_id=s.entity_id AND o.source='{source}') THEN '' END) AS {source}_ops"
     )
 
@@ -218,8 +229,8 @@ ORACLES: dict[str, str] = {
     "state_parse": f"WITH {E} SELECT uuid AS entity_id, ts_ms AS ts_text, event_id AS seq, event_type AS status_text, user_id%4 AS vcpu FROM e",
     "timeline_sorted": f"WITH {E}, {_ops('uuid', ('log',))} SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts_text, seq) AS pos, "
     "ts_text, seq, payload FROM ops",
-    "timeline_group": f"WITH {E}, {_ops('uuid')} SELECT entity_id, CAST(0 AS BIGINT) AS part, count(*) AS n, "
-    "string_agg(source||':'||CAST(seq AS VARCHAR), ',' ORDER BY ts_text, seq) AS records FROM ops GROUP BY entity_id",
+    "timeline_group": f"WITH {E}, {_ops('uuid')} SELECT entity_id, substr(ts_text, 1, 10) AS part, count(*) AS n, "
+    "string_agg(source||':'||CAST(seq AS VARCHAR), ',' ORDER BY ts_text, seq, source) AS records FROM ops GROUP BY entity_id, part",
     "log_timeline": _timeline("log"),
     "msg_timeline": _timeline("msg"),
     "db_timeline": _timeline("db"),
@@ -259,7 +270,9 @@ ORACLES: dict[str, str] = {
     "correlate": _correlated(300) + " SELECT * FROM flat",
     "correlate_day": _correlated(DAY) + " SELECT * FROM flat",
     "correlate_sorted": _correlated(300) + " SELECT * EXCLUDE (payload) FROM flat ORDER BY entity_id, ts_text, seq, source, op_ts_text, op_seq",
-    "correlate_nested": f"WITH {_pairs(DAY)} SELECT entity_id, ts_text, seq, state, {_list('log')}, {_list('msg')}, {_list('db')} FROM s",
+    "correlate_nested": f"WITH {_pairs(DAY)}, pp AS (SELECT *, {_stretch('ts_text')} - {_stretch('op_ts_text')} AS part FROM pairs), "
+    "sp AS (SELECT DISTINCT s.*, coalesce(pp.part, 0) AS part FROM s LEFT JOIN pp USING (entity_id, ts_text, seq)) "
+    f"SELECT entity_id, ts_text, seq, part, state, {_list('log')}, {_list('msg')}, {_list('db')} FROM sp s",
     "sample_hash": f"WITH {E} SELECT uuid AS entity_id, ts_ms AS ts_text, event_id AS seq FROM e "
     "WHERE CAST('0x'||substr(md5(uuid||'|'||ts_ms),1,8) AS BIGINT) % 1000 < 10",
     "tz_convert": f"WITH {E} SELECT event_id AS seq, ts_ms AS ts_text, "

@@ -21,7 +21,9 @@ from statetrail.operators import timeline as tl
 from statetrail.plans.event_lines import event_lines
 
 DAY = 86_400
-ROLES = {"log": "click", "msg": "purchase", "db": "signup"}
+#: What the events stand for where states meet operations: every event has one part.
+#: Timelines and histories by themselves (entity ``uuid``) read all events in each part.
+ROLES = {"log": ["click"], "msg": ["purchase"], "db": ["signup"], "state": ["view", "error"]}
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -49,7 +51,8 @@ def bare(lines: DataFrame) -> DataFrame:
 
 
 def role_lines(spark: SparkSession, sf_dir: str, kind: str, entity: str) -> DataFrame:
-    return event_lines(spark, sf_dir, kind, entity).filter(F.col("role") == ROLES[kind])
+    lines = event_lines(spark, sf_dir, kind, entity)
+    return lines.filter(F.col("role").isin(ROLES[kind])) if entity == "vm" else lines
 
 
 def vm_fields(lines: DataFrame) -> DataFrame:
@@ -64,13 +67,11 @@ def vm_fields(lines: DataFrame) -> DataFrame:
 
 
 def vm_states(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
-    return vm_fields(bare(event_lines(spark, sf_dir, "state", entity)))
+    return vm_fields(bare(role_lines(spark, sf_dir, "state", entity)))
 
 
 def vm_changes(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
-    lines = bare(event_lines(spark, sf_dir, "state", entity))
-    probe = probe_of(lines, vm_fields)
-    kept = ch.changes(vm_fields(lines), "entity_id", ["ts_text", "seq"], ["state"], probe=probe)
+    kept = ch.changes(vm_states(spark, sf_dir, entity), "entity_id", ["ts_text", "seq"], ["state"])
     return kept.select("entity_id", "ts_text", "seq", F.col("status_text").alias("state"))
 
 
@@ -103,13 +104,8 @@ def records_of(lines: DataFrame) -> DataFrame:
     return sn.expand_snapshots(sn.parse_snapshots(lines))
 
 
-def probe_of(lines: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> sl.Probe:
-    return sl.Probe(parse(sl.sample_lines(lines)), sl.PROBE_SHARE)
-
-
 def record_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = snapshot_lines(spark, sf_dir)
-    return sn.record_changes(records_of(lines), probe=probe_of(lines, records_of))
+    return sn.record_changes(records_of(snapshot_lines(spark, sf_dir)))
 
 
 # -- entity matching ---------------------------------------------------------
@@ -343,15 +339,13 @@ def record_changes(spark, sf_dir):
 
 @query
 def snapshot_changes(spark, sf_dir):
-    lines = snapshot_lines(spark, sf_dir)
-    kept = sn.snapshot_changes(sn.parse_snapshots(lines), probe=probe_of(lines, sn.parse_snapshots))
+    kept = sn.snapshot_changes(sn.parse_snapshots(snapshot_lines(spark, sf_dir)))
     return kept.select("host", "ts_text", "seq")
 
 
 @query
 def snapshot_changes_prefix(spark, sf_dir):
-    lines = snapshot_lines(spark, sf_dir, "ports")
-    kept = pf.prefix_changes(sn.parse_snapshots(lines), probe=probe_of(lines, sn.parse_snapshots))
+    kept = pf.prefix_changes(sn.parse_snapshots(snapshot_lines(spark, sf_dir, "ports")))
     return kept.select("host", "ts_text", "seq")
 
 
@@ -418,7 +412,7 @@ def lookback_start(spark, sf_dir):
 def correlated(spark, sf_dir, seconds=300):
     """From lines to correlation: histories, their ids, three matched timelines."""
     states = vm_changes(spark, sf_dir)
-    ids = en.entity_ids(vm_states(spark, sf_dir))
+    ids = en.entity_ids(states)
     small = en.fits_broadcast(ids)
     ops = co.union_ops([f(spark, sf_dir, "vm", ids, small) for f in (log_ops, msg_ops, db_ops)])
     return co.correlate(states, ops, seconds=seconds)
@@ -449,7 +443,7 @@ def correlate_nested(spark, sf_dir):
         ids = F.transform(F.col("ops")[source], lambda o: o["op_seq"].cast("string"))
         return F.array_join(ids, ",").alias(f"{source}_ops")
 
-    return nested.select("entity_id", "ts_text", "seq", "state", *[seqs(s) for s in co.SOURCES])
+    return nested.select("entity_id", "ts_text", "seq", "part", "state", *[seqs(s) for s in co.SOURCES])
 
 
 @query

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from statetrail.operators import slices
 from statetrail.operators.changes import changes
+from statetrail.operators.slices import Bins
 from statetrail.operators.timeline import history_summary, nested_timeline, timeline
 
 
@@ -40,24 +41,39 @@ def test_run_dedupe(spark):
     assert [r["seq"] for r in kept] == [0, 2, 3, 4, 6]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 40, 3])
+WIDTHS = [(13, 7), (3, 2), (2, 1), (0, 0), (3, 0)]
+
+
+@pytest.mark.parametrize("text", WIDTHS)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_changes_same_for_any_slicing(spark, hot_rows, seed):
+def test_changes_same_for_any_width(spark, text, seed):
     rows = random_rows(seed)
-    kept = changes(frame(spark, rows), "k", ["ts_text", "seq"], ["v"], hot_rows=hot_rows)
+    kept = changes(frame(spark, rows), "k", ["ts_text", "seq"], ["v"], Bins(text))
     assert sorted(r["seq"] for r in kept.collect()) == runs(rows)
 
 
-@pytest.mark.parametrize("share", [0.5, 0.1])
-def test_probe_only_places_the_cuts(spark, share):
-    rows = random_rows(6, 600)
-    df = frame(spark, rows)
-    probe = slices.Probe(df.sample(share, seed=1), share)
-    assert slices.cut(df, ["k"], ["ts_text", "seq"], 100, probe=probe).hot is not None
-    kept = changes(df, "k", ["ts_text", "seq"], ["v"], hot_rows=100, probe=probe)
+@pytest.mark.parametrize("text", [(13, 7), (3, 2)])
+def test_missing_keys_are_one_group(spark, text):
+    rows = [(None if r[0] == "hot" else r[0], *r[1:]) for r in random_rows(7)]
+    kept = changes(frame(spark, rows), "k", ["ts_text", "seq"], ["v"], Bins(text))
     assert sorted(r["seq"] for r in kept.collect()) == runs(rows)
-    nothing = slices.Probe(df.limit(0), share)
-    assert changes(df, "k", ["ts_text", "seq"], ["v"], hot_rows=1, probe=nothing).count() == len(runs(rows))
+
+
+def test_building_runs_no_job(spark):
+    df = frame(spark, random_rows(8))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    changes(df, "k", ["ts_text", "seq"], ["v"])
+    slices.numbered(df, ["k"], ["ts_text", "seq"])
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_slices_bound_a_hot_key(spark):
+    """A key with nine tenths of the rows, partly without a key, is cut by time."""
+    rows = [(None if i % 10 < 5 else "hot" if i % 10 < 9 else "cold", f"2024-01-{1 + i % 28:02d} {i % 24:02d}:00:00", i, "x") for i in range(4000)]
+    sizes = slices.sliced(frame(spark, rows), ["k"], ["ts_text", "seq"]).groupBy("_group").count()
+    assert sizes.agg(F.max("count")).first()[0] < 100
 
 
 def test_several_columns_and_new_nulls(spark):
@@ -67,32 +83,10 @@ def test_several_columns_and_new_nulls(spark):
     assert sorted(r["seq"] for r in kept.collect()) == [0, 2, 3]
 
 
-def test_hot_group_is_cut_and_others_are_not(spark):
-    s = slices.cut(frame(spark, random_rows(3)), ["k"], ["ts_text", "seq"], hot_rows=100)
-    assert s.hot is not None
-    sizes = {(r["k"], r["_slice"]): r["n"] for r in s.df.groupBy("k", "_slice").agg(F.count("*").alias("n")).collect()}
-    hot = [n for (k, _), n in sizes.items() if k == "hot"]
-    assert len(hot) > 1 and max(hot) < 200
-    assert all(i == slices.COLD for (k, i) in sizes if k != "hot")
-
-
-def test_equal_timestamps_are_cut_by_the_tie_break(spark):
-    df = frame(spark, [("k", "t", i, "x") for i in range(300)])
-    s = slices.cut(df, ["k"], ["ts_text", "seq"], hot_rows=50)
-    assert s.df.select("_slice").distinct().count() > 3
-    assert [r["seq"] for r in changes(df, "k", ["ts_text", "seq"], ["v"], hot_rows=50).collect()] == [0]
-
-
-def test_slices_never_outnumber_the_bound(spark):
-    df = frame(spark, [("k", f"t{i:04d}", i, "x") for i in range(1000)])
-    s = slices.cut(df, ["k"], ["ts_text", "seq"], hot_rows=1, max_slices=5)
-    assert s.df.select("_slice").distinct().count() <= 12
-
-
-@pytest.mark.parametrize("hot_rows", [None, 30, 2])
-def test_numbered(spark, hot_rows):
+@pytest.mark.parametrize("text", WIDTHS)
+def test_numbered(spark, text):
     rows = random_rows(4)
-    placed = slices.numbered(frame(spark, rows), ["k"], ["ts_text", "seq"], hot_rows=hot_rows)
+    placed = slices.numbered(frame(spark, rows), ["k"], ["ts_text", "seq"], Bins(text))
     got = {r["seq"]: r["pos"] for r in placed.collect()}
     want = {}
     for key in {r[0] for r in rows}:
@@ -101,24 +95,23 @@ def test_numbered(spark, hot_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("hot_rows", [None, 20, 2])
-def test_next_flagged(spark, hot_rows):
+@pytest.mark.parametrize("number", [(100_000, 100_000_000), (7, 20), (1, 1)])
+def test_next_flagged(spark, number):
     rnd = random.Random(5)
     rows = [(rnd.choice("aab"), i, rnd.random() < 0.2) for i in range(120)]
     df = spark.createDataFrame(rows, "k string, pos bigint, f boolean")
-    got = {r["pos"]: r["_next"] for r in slices.next_flagged(df, ["k"], "pos", "f", hot_rows).collect()}
+    got = {r["pos"]: r["_next"] for r in slices.next_flagged(df, ["k"], "pos", "f", Bins(number=number)).collect()}
     for k, pos, _ in rows:
         later = [p for kk, p, f in rows if kk == k and p > pos and f]
         assert got[pos] == (min(later) if later else None)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 25])
-def test_nested_timeline_parts(spark, hot_rows):
+def test_nested_timeline_parts(spark):
     df = spark.createDataFrame([("e", f"t{i % 7}", i) for i in range(95)], "entity_id string, ts_text string, seq bigint")
-    nested = nested_timeline(df, ["ts_text", "seq"], max_records=10, hot_rows=hot_rows).orderBy("part").collect()
-    assert [len(r["records"]) for r in nested] == [10] * 9 + [5]
+    nested = nested_timeline(df, ["ts_text", "seq"], part_chars=2, bins=Bins((1, 1))).orderBy("part").collect()
+    assert [r["part"] for r in nested] == [f"t{i}" for i in range(7)]
     flat = [(x["ts_text"], x["seq"]) for r in nested for x in r["records"]]
-    assert flat == sorted(flat) and len(set(flat)) == 95
+    assert flat == sorted(flat) and [x["pos"] for r in nested for x in r["records"]] == list(range(1, 96))
 
 
 def test_timeline_is_sorted_by_entity_and_time(spark):

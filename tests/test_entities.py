@@ -44,12 +44,13 @@ def test_line_with_two_ids_counts_twice_but_filters_once(spark, lines):
 
 def test_broadcast_only_within_bound(spark):
     ids = spark.range(11).selectExpr("cast(id as string) AS entity_id")
-    assert fits_broadcast(ids, 11) and not fits_broadcast(ids, 10)
+    assert fits_broadcast(ids, 11 * 24 + 12) and not fits_broadcast(ids, 11 * 24 + 11)
+    assert fits_broadcast(ids.limit(0), 0)
 
 
 def test_many_ids_join_by_shuffle(spark, lines):
     ids = spark.createDataFrame([(A,), (B,)], "entity_id string")
-    joined = match_entities(lines(A, B, B), ids, max_broadcast_ids=1)
+    joined = match_entities(lines(A, B, B), ids, max_broadcast_bytes=1)
     assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
     assert found(joined) == [(0, A), (1, B), (2, B)]
 

@@ -95,3 +95,8 @@ def test_hot_timeline_is_split_for_writing(skewed, tmp_path):
         files.setdefault(r["f"], []).append((r["ts_text"], r["seq"]))
     assert len(files) > 1
     assert all(v == sorted(v) for v in files.values())
+    spans = sorted((v[0], v[-1]) for v in files.values())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    placed = written.filter("entity_id <> 'hot'").select("entity_id", F.input_file_name().alias("f"))
+    cold = placed.groupBy("entity_id").agg(F.count_distinct("f").alias("n"))
+    assert cold.filter("n > 1").count() < 20

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statetrail.functions.tagged import decode_tagged, map_entry
 from statetrail.operators.prefix import prefix_changes
+from statetrail.operators.slices import Bins
 from statetrail.operators.snapshots import (
     decode_cells,
     expand_snapshots,
@@ -113,8 +114,8 @@ def test_prefix_keeps_on_common_rows_only(lines):
     assert kept_by_prefix(lines(rows_of(1), rows_of(2, 7))) == [0]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 8])
-def test_prefix_against_walking_the_snapshots(lines, hot_rows):
+@pytest.mark.parametrize("bins", [Bins(), Bins((18, 16), (5, 20))])
+def test_prefix_against_walking_the_snapshots(lines, bins):
     rnd = random.Random(11)
     snaps = [
         (rnd.choice(["h1", "h1", "h2"]), {t: [rnd.randrange(3) for _ in range(rnd.randrange(3))] for t in "AB"})
@@ -130,7 +131,7 @@ def test_prefix_against_walking_the_snapshots(lines, hot_rows):
             if ref is None or any(a != b for t in ref for a, b in zip(ref[t], tables[t])):
                 want.append(i)
                 ref = tables
-    assert kept_by_prefix(df, hot_rows=hot_rows) == sorted(want)
+    assert kept_by_prefix(df, bins=bins) == sorted(want)
 
 
 def test_rekey_takes_the_first_known_interface(lines):
