@@ -84,19 +84,36 @@ def noisy_or(p: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def fit(label: np.ndarray, words: np.ndarray, place: np.ndarray, owner: np.ndarray) -> Weights:
-    """Weights by Adam on the log-likelihood of the labels, with a quadratic penalty."""
-    n, m = len(label), len(owner)
-    names, code = np.unique(words, return_inverse=True)
-    of_doc, in_docs = np.divmod(np.unique(owner[place].astype(np.int64) * len(names) + code), max(len(names), 1))
-    docs = np.bincount(in_docs, minlength=len(names))
-    toxic = np.bincount(in_docs, label[of_doc], len(names))
-    share = docs / max(n, 1)
+def vocabulary(label: np.ndarray, words: list[np.ndarray]) -> Weights:
+    """Words that toxic documents hold more often than chance, without weights yet; ``words`` by document."""
+    seen = [np.unique(x) for x in words]
+    names, code = np.unique(np.concatenate(seen), return_inverse=True)
+    toxic = np.bincount(code, np.repeat(label, [len(x) for x in seen]), len(names))
+    docs = np.bincount(code, minlength=len(names))
+    share = docs / max(len(label), 1)
     chance = label.sum() * share
     often = (docs >= LEAST_DOCS) & (toxic - chance >= LEAST_Z * np.sqrt(chance * (1 - share)))
-    vocabulary = Weights(names[often], np.zeros(often.sum()), 0.0)
-    known, feature = vocabulary.find(words)
-    place, size = place[known], len(vocabulary.words)
+    return Weights(names[often], np.zeros(often.sum()), 0.0)
+
+
+def fit(label: np.ndarray, words: list[np.ndarray], sizes: list[np.ndarray]) -> Weights:
+    """Weights by Adam on the log-likelihood of the labels, with a quadratic penalty.
+
+    ``words`` and ``sizes`` have the words and the sizes of the sentences of each document.
+    Only words of the vocabulary are kept, so memory is that of one copy of the sample.
+    """
+    known = vocabulary(label, words)
+    n, size = len(label), len(known.words)
+    owner = np.repeat(np.arange(n), [len(x) for x in sizes])
+    m, before = len(owner), 0
+    places, features = [], []
+    for x, counts in zip(words, sizes, strict=True):
+        at, feature = known.find(x)
+        places.append(before + np.searchsorted(np.cumsum(counts), at, "right"))
+        features.append(feature)
+        before += len(counts)
+    place = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64)
+    feature = np.concatenate([np.zeros(0, np.int64), *features]).astype(np.int64)
     w = np.zeros(size + 1)
     w[-1] = -5.0
     mean, square = np.zeros_like(w), np.zeros_like(w)
@@ -109,7 +126,7 @@ def fit(label: np.ndarray, words: np.ndarray, place: np.ndarray, owner: np.ndarr
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
-    return Weights(vocabulary.words, w[:-1], float(w[-1]))
+    return Weights(known.words, w[:-1], float(w[-1]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights:
@@ -139,19 +156,17 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights
                 sizes = np.bincount(b.place, minlength=len(b.begin)).astype(np.int32)
                 cut = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["toxic"].slice(row, n), cut(b.words, word_at), cut(sizes, sentence_at)], names=["toxic", "words", "size"]
+                    [batch["doc_id"].slice(row, n), batch["toxic"].slice(row, n), cut(b.words, word_at), cut(sizes, sentence_at)],
+                    names=["id", "toxic", "words", "size"],
                 )
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["words", "toxic"], kind="stable")
-        size = [np.frombuffer(x, np.int32) for x in rows["size"]]
-        words = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["words"]])
-        owner = np.repeat(np.arange(len(rows)), [len(x) for x in size])
-        place = np.repeat(np.arange(len(owner)), np.concatenate(size))
-        w = fit(rows["toxic"].to_numpy(), words, place, owner)
+        rows = rows.sort_values(["id"], kind="stable")
+        words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
+        w = fit(rows["toxic"].to_numpy(), words, [np.frombuffer(x, np.int32) for x in rows["size"]])
         return pd.DataFrame({"words": [w.words.tobytes()], "weights": [w.values.tobytes()], "bias": [w.bias]})
 
-    bagged = sample.mapInArrow(bags, "toxic int, words binary, size binary").withColumn("one", F.lit(1))
+    bagged = sample.mapInArrow(bags, "id bigint, toxic int, words binary, size binary").withColumn("one", F.lit(1))
     got = bagged.groupBy("one").applyInPandas(fitted, "words binary, weights binary, bias double").first()
     if got is None:
         return Weights(np.zeros(0, np.uint64), np.zeros(0), -5.0)
