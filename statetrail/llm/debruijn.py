@@ -225,7 +225,8 @@ def copied_paths(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     pieces = pieces.select("*", (F.min("content").over(run) != F.max("content").over(run)).alias("branches"))
     pieces = pieces.withColumn("n", F.col("content").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)))
     source = [F.col("first.k").alias("source_k"), F.col("first.place").alias("source_place")]
-    known = F.col("source_k").isNotNull()
+    # both uses read both columns, so that they share one shuffle
+    known = F.coalesce("source_k", "source_place").isNotNull()
     either = [F.when(known, F.col(c)).otherwise(f).alias(c) for c, f in zip(("source_k", "source_place"), (F.col("first.k"), F.col("first.place")), strict=True)]
     whole = pieces.where(known | (here != F.col("first"))).select("k", "place", "n", *either)
     branching = pieces.where(~known & (here == F.col("first")) & F.col("branches"))
