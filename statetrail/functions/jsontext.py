@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from statetrail.functions.let import let
 
@@ -114,22 +114,29 @@ def _unwrap(value, decode):
     return value
 
 
-@F.pandas_udf(StringType())
-def unwrap_json(texts: pd.Series) -> pd.Series:
-    """JSON text with every string value that holds JSON replaced by that JSON.
+@F.pandas_udf(StructType([StructField("ts_text", StringType()), StructField("body", StringType())]))
+def unwrap_json(texts: pd.Series) -> pd.DataFrame:
+    """``body``, JSON text with every string value that holds JSON replaced by that
+    JSON, and ``ts_text``, its ``timestamp`` as text.
 
-    There is no bound on the nesting, which no built-in expression can follow.
-    Text that is not a JSON object gives NULL.
+    No built-in expression can follow the nesting. Text that is not a JSON object, or
+    nested deeper than the decoder goes, gives NULL.
     """
     # json.loads and json.dumps with options build these anew for every text
     decode = json.JSONDecoder(parse_constant=_reject).decode
     encode = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
 
     def one(text):
-        value = _unwrap(text, decode) if isinstance(text, str) else None
-        return encode(value) if isinstance(value, dict) else None
-
-    return texts.map(one)
+        try:
+            value = _unwrap(text, decode) if isinstance(text, str) else None
+            if not isinstance(value, dict):
+                return None, None
+            ts = value.get("timestamp")
+            return (ts if ts is None or isinstance(ts, str) else encode(ts)), encode(value)
+        except RecursionError:
+            return None, None
+
+    return pd.DataFrame([one(t) for t in texts], columns=["ts_text", "body"], dtype=object)
 
 
 def unwrap_paths(text: Column, paths: list[str]) -> Column:

@@ -16,11 +16,41 @@ def _items(v: Column, kind: str) -> Column:
     return v.try_cast(f"array<{kind}>")
 
 
-def _leaf(v: Column) -> Column:
-    """Text of a scalar; an id reference gives the id."""
-    return F.when(_tag(v) == "uuid", F.try_variant_get(v, "$[1]", "string")).otherwise(
-        F.try_variant_get(v, "$", "string")
+#: Levels of sets and maps inside sets and maps that are decoded.
+DEPTH = 2
+
+
+def _leaf(v: Column, depth: int = DEPTH) -> Column:
+    """Text of a value inside a set or map: a scalar as it is, the id of a reference, a
+    nested set or map as JSON of its decoded values. A list with an unknown tag, or one
+    nested more than ``depth`` levels deep, has no value."""
+    nested = F.when(_tag(v) == "uuid", F.try_variant_get(v, "$[1]", "string"))
+    if depth:
+        nested = nested.when(_tag(v).isin("set", "map"), _as_json(v, depth))
+    return nested.when(~_is_array(v), F.try_variant_get(v, "$", "string"))
+
+
+def _as_json(v: Column, depth: int) -> Column:
+    """JSON text of a decoded value; no value is null. Of equal keys the last counts."""
+    none = F.lit("null")
+    scalar = F.when(_tag(v) == "uuid", F.to_json(F.try_variant_get(v, "$[1]", "variant")))
+    plain = scalar.when(~_is_array(v), F.to_json(v))
+    if not depth:
+        return F.coalesce(plain, none)
+    items = F.transform(F.try_variant_get(v, "$[1]", "array<variant>"), lambda x: _as_json(x, depth - 1))
+    pairs = F.transform(
+        F.try_variant_get(v, "$[1]", "array<array<variant>>"),
+        lambda p: F.struct(
+            F.try_variant_get(F.get(p, F.lit(0)), "$", "string").alias("key"),
+            _as_json(F.get(p, F.lit(1)), depth - 1).alias("value"),
+        ),
     )
+    # a key is written as a list of one, without the brackets
+    key = lambda e: let(F.to_json(F.array(e["key"])), lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
+    entries = let(pairs, lambda all_: F.transform(F.array_sort(_last_of_each(all_)), lambda e: F.concat(key(e), F.lit(":"), e["value"])))
+    listed = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    named = F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
+    return F.coalesce(plain.when(_tag(v) == "set", listed).when(_tag(v) == "map", named), none)
 
 
 def _last_of_each(pairs: Column) -> Column:
@@ -38,7 +68,7 @@ def decode_tagged(cell: Column) -> Column:
     """Struct ``(kind, scalar, set, map, raw)`` of a cell given as JSON text.
 
     ``kind`` is scalar, uuid, set, map or unknown. A list that is no tagged pair
-    has no value: only ``raw`` keeps it.
+    has no value: only ``raw`` keeps it. Sets and maps inside are decoded to JSON.
     """
     return let(F.try_parse_json(cell), lambda v: let(_tag(v), lambda tag: _decoded(v, tag, cell)))
 
@@ -62,7 +92,7 @@ def _decoded(v: Column, tag: Column, cell: Column) -> Column:
             _leaf(F.get(p, F.lit(1))).alias("value"),
         ),
     )
-    items = F.transform(F.try_variant_get(v, "$[1]", "array<variant>"), _leaf)
+    items = F.transform(F.try_variant_get(v, "$[1]", "array<variant>"), lambda x: _leaf(x))
     return F.struct(
         kind.alias("kind"),
         F.when(tag == "uuid", F.try_variant_get(v, "$[1]", "string"))

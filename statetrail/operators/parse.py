@@ -91,14 +91,14 @@ def decode_messages(
     """Bus messages with JSON inside string values decoded.
 
     Without ``paths`` every string value at any depth is tried and ``body`` is
-    canonical JSON text. With ``paths`` only these top-level keys are, natively,
+    canonical JSON text; one nested deeper than the decoder goes is a bad line. With
+    ``paths`` only these top-level keys are, natively,
     and ``body`` is a struct of VARIANTs. A message must be an object with a
     ``timestamp``.
     """
     if paths is None:
         lines_in = lines.withColumn("_body", unwrap_json(F.col(text)))
-        ts = F.try_variant_get(F.try_parse_json("_body"), "$.timestamp", "string")
-        whole = F.struct(ts.alias("ts_text"), F.col("_body").alias("body"))
+        whole = F.col("_body")
     else:
         keys = list(dict.fromkeys(["timestamp", *paths]))
         lines_in = lines

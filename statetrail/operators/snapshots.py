@@ -14,7 +14,7 @@ from statetrail.functions.jsontext import json_object, text_of
 from statetrail.functions.tagged import decode_tagged, map_entry
 from statetrail.operators.apart import aggregate_apart
 from statetrail.operators.changes import slim_changes
-from statetrail.operators.records import settle
+from statetrail.operators.records import POLICIES, settle
 from statetrail.operators.slices import HOURS, Bins
 
 
@@ -143,12 +143,21 @@ def record_changes(
     order: list[str] | None = None,
     ignored: list[str] | None = None,
     bins: Bins = HOURS,
+    on_bad_record: str = "fail",
 ) -> DataFrame:
     """Change history of every record, statistics and injected columns ignored.
 
     Record ids are taken to be unique over hosts; give ``key`` to add the host. Cells
-    are compared by their digest and stay out of the windows.
+    are compared by their digest and stay out of the windows. Records without an id stop
+    the query or, with ``drop`` and ``quarantine``, have no history.
     """
+    if on_bad_record == "fail":
+        missing = F.raise_error(F.concat(F.lit("record without _uuid: "), F.col("table")))
+        records = records.withColumn("record_id", F.coalesce("record_id", missing.cast("string")))
+    elif on_bad_record in POLICIES:
+        records = records.filter(F.col("record_id").isNotNull())
+    else:
+        raise ValueError(f"unknown policy {on_bad_record!r}, expected one of {POLICIES}")
     cells = records.withColumn("_cells", _digest(comparable_cells(F.col("cols"), ignored)))
     by = order or ["ts_text", "seq", "table", "row_pos"]
     return slim_changes(cells, key or ["record_id"], by, "_cells", ["seq", "table", "row_pos"], bins).drop("_cells")

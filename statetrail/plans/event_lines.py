@@ -60,7 +60,7 @@ LINES = {
     # eight hosts, statistics differ every time
     "snapshot": "'{{\"timestamp\": \"'||ts_ms||'\", \"IP\": \"10.1.0.'||cast(user_id%8 as {S})||"
     "'\", \"Interface\": {{\"headings\": [\"_uuid\",\"name\",\"statistics\",\"external_ids\"], \"data\": [[[\"uuid\",\"'||{id}||'\"],\"'||event_type||"
-    "'\",[\"map\",[[\"rx\",'||es||']]],[\"map\",[[\"iface-id\",\"if-'||us||'\"]]]]]}}, "
+    "'\",[\"map\",[[\"rx\",'||es||']]],[\"map\",[[\"iface-id\",\"if-'||us||'\"],[\"peers\",[\"set\",[\"a\",[\"uuid\",\"'||us||'\"],[\"zz\",1]]]],[\"odd\",[\"zz\",1]]]]]]}}, "
     "\"Bridge\": {{\"headings\": [\"_uuid\",\"ports\"], \"data\": [[[\"uuid\",\"br-'||cast(user_id%8 as {S})||"
     "'\"],[\"set\",[[\"uuid\",\"p1\"],[\"uuid\",\"p2\"]]]]]}}}},'",
     # one table of one to three rows, so that comparing the rows both have is not transitive

@@ -245,7 +245,9 @@ ORACLES: dict[str, str] = {
     "record_take": f"WITH {E}, {_RECORDS} SELECT ts_text, seq, \"table\", record_id FROM r ORDER BY ts_text, seq, \"table\" LIMIT 10",
     "tagged_decode": f"WITH {E}, {_RECORDS} SELECT seq, \"table\", record_id AS id, "
     "CASE WHEN \"table\"='Interface' THEN event_type END AS name, CASE WHEN \"table\"='Interface' THEN es END AS rx, "
-    "CASE WHEN \"table\"='Interface' THEN 'if-'||us END AS iface_id, CASE WHEN \"table\"='Bridge' THEN 'p1,p2' END AS ports, "
+    "CASE WHEN \"table\"='Interface' THEN 'if-'||us END AS iface_id, "
+    "CASE WHEN \"table\"='Interface' THEN '[\"a\",\"'||us||'\",null]' END AS peers, 'none' AS odd, "
+    " CASE WHEN \"table\"='Bridge' THEN 'p1,p2' END AS ports, "
     "CASE WHEN \"table\"='Bridge' THEN 'set' END AS ports_kind FROM r",
     "record_changes": f"WITH {E}, {_RECORDS}, {_REC_CHANGES} SELECT record_id, host, \"table\", ts_text, seq, name_cell FROM rc",
     "snapshot_changes": f"WITH {E} SELECT host, ts_text, seq FROM (SELECT {_HOST} AS host, ts_ms AS ts_text, event_id AS seq, "

@@ -326,6 +326,8 @@ def tagged_decode(spark, sf_dir):
         cell["name"]["scalar"].alias("name"),
         cell["statistics"]["map"]["rx"].alias("rx"),
         cell["external_ids"]["map"]["iface-id"].alias("iface_id"),
+        cell["external_ids"]["map"]["peers"].alias("peers"),
+        F.coalesce(cell["external_ids"]["map"]["odd"], F.lit("none")).alias("odd"),
         F.array_join(cell["ports"]["set"], ",").alias("ports"),
         cell["ports"]["kind"].alias("ports_kind"),
     )

@@ -112,6 +112,14 @@ def test_messages_must_be_objects_with_a_timestamp(lines):
         decode_messages(df).collect()
 
 
+def test_messages_nested_too_deep_are_bad_lines(lines):
+    deep = lambda n: '{"timestamp": "t", "a": ' + "[" * n + "]" * n + "}"
+    df = lines(deep(50), deep(1500), deep(20000), '{"timestamp": 5}')
+    got = by_seq(decode_messages(df, on_bad_record="quarantine"), "parse_ok", "ts_text")
+    assert got[0] == (True, "t") and got[2] == (False, None) and got[3] == (True, "5")
+    assert got[1] in {(True, "t"), (False, None)}
+
+
 def test_known_paths_decode_natively(lines):
     df = lines('{"timestamp": "t", "body": "{\\"id\\": 5}", "other": "12 monkeys", "plain": {"k": 1}}')
     row = decode_messages(df, paths=["body", "other", "plain"]).select(

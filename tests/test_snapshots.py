@@ -49,6 +49,31 @@ def test_tagged_values(spark, cell, want):
     assert tuple(got) == want
 
 
+@pytest.mark.parametrize(
+    "cell, want",
+    [
+        ('["map",[["k",["set",["a","b"]]]]]', {"k": '["a","b"]'}),
+        ('["map",[["k",["map",[["y",["uuid","u"]],["x",1]]]]]]', {"k": '{"x":1,"y":"u"}'}),
+        ('["map",[["k",["zz",1]],["l",[1,2,3]]]]', {"k": None, "l": None}),
+        ('["map",[["k",["set",[["set",["a",["zz",1]]],true,null]]]]]', {"k": '[["a",null],true,null]'}),
+    ],
+)
+def test_tagged_values_inside(spark, cell, want):
+    df = spark.createDataFrame([(cell,)], "c string")
+    assert df.select(decode_tagged(F.col("c"))["map"]).first()[0] == want
+    listed = df.select(F.concat(F.lit('["set",['), "c", F.lit("]]")).alias("c"))
+    assert len(listed.select(decode_tagged(F.col("c"))["set"]).first()[0]) == 1
+
+
+def test_records_without_an_id(lines):
+    df = lines(snap(1, T=(["name"], [["a"], ["b"]])), record(2, "r1", name="x"))
+    records = expand_snapshots(parse_snapshots(df))
+    with pytest.raises(Exception, match="without _uuid"):
+        record_changes(records).collect()
+    for policy in ("drop", "quarantine"):
+        assert [r["record_id"] for r in record_changes(records, on_bad_record=policy).collect()] == ["r1"]
+
+
 def test_map_entry(spark):
     df = spark.createDataFrame([('["map",[["k","v"]]]',), ('["map",[]]',), ('"x"',), (None,)], "c string")
     assert [r[0] for r in df.select(map_entry(F.col("c"), "k")).collect()] == ["v", None, None, None]
