@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence scores the logistic of a sum of weights of
-its words and of their beginnings; a document scores the noisy-or of its sentences, one minus the
-product of their complements. Weights are learned from labels of whole documents, and the
-sentences that carry a document over the threshold are located from their own scores.
+A document is a bag of sentences. A sentence's complement is that of the logistic of a sum of
+weights of its words and of their beginnings, divided by that of a sentence without any: so it
+scores 0 without evidence, however many there are. A document scores the noisy-or of its
+sentences over the score of chance, one minus the product of their complements. Weights are learned from labels of whole
+documents of any length, and the sentences that carry a document over the threshold are located
+from their own scores.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statetrail.llm import arrays
+from statetrail.llm.store import settle
 
 #: Words have a weight if they are in this many documents of the sample at least, and toxic ones
 #: among these exceed the number expected by chance by so many standard deviations. Weights of all
@@ -24,10 +27,13 @@ from statetrail.llm import arrays
 LEAST_DOCS, LEAST_Z = 5, 5.0
 #: Bytes of a word that count as its beginnings, besides the whole word.
 BEGINNINGS = (5, 7)
-#: Labelled documents that the weights are fitted on, at most, and the bytes of text beyond
-#: which a document is not learned from (every document is scored whole).
-TRAIN_ROWS, TRAIN_BYTES = 8_000, 20_000
+#: Labelled documents that the weights are fitted on, at most.
+TRAIN_ROWS = 8_000
 STEPS, RATE, DECAY = 80, 0.2, 1e-4
+#: Share of documents that the fit takes to be labelled toxic without evidence, whatever their length.
+LEAK = 0.05
+#: Bias of a sentence, and the score that one reaches by chance: documents count what is above it.
+BIAS, FLOOR = -6.0, 0.05
 #: Bytes that end a sentence: full stop, exclamation and question mark, line feed.
 ENDS = np.isin(arrays.BYTES, [0x2E, 0x21, 0x3F, 0x0A])
 
@@ -75,67 +81,97 @@ class Weights:
         return known, at[known]
 
 
-def sentence_scores(values: np.ndarray, bias: float, feature: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+def evidence(values: np.ndarray, bias: float, feature: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """The negative logarithm of each sentence's complement: 0 without a word that has a weight."""
     z = np.bincount(place, values[feature], n) + bias
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return np.logaddexp(0, z) - np.logaddexp(0, bias)
 
 
-def noisy_or(p: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    return 1 - np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+def noisy_or(found: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Scores of documents relative to the floor, so that weak evidence doesn't add up with their length."""
+    return -np.expm1(-np.bincount(owner, np.maximum(found + np.log1p(-FLOOR), 0), n))
 
 
-def vocabulary(label: np.ndarray, words: list[np.ndarray]) -> Weights:
-    """Words that toxic documents hold more often than chance, without weights yet; ``words`` by document."""
-    seen = [np.unique(x) for x in words]
-    names, code = np.unique(np.concatenate(seen), return_inverse=True)
-    toxic = np.bincount(code, np.repeat(label, [len(x) for x in seen]), len(names))
-    docs = np.bincount(code, minlength=len(names))
-    share = docs / max(len(label), 1)
-    chance = label.sum() * share
-    often = (docs >= LEAST_DOCS) & (toxic - chance >= LEAST_Z * np.sqrt(chance * (1 - share)))
-    return Weights(names[often], np.zeros(often.sum()), 0.0)
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """Sorted words that toxic documents hold more often than chance, and how many documents there are.
+
+    ``word, docs, toxic``: in how many documents and toxic documents each word is; the row
+    without a word has the numbers of all documents.
+    """
+    counts = settle(counts.groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic")))
+    total = counts.where("word is null").first()
+    if total is None:
+        return np.zeros(0, np.uint64), 0
+    share = F.col("docs") / F.lit(total["docs"])
+    chance = F.lit(total["toxic"]) * share
+    often = (F.col("docs") >= LEAST_DOCS) & (F.col("toxic") - chance >= LEAST_Z * F.sqrt(chance * (1 - share)))
+    names = counts.where(F.col("word").isNotNull() & often).select("word").toPandas()["word"]
+    return np.sort(names.to_numpy(np.int64).view(np.uint64)), total["docs"]
 
 
-def fit(label: np.ndarray, words: list[np.ndarray], sizes: list[np.ndarray]) -> Weights:
-    """Weights by Adam on the log-likelihood of the labels, with a quadratic penalty.
+def patterns(owner: np.ndarray, place: np.ndarray, feature: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sentences with evidence of each text: features, the sentence of each, and how often each sentence occurs.
 
-    ``words`` and ``sizes`` have the words and the sizes of the sentences of each document.
-    Only words of the vocabulary are kept, so memory is that of one copy of the sample.
+    Sentences of a text with the same features are one, so a text takes no more room than it has different ones.
     """
-    known = vocabulary(label, words)
-    n, size = len(label), len(known.words)
-    owner = np.repeat(np.arange(n), [len(x) for x in sizes])
-    m, before = len(owner), 0
-    places, features = [], []
-    for x, counts in zip(words, sizes, strict=True):
-        at, feature = known.find(x)
-        places.append(before + np.searchsorted(np.cumsum(counts), at, "right"))
-        features.append(feature)
-        before += len(counts)
-    place = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64)
-    feature = np.concatenate([np.zeros(0, np.int64), *features]).astype(np.int64)
-    w = np.zeros(size + 1)
-    w[-1] = -5.0
-    mean, square = np.zeros_like(w), np.zeros_like(w)
+    sentence, place = np.unique(place, return_inverse=True)
+    mixed = arrays.mix(feature.astype(np.uint64) + np.uint64(1))
+    name = np.zeros(len(sentence), np.uint64)
+    np.add.at(name, place, mixed)
+    order = np.lexsort((name, owner[sentence]))
+    new = np.ones(len(order), bool)
+    new[1:] = (name[order[1:]] != name[order[:-1]]) | (owner[sentence[order[1:]]] != owner[sentence[order[:-1]]])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(order)))
+    number = np.full(len(sentence), -1)
+    number[order[first]] = np.arange(len(first))
+    kept = number[place] >= 0
+    by = np.argsort(number[place[kept]], kind="stable")
+    feature, number = feature[kept][by], number[place[kept]][by]
+    sentence_at = np.searchsorted(owner[sentence[order[first]]], np.arange(n + 1))
+    feature_at = np.searchsorted(number, sentence_at)
+    return [
+        (feature[a:b], number[a:b] - i, times[i:j])
+        for i, j, a, b in zip(sentence_at, sentence_at[1:], feature_at, feature_at[1:], strict=False)
+    ]
+
+
+def fit(label: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int, total: int) -> np.ndarray:
+    """Weights of ``size`` words, by Adam on the log-likelihood of the labels, with a quadratic penalty.
+
+    ``bags`` has what ``patterns`` finds in each document, ``total`` is the number of all
+    documents with those that hold no word of the vocabulary. Weights are not negative.
+    """
+    counts = np.array([len(times) for _, _, times in bags], np.int64)
+    n, m = len(label), int(counts.sum())
+    owner = np.repeat(np.arange(n), counts)
+    none = [np.zeros(0, np.int64)]
+    feature = np.concatenate([*none, *(f for f, _, _ in bags)]).astype(np.int64)
+    place = np.concatenate([*none, *(s + b for (_, s, _), b in zip(bags, np.cumsum(counts) - counts, strict=True))]).astype(np.int64)
+    times = np.concatenate([*none, *(t for _, _, t in bags)]).astype(np.float64)
+    w, mean, square = np.zeros((3, size))
+    base = 1 / (1 + np.exp(-BIAS))
     for step in range(1, STEPS + 1):
-        p = sentence_scores(w[:-1], w[-1], feature, place, m)
-        whole = np.clip(noisy_or(p, owner, n), 1e-9, 1 - 1e-9)
-        slope = np.where(label == 1, -(1 - whole) / whole, 1.0)[owner] * p
-        grad = np.append(np.bincount(feature, slope[place], size), slope.sum()) / n
-        grad[:-1] += DECAY * w[:-1]
+        found = evidence(w, BIAS, feature, place, m)
+        whole = 1 - (1 - LEAK) * np.exp(-np.bincount(owner, found * times, n))
+        slope = np.where(label == 1, -(1 - whole) / whole, 1.0)[owner] * times
+        # the logistic, from the logarithm of its complement
+        p = 1 - (1 - base) * np.exp(-found)
+        grad = np.bincount(feature, (slope * p)[place], size) / total + DECAY * w
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
-        w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
-    return Weights(known.words, w[:-1], float(w[-1]))
+        w = np.maximum(w - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6), 0)
+    return w
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights:
-    """Weights from at most ``rows`` labelled documents outside the held-out fold.
+    """Weights from at most ``rows`` labelled documents outside the held-out fold, each with its whole text.
 
     Which rows: the smallest hashes of ids, alike at every size. Labels other than 0 and 1
     and rows without an id are not learned from; of several labels the largest counts.
-    The sample is bounded, so its ids are broadcast and one task fits the weights. Without
-    labels no word has a weight.
+    The sample is bounded, so its ids are broadcast. Its words are counted where they are
+    read; one task fits the weights on what is left, sentences of words of the vocabulary.
+    Without labels no word has a weight.
     """
     wanted = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -144,33 +180,54 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights
         .orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.where(F.octet_length("text") <= TRAIN_BYTES)
     sample = texts.join(F.broadcast(wanted), "doc_id")
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, borders in arrays.blocks(batch["text"]):
                 b, n = Bags(data, borders), len(borders) - 1
-                word_at = np.searchsorted(b.owner[b.place], np.arange(n + 1))
-                sentence_at = np.searchsorted(b.owner, np.arange(n + 1))
-                sizes = np.bincount(b.place, minlength=len(b.begin)).astype(np.int32)
-                cut = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
+                toxic = batch["toxic"].slice(row, n).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = b.owner[b.place]
+                order = np.lexsort((b.words, owner))
+                word, owner = b.words[order], owner[order]
+                new = np.ones(len(word), bool)
+                new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+                names, code = np.unique(word[new], return_inverse=True)
+                docs, bad = np.bincount(code, minlength=len(names)), np.bincount(code, toxic[owner[new]], len(names)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(row, n), batch["toxic"].slice(row, n), cut(b.words, word_at), cut(sizes, sentence_at)],
-                    names=["id", "toxic", "words", "size"],
+                    [arrays.int64(names), pa.array(docs, pa.int64()), pa.array(bad, pa.int64())], names=["word", "docs", "toxic"]
                 )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None], pa.int64()), pa.array([n], pa.int64()), pa.array([int(toxic.sum())], pa.int64())], names=["word", "docs", "toxic"]
+                )
+
+    known, total = vocabulary(sample.mapInArrow(counted, "word bigint, docs bigint, toxic bigint"))
+    none = Weights(known[:0], np.zeros(0), BIAS)
+    if not len(known):
+        return none
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Weights(shared.value, np.zeros(len(shared.value)), 0.0)
+        for batch in batches:
+            for row, data, borders in arrays.blocks(batch["text"]):
+                b, n = Bags(data, borders), len(borders) - 1
+                at, feature = lookup.find(b.words)
+                found = patterns(b.owner, b.place[at], feature, n)
+                held = np.array([len(times) > 0 for _, _, times in found], bool)
+                columns = [pa.array([x[i].astype(np.int64).tobytes() for x in found], pa.binary()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].slice(row, n), batch["toxic"].slice(row, n), *columns], names=["id", "toxic", "feature", "place", "times"],
+                ).filter(pa.array(held))
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id"], kind="stable")
-        words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
-        w = fit(rows["toxic"].to_numpy(), words, [np.frombuffer(x, np.int32) for x in rows["size"]])
-        return pd.DataFrame({"words": [w.words.tobytes()], "weights": [w.values.tobytes()], "bias": [w.bias]})
+        rows = rows.sort_values(["id", "feature", "place", "times"], kind="stable")
+        found = [tuple(np.frombuffer(x, np.int64) for x in r) for r in zip(rows["feature"], rows["place"], rows["times"], strict=True)]
+        return pd.DataFrame({"weights": [fit(rows["toxic"].to_numpy(), found, len(shared.value), total).tobytes()]})
 
-    bagged = sample.mapInArrow(bags, "id bigint, toxic int, words binary, size binary").withColumn("one", F.lit(1))
-    got = bagged.groupBy("one").applyInPandas(fitted, "words binary, weights binary, bias double").first()
-    if got is None:
-        return Weights(np.zeros(0, np.uint64), np.zeros(0), -5.0)
-    return Weights(np.frombuffer(got["words"], np.uint64), np.frombuffer(got["weights"]), got["bias"])
+    bagged = sample.mapInArrow(bags, "id bigint, toxic int, feature binary, place binary, times binary").withColumn("one", F.lit(1))
+    got = bagged.groupBy("one").applyInPandas(fitted, "weights binary").first()
+    return none if got is None else Weights(known, np.frombuffer(got["weights"]), BIAS)
 
 
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
@@ -188,9 +245,9 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
             for row, data, borders in arrays.blocks(batch["text"]):
                 b, n = Bags(data, borders), len(borders) - 1
                 known, feature = w.find(b.words)
-                p = sentence_scores(w.values, w.bias, feature, b.place[known], len(b.begin))
-                whole = noisy_or(p, b.owner, n)
-                bad = np.flatnonzero(p >= 0.5)
+                found = evidence(w.values, w.bias, feature, b.place[known], len(b.begin))
+                whole = noisy_or(found, b.owner, n)
+                bad = np.flatnonzero(-np.expm1(-found) >= 0.5)
                 at = np.searchsorted(b.owner[bad], np.arange(n + 1)).astype(np.int32)
                 text_at = borders[:-1][b.owner[bad]]
                 spans = pa.StructArray.from_arrays(
@@ -223,7 +280,7 @@ def toxicity_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for row, data, borders in arrays.blocks(batch["text"]):
                 b, n = Bags(data, borders), len(borders) - 1
                 known, feature = w.find(b.words)
-                p = sentence_scores(w.values, w.bias, feature, b.place[known], len(b.begin))
-                yield batch.slice(row, n).filter(pa.array(noisy_or(p, b.owner, n) < 0.5))
+                found = evidence(w.values, w.bias, feature, b.place[known], len(b.begin))
+                yield batch.slice(row, n).filter(pa.array(noisy_or(found, b.owner, n) < 0.5))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -169,6 +169,35 @@ def test_toxicity_finds_the_sentences(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if r.score < 0.5}
 
 
+def test_toxicity_of_long_texts(spark):
+    rng = random.Random(4)
+    plain = [f"w{i}" for i in range(200)]
+
+    def text(sentences, bad=0):
+        parts = [" ".join(rng.choice(plain) for _ in range(8)) for _ in range(sentences)]
+        for i in range(bad):
+            parts[i] += " vile"
+        return ". ".join(parts) + "."
+
+    rows = [(i, text(800, 2 * (i % 3 == 0))) for i in range(90)]
+    assert min(len(t) for _, t in rows) > 20_000
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id bigint, toxic int")
+    more = [(1000, text(10_000)), (1001, "zq zp. " * 10_000), (1002, text(10_000, 2)), (1003, text(3, 1))]
+    docs = spark.createDataFrame(rows + more, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert got[1001].score == 0 and got[1000].score < 0.1 and got[1002].score > 0.5 and got[1003].score > 0.5
+    assert all(got[i].predicted == (i % 3 == 0) for i in range(90))
+    assert {r.doc_id for r in toxicity.toxicity_stage(docs, labels).collect()} == {i for i, r in got.items() if r.score < 0.5}
+
+
+def test_patterns_are_whole():
+    owner, place, feature = np.array([0, 0, 1, 1, 1]), np.array([0, 0, 1, 2, 3, 4, 4]), np.array([5, 6, 5, 7, 5, 6, 5])
+    got = toxicity.patterns(owner, place, feature, 3)
+    assert [len(t) for _, _, t in got] == [2, 3, 0] and all(t.tolist() == [1] * len(t) for _, _, t in got)
+    again = toxicity.patterns(np.zeros(4, int), np.array([0, 1, 1, 2, 3, 3]), np.array([5, 6, 7, 5, 7, 6]), 1)
+    assert sorted(again[0][2].tolist()) == [2, 2] and sorted(again[0][0].tolist()) == [5, 6, 7]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
