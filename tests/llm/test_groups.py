@@ -140,6 +140,16 @@ def test_near_stage_keeps_one_of_each(spark, rows):
     assert left.count() == len(lone) + len({c for n, c in want.values() if n})
 
 
+def test_near_stage_tells_documents_of_one_id_apart(spark):
+    passage = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    alone = [(None, passage("a"), "x"), (None, passage("b"), "x"), (7, passage("c"), "x"), (7, passage("d"), "x")]
+    bare = [(None, "", "x"), (None, "", "x"), (3, " \n", "x"), (3, " \n", "x"), (4, None, "y"), (4, None, "y")]
+    copies = [(9, passage("c") + " e", "x"), (None, passage("d"), "x"), (7, passage("c"), "x")]
+    left = jaccard.near_stage(spark.createDataFrame(alone + bare + copies, SCHEMA)).collect()
+    want = [alone[0], alone[1], alone[2], copies[1], *bare]
+    assert sorted((key(r), r[1] or "") for r in left) == sorted((key(r), r[1] or "") for r in want)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u bigint, v bigint")
     got = {r.s: r.root for r in jaccard.components(edges).collect()}
