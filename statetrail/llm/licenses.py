@@ -46,47 +46,57 @@ WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
     for c in range(256)
 )
-TAG_LINE = re.compile(r"spdx[^a-z0-9\n]{1,3}license[^a-z0-9\n]{1,3}identifier[^a-z0-9(\n]*([^\n]{0,400})")
+TAG_LINE = re.compile(r"spdx[^a-z0-9\n]{1,3}license[^a-z0-9\n]{1,3}identifier[^a-z0-9(\n]*")
 TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+-]*")
 #: Binding strength of the operators of expressions.
 STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 
-def postfix(tokens: Iterable[str]) -> list[str] | None:
-    """The expression in postfix order; None when it is not one."""
+def beginning(tokens: Iterable[str]) -> tuple[list[str], int]:
+    """The tokens up to the first that no expression can have there, and how many of
+    them, from the first on, the longest whole expression has."""
+    read: list[str] = []
+    whole = depth = 0
+    operand = False
+    for t in tokens:
+        closes = t == ")" or t in STRENGTH
+        if closes != operand or (t == ")" and not depth):
+            break
+        depth += (t == "(") - (t == ")")
+        operand = t != "(" and t not in STRENGTH
+        read.append(t)
+        if operand and not depth:
+            whole = len(read)
+    return read, whole
+
+
+def _ordered(tokens: list[str]) -> list[str]:
+    """A whole expression in postfix order, by the shunting-yard method."""
     out: list[str] = []
     held: list[str] = []
-    operand = False
     for t in tokens:
         if t in STRENGTH:
-            if not operand:
-                return None
             while held and held[-1] != "(" and STRENGTH[held[-1]] >= STRENGTH[t]:
                 out.append(held.pop())
             held.append(t)
-            operand = False
         elif t == "(":
-            if operand:
-                return None
             held.append(t)
         elif t == ")":
-            if not operand:
-                return None
-            while held and held[-1] != "(":
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                return None
             held.pop()
         else:
-            if operand:
-                return None
             out.append(t)
-            operand = True
-    if not operand or "(" in held:
-        return None
     return out + held[::-1]
 
 
+def postfix(tokens: Iterable[str]) -> list[str] | None:
+    """The expression in postfix order; None when it is not one."""
+    tokens = list(tokens)
+    whole = beginning(tokens)[1]
+    return _ordered(tokens) if whole and whole == len(tokens) else None
+
+
 def label_of(identifier: str) -> str:
     return next((s for s in SHORT if identifier.startswith(s)), identifier)
 
@@ -95,19 +105,31 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     """Licences of an expression and its freedom: "or" takes the freer side, "and" the
     stricter, "with" the licence it adds an exception to. Of text that is no whole
     expression, the longest beginning that is one counts; without any, nothing and 0."""
-    tokens = TOKEN.findall(expression)[:64]
-    order = next((p for n in range(len(tokens), 0, -1) if (p := postfix(tokens[:n]))), None)
+    tokens, whole = beginning(m[0] for m in TOKEN.finditer(expression))
     stack: list[tuple[set[str], float]] = []
-    for t in order or ():
+    for t in _ordered(tokens[:whole]):
         if t in STRENGTH:
             b, a = stack.pop(), stack.pop()
             value = a[1] if t == "with" else (max if t == "or" else min)(a[1], b[1])
-            stack.append((a[0] if t == "with" else a[0] | b[0], value))
+            if t != "with":
+                small, large = sorted((a[0], b[0]), key=len)
+                large |= small
+                a = large, value
+            stack.append((a[0], value))
         else:
             stack.append(({label_of(t)}, FREEDOM.get(label_of(t), 0.5)))
     return stack[0] if stack else (set(), 0.0)
 
 
+def expressions(text: str) -> Iterator[str]:
+    """What stands behind each identifier tag of a lower-cased text, up to the end of the line or the next tag."""
+    tags = list(TAG_LINE.finditer(text))
+    for tag, after in zip(tags, [*tags[1:], None], strict=True):
+        line = text.find("\n", tag.end())
+        stop = len(text) if line < 0 else line
+        yield text[tag.end() : min(stop, after.start()) if after else stop]
+
+
 def _automaton():
     import ahocorasick
 
@@ -135,8 +157,8 @@ def _scan(raw: bytes, found) -> tuple:
             base.add(label)
             places.append(text.count(" ", 0, end - length + 1))
     if tagged:
-        for line in TAG_LINE.findall(raw.translate(LOWER).decode("utf-8", "replace")):
-            names, freedom = evaluate(line)
+        for expression in expressions(raw.translate(LOWER).decode("utf-8", "replace")):
+            names, freedom = evaluate(expression)
             labels |= names
             scores += [freedom] * bool(names)
     ends = (min(places), max(places)) if places else (None, None)

@@ -144,6 +144,25 @@ def test_expressions():
     assert licenses.evaluate("") == (set(), 0.0)
 
 
+def test_long_expressions(spark):
+    long = " AND ".join(["MIT"] * 200)
+    tag = "SPDX-License-Identifier: "
+    texts = [
+        f"{tag}{long} AND GPL-3.0-only", f"{tag}{'(' * 90}{long}{')' * 90} AND CC-BY-NC-4.0 */ more", f"{tag}MIT {'x ' * 300}{tag}GPL-2.0",
+        f"{tag}{long} AND (GPL-3.0-only\nAGPL-3.0", f"{tag}MIT AND {tag}Apache-2.0 OR",
+    ]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [(r.labels, r.score) for r in sorted(got)] == [("gpl-3,mit", 0.4), ("cc-by-nc,mit", 0.1), ("gpl-2,mit", 0.4), ("mit", 1.0), ("apache-2,mit", 1.0)]
+    names, freedom = licenses.evaluate(" and ".join(f"own-{i}" for i in range(50_000)) + " and")
+    assert len(names) == 50_000 and freedom == 0.5
+
+
+@given(st.lists(st.sampled_from(["a", "b", "and", "or", "with", "(", ")"]), max_size=12))
+def test_longest_beginning(tokens):
+    read, whole = licenses.beginning(tokens)
+    assert whole == max((n for n in range(1, len(tokens) + 1) if licenses.postfix(tokens[:n])), default=0) and read == tokens[: len(read)]
+
+
 def test_toxicity_finds_the_sentences(spark):
     rng = random.Random(3)
     plain = [f"w{i}" for i in range(200)]
