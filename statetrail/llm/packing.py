@@ -9,6 +9,7 @@ full, and its rest waits. So all windows but a shard's last one are full.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,18 +44,40 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def table_of(path: str) -> PieceTable:
-    """Ids of pieces by the tokenizer at ``path``; kept by a Python worker from task to task."""
+def table_of(path: str) -> tuple[PieceTable, re.Pattern | None]:
+    """Ids of pieces by the tokenizer at ``path``, and what finds its added tokens; kept by a Python worker from task to task."""
     from tokenizers import Tokenizer
 
-    model, letters = Tokenizer.from_file(path).model, _byte_letters()
+    tokenizer, letters = Tokenizer.from_file(path), _byte_letters()
+    model, added = tokenizer.model, {}
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        if token.single_word or token.lstrip or token.rstrip:
+            raise ValueError(f"added token {token.content!r}: only tokens that are found as they stand are supported")
+        added[token.content.encode()] = i
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+        ids = [[added[p]] if p in added else [t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum())), counts
 
-    return PieceTable(encode)
+    # of tokens that begin at one place the longest counts
+    found = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+    return PieceTable(encode), found
+
+
+def split_at(data: np.ndarray, borders: np.ndarray, added: re.Pattern | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``split``, with each added token of the tokenizer as one piece and a border of the text around it."""
+    raw = data.tobytes()
+    if added is None or not added.search(raw):
+        return split(data, borders)
+    spans = [m.span() for i, j in zip(borders, borders[1:], strict=False) for m in added.finditer(raw, i, j)]
+    begin, stop = np.array(spans, np.int64).reshape(-1, 2).T
+    start, end, _ = split(data, np.unique(np.concatenate([borders, begin, stop])))
+    within = np.searchsorted(begin, start, "right") - 1
+    inside = (within >= 0) & (start < stop[within]) if len(spans) else np.zeros(len(start), bool)
+    kept = ~inside | np.isin(start, begin)
+    start, end = start[kept], np.where(inside, stop[within], end)[kept] if len(spans) else end[kept]
+    return start, end, np.searchsorted(start, borders)
 
 
 class Index:
@@ -143,8 +166,8 @@ class Shard:
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents and their places in sequences of at most 1024 tokens.
 
-    A document is the ids of its whole text by the tokenizer at ``path`` (on every machine)
-    and the id 0; a null or empty text is that id alone. A row for each piece: ``start`` in
+    A document is the ids of its whole text by the tokenizer at ``path`` (on every machine),
+    its added tokens included, and the id 0; a null or empty text is that id alone. A row for each piece: ``start`` in
     the document, ``length``, ``ids_crc32`` of its ids as little-endian unsigned 32-bit
     integers, ``doc_tokens`` of the whole document, ``sequence_id`` and ``offset`` there.
     Each id lies in one piece; sequences that aren't full are padded unless their length is
@@ -152,7 +175,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(path)
+        table, added = table_of(path)
         sequence = TaskContext.get().partitionId() << 40
         shard, rows = Shard(), []
 
@@ -162,7 +185,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             ids_of_docs = batch["doc_id"].to_pylist()
             for row, data, borders in arrays.blocks(batch["text"]):
-                start, end, first = split(data, borders)
+                start, end, first = split_at(data, borders, added)
                 ids, counts, keys, which = table.look_up(data, start, end) if len(start) else (np.zeros(0, np.int64),) * 4
                 at = np.concatenate([[0], np.cumsum(counts)])[first]
                 n = len(borders) - 1

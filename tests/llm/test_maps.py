@@ -108,6 +108,18 @@ def test_packing_is_whole(spark, docs):
     assert len(short) <= docs.union(more).rdd.getNumPartitions()
 
 
+def test_packing_of_added_tokens(spark):
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"é{mark}{mark}'s  {mark}\n\n x", "<|endof", "text|>", f"it{mark}'ll <|endoftext|", "plain 's", None]
+    tokenizer = Tokenizer.from_file(MODEL)
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), MODEL).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array(tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [0], "<u4")
+        assert (r.start, r.length, r.doc_tokens, r.ids_crc32) == (0, len(ids), len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_packing_prefers_neighbours():
     terms = [np.array(x, np.uint64) for x in ([1, 2, 3], [7, 8], [1, 2, 4], [9, 8])]
     index = packing.Index(terms, [np.ones(len(t)) for t in terms])
