@@ -4,19 +4,26 @@ Equal vectors are one point, which keeps the smallest ids that any query can nee
 are dealt out to shards of bounded size. A shard's hierarchical graph is a matrix of
 neighbour numbers for each level: level 0 has all points, each level above a fixed part of
 the one below. A point's neighbours are the closest of those that no chosen neighbour is
-closer to than the point itself, filled up with the closest others. All queries walk a
-shard's graph together, and their shards' results are merged.
+closer to than the point itself, filled up with the closest others. A shard's arrays are
+built and written once; queries walk them in blocks of bounded size, and the results of all
+shards are merged.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statetrail.llm.store import settle
+
 #: Points of a shard, about; the exact number varies as hashes fall.
 SHARD_POINTS = 8192
+#: Queries of a block, about, likewise.
+BLOCK_QUERIES = 2048
 #: Neighbours of a point on level 0 and above, candidates they are chosen from, share of points a level up.
 WIDE, NARROW, CANDIDATES, SHARE = 32, 12, 96, 16
 #: Points that a walk keeps open.
@@ -81,6 +88,18 @@ class Graph:
                 break
             members = members[::SHARE]
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All of the graph but its points, by names that ``of`` reads."""
+        return {f"{kind}{i}": x for i, level in enumerate(self.levels) for kind, x in zip(("members", "links"), level, strict=True)}
+
+    @classmethod
+    def of(cls, points: np.ndarray, stored: dict[str, np.ndarray]) -> Graph:
+        graph = cls.__new__(cls)
+        graph.points, graph.levels = points.astype(np.float32), []
+        while (name := f"members{len(graph.levels)}") in stored:
+            graph.levels.append((stored[name], stored[name.replace("members", "links")]))
+        return graph
+
     def search(self, queries: np.ndarray, count: int) -> np.ndarray:
         """Numbers of the ``count`` best points found for each query, best first; -1 where there are fewer."""
         queries = queries.astype(np.float32)
@@ -138,8 +157,14 @@ def distinct_points(vectors: DataFrame, ids: int) -> DataFrame:
     return numbered.groupBy("point", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
+def dealt(queries: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """``queries`` with ``block`` and, once for each, ``shard``."""
+    block = F.pmod(F.xxhash64(F.lit("block"), "query_id", "query"), F.lit(blocks))
+    return queries.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
+
+
 def nearest(
-    vectors: DataFrame, count: int = 20, every: int = 20, shard_points: int = SHARD_POINTS,
+    vectors: DataFrame, count: int = 20, every: int = 20, shard_points: int = SHARD_POINTS, block_queries: int = BLOCK_QUERIES,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``count`` nearest vectors found for each whose id ``every`` divides.
@@ -152,33 +177,46 @@ def nearest(
     """
     clean = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     clean = clean.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct()
-    sizes = clean.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    asks = (F.col("vec_id") % every == 0).cast("bigint")
+    sizes = clean.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("count"), F.sum(asks).alias("asks")).orderBy(F.desc("count"), "size").first()
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     clean = clean.where(F.size("embedding") == sizes["size"])
     shards = max(1, round(sizes["count"] / shard_points))
+    blocks = max(1, round(sizes["asks"] / block_queries))
     queries = clean.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     points = distinct_points(clean, count + 1).withColumn("shard", F.pmod(F.col("point"), F.lit(shards)))
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-
-    def searched(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+    def built(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("point", kind="stable")
+        data = np.stack(own["embedding"].to_list())
+        ids, file = own["ids"].to_list(), io.BytesIO()
+        at = np.cumsum([0, *map(len, ids)])
+        np.savez(file, data=data, ids=np.concatenate(ids), at=at, **Graph(data).arrays())
+        return pd.DataFrame({"shard": own["shard"].iloc[:1], "graph": [file.getvalue()]})
+
+    def searched(stored: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "ids": [], "score": []})]
-        if len(own):
-            own = own.sort_values("point", kind="stable")
-            data = np.stack(own["embedding"].to_list())
-            graph, members = Graph(data), own["ids"].to_numpy()
+        if len(stored) and len(asking):
+            with np.load(io.BytesIO(stored["graph"].iloc[0])) as file:
+                held = dict(file)
+            data, at = held["data"], held["at"]
+            graph = Graph.of(data, held)
             for i in range(0, len(asking), 256):
-                block = asking.iloc[i : i + 256]
-                query = np.stack(block["query"].to_list())
+                part = asking.iloc[i : i + 256]
+                query = np.stack(part["query"].to_list())
                 found = graph.search(query, count + 1)
                 q, c = np.nonzero(found >= 0)
                 hit = found[q, c]
                 out.append(pd.DataFrame({
-                    "query_id": block["query_id"].to_numpy()[q], "ids": members[hit], "score": (query[q] * data[hit]).sum(1),
+                    "query_id": part["query_id"].to_numpy()[q],
+                    "ids": [held["ids"][at[h] : at[h + 1]] for h in hit],
+                    "score": (query[q] * data[hit]).sum(1),
                 }))
         return pd.concat(out)
 
-    found = points.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(
+    graphs = settle(points.groupBy("shard").applyInPandas(built, "shard bigint, graph binary"))
+    copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    found = copies.groupBy("shard", "block").cogroup(dealt(queries, shards, blocks).groupBy("shard", "block")).applyInPandas(
         searched, "query_id bigint, ids array<bigint>, score double"
     )
     pairs = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")

@@ -262,6 +262,16 @@ def test_nearest_recall_ties_and_odd_rows(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in hnsw.nearest(few).collect()] == [(0, 1, 1, 0.5)]
 
 
+def test_nearest_in_blocks_of_queries(spark):
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "vec_id bigint, embedding array<double>")
+    queries = frame.toDF("query_id", "query")
+    groups = {(r.shard, r.block): r["count"] for r in hnsw.dealt(queries, 3, 8).groupBy("shard", "block").count().collect()}
+    assert groups.keys() == {(s, b) for s in range(3) for b in range(8)} and max(groups.values()) < 150
+    one, many = (sorted(hnsw.nearest(frame, 5, 2, shard_points=200, block_queries=n).collect()) for n in (10_000, 40))
+    assert one == many and len(one) == 300 * 5
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert packing.pack(none, MODEL).count() == bpe.digest_round_trip(none, RANKS).count() == licenses.scan_licenses(none).count() == 0
