@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statetrail.llm import bpe, chat, debruijn, fingerprint, hnsw, jaccard, licenses, linedup, packing, toxicity
+from statetrail.llm import align, bpe, chat, debruijn, fingerprint, hnsw, jaccard, licenses, linedup, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +146,9 @@ FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id, d.w
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents, as components."""
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over every document, aligned."""
+    return align.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
