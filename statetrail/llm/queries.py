@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statetrail.llm import align, bpe, chat, debruijn, fingerprint, hnsw, jaccard, licenses, linedup, packing, toxicity
+from statetrail.llm import align, bpe, chat, debruijn, fingerprint, hnsw, jaccard, licenses, linedup, mixing, packing, ranked, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,3 +152,67 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two tokenizers over every document, aligned."""
     return align.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that score highest for each benchmark item."""
+    return ranked.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op12_ranked_search"] = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS d, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), n AS (SELECT d, doc_id, count(*) AS n FROM w GROUP BY d, doc_id),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+p AS (SELECT d, t, count(*) AS tf FROM w GROUP BY d, t),
+q AS (
+  SELECT item_id, t, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t
+), f AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s WHERE t IN (SELECT t FROM q) GROUP BY t, docs
+), r AS (
+  SELECT q.item_id, n.doc_id, CAST(sum(q.qtf * f.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (100 - 25 + (25 * n.n * s.docs) // s.total)))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN p USING (t) JOIN n ON p.d = n.d, s GROUP BY q.item_id, n.d, n.doc_id
+), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
+@query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to their target weights takes of every document."""
+    return mixing.mix_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLES["op13_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source
+), a AS (SELECT CAST(sum(size) AS BIGINT) AS size, CAST(sum(weight) AS BIGINT) AS weight FROM s),
+c AS (
+  SELECT s.*, CAST(s.size AS DOUBLE) / s.weight AS ratio,
+    a.size - 3 * CAST(coalesce(sum(s.size) OVER o, 0) AS BIGINT) AS remaining, a.weight - CAST(coalesce(sum(s.weight) OVER o, 0) AS BIGINT) AS shared
+  FROM s, a WINDOW o AS (ORDER BY CAST(s.size AS DOUBLE) / s.weight, s.source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (SELECT remaining, shared FROM c WHERE 3 * size * shared > weight * remaining ORDER BY ratio, source NULLS LAST LIMIT 1),
+t AS (
+  SELECT s.source, s.size, coalesce(least(CAST(3 * s.size AS DOUBLE), CAST(s.weight * l.remaining AS DOUBLE) / l.shared), 3.0 * s.size) AS target
+  FROM s LEFT JOIN l ON true
+), p AS (SELECT source, CAST(sum(CAST(floor(target) AS BIGINT)) OVER (ORDER BY source NULLS LAST) AS BIGINT) AS high, CAST(floor(target) AS BIGINT) AS words FROM t),
+w AS (SELECT CAST(sum(words) AS BIGINT) AS total FROM p),
+k AS (
+  SELECT least(CAST(floor(((i * 2654435769) % 4294967296) / CAST(4294967296 AS DOUBLE) * w.total) AS BIGINT), w.total - 1) AS at
+  FROM w, range((SELECT (total + 127) // 128 FROM w)) AS g(i)
+), n AS (SELECT p.source, count(*) * 128 AS reach FROM k JOIN p ON k.at >= p.high - p.words AND k.at < p.high GROUP BY p.source),
+b AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d
+), e AS (
+  SELECT b.doc_id, b.size, t.size AS source_size, t.target,
+    list_sum(list_transform([0, 1, 2], lambda x: greatest(0, least(b.size, coalesce(n.reach, 0) - b.start - x * t.size)))) AS taken
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON b.source IS NOT DISTINCT FROM n.source
+)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM e
+"""
