@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -169,6 +170,34 @@ def test_long_expressions(spark):
     assert len(names) == 50_000 and freedom == 0.5
 
 
+SEPARATORS = [" ", "-", "\n", "\r\n", "\t \t", " - " * 5, "_", "\x00", "\n\n# ", "...", ":-/"]
+
+
+def test_tags_with_any_separators(spark):
+    texts = [f"SPDX{a}License{b}Identifier{c}MIT OR GPL-3.0\nnext line" for a in SEPARATORS for b in SEPARATORS for c in (": ", "\t", " (", "--\n")]
+    texts += ["SPDX License\nIdentifier: MIT", "spdx license identifier", "SPDX-License-Identifier:\nMIT", "xspdx license identifier mit"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [("" if "(" in t or "--\n" in t else "gpl-3,mit") for t in texts[:-4]] + ["mit", "", "", ""]
+
+
+def test_tags_of_one_line(spark):
+    text = "SPDX-License-Identifier: MIT SPDX-License-Identifier: BSD-3-Clause AND own-1\nSPDX-License-Identifier: Apache-2.0"
+    got = licenses.scan_licenses(spark.createDataFrame([(1, text, 2)], "doc_id bigint, text string, labels int")).first()
+    assert got.labels == "apache-2,bsd,mit,own-1" and got.score == 0.5 and got.base_labels == ""
+
+
+@pytest.mark.parametrize("part", ["under the mit license ", "SPDX-License-Identifier: MIT ", "spdx license identifier\n(mit\n"])
+def test_many_places_take_time_in_proportion(part):
+    raw = (part * (10_000_000 // len(part))).encode()
+    begin = time.perf_counter()
+    row = licenses._scan(raw, licenses._automaton())
+    assert time.perf_counter() - begin < 30
+    words = len(part.replace("-", " ").replace(":", " ").replace("(", " ").split())
+    assert row[0] == words * (10_000_000 // len(part))
+    if "under" in part:
+        assert row[1:4] == (row[0] // 4, 0, row[0] - 4) and row[4] == "mit"
+
+
 @given(st.lists(st.sampled_from(["a", "b", "and", "or", "with", "(", ")"]), max_size=12))
 def test_longest_beginning(tokens):
     read, whole = licenses.beginning(tokens)
