@@ -24,6 +24,8 @@ BLOCK, EPOCHS = 128, 3
 WEIGHTS = (1, 2, 3)
 #: Slots that are ranked together; hexadecimal digits of the hash that documents are summed up by.
 CHUNK, DIGITS = 1 << 16, 4
+#: Tasks that the documents of one source are dealt to, at least, where they meet its numbers.
+SALTS = 64
 #: 2**32 divided by the golden ratio, an odd number: multiples of it, modulo 2**32, are the points.
 GOLDEN, RANGE = 2654435769, 1 << 32
 SPACES = " \t\n\x0b\x0c\r"
@@ -143,6 +145,13 @@ def streams(rows: DataFrame) -> DataFrame:
     return each.select("of", "doc_id", "size", (F.col("near") + F.col("far") + F.col("copy") * F.col("size")).alias("start"))
 
 
+def with_source(rows: DataFrame, table: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with what ``table`` has for their ``of``; the rows of one source are dealt to ``SALTS`` tasks by other columns."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    return salted.join(table.select("*", salt), ["of", "salt"]).drop("salt")
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, source, size`` and ``key``, the hash of the id (of the text, where that is null) that shuffles documents."""
     doc_id = F.col(id_col).cast("bigint")
@@ -164,7 +173,7 @@ def mix(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     of = F.struct("source").alias("of")
     taken = slot.groupBy("of").agg(F.max("block").alias("last"))
     sized = sources.select(of, F.col("size").alias("stream")).join(taken, "of")
-    own = streams(rows.where("size > 0").select("*", of)).join(sized, "of")
+    own = with_source(streams(rows.where("size > 0").select("*", of)), sized, "start")
     epochs = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch")
     begin = F.col("start") + F.col("epoch") * F.col("stream")
     turns = own.select("*", epochs).withColumn("begin", begin).where(F.floor(F.col("begin") / block) <= F.col("last"))
@@ -201,4 +210,5 @@ def mix_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     taken = whole.unionByName(pieces).groupBy("of", "start", "doc_id", "size").agg(F.sum("words").alias("taken"))
     empty = rows.where("size = 0").select(of, "doc_id", "size", none.alias("taken"))
     known = sources.select(of, F.col("size").alias("source_size"), "target")
-    return taken.select("of", "doc_id", "size", "taken").unionByName(empty).join(known, "of").select("doc_id", "size", "source_size", "target", "taken")
+    found = with_source(taken.select("of", "doc_id", "size", "taken").unionByName(empty), known, "doc_id", "size", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "taken")
