@@ -1,12 +1,30 @@
-"""Tagged cells of a configuration database: ``["uuid",x]``, ``["set",[..]]``, ``["map",[[k,v]..]]``."""
+"""Tagged cells of a configuration database: ``["uuid",x]``, ``["set",[..]]``, ``["map",[[k,v]..]]``.
+
+Cells without sets, maps or objects inside others are decoded by built-in expressions. No such
+expression follows nesting of any depth, so the other cells of a record go to an Arrow
+function, all in one value.
+"""
 
 from __future__ import annotations
 
+import json
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from statetrail.functions.let import let
 
+# The decoder travels to the executors itself; they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+DECODED = "struct<kind: string, scalar: string, set: array<string>, map: map<string,string>, raw: string>"
+#: Brackets that a cell may have inside one another; a JSON parser of Spark goes no deeper either.
+DEEPEST = 10_000
+
 
 def _is_array(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("ARRAY")
@@ -16,41 +34,12 @@ def _items(v: Column, kind: str) -> Column:
     return v.try_cast(f"array<{kind}>")
 
 
-#: Levels of sets and maps inside sets and maps that are decoded.
-DEPTH = 2
-
-
-def _leaf(v: Column, depth: int = DEPTH) -> Column:
-    """Text of a value inside a set or map: a scalar as it is, the id of a reference, a
-    nested set or map as JSON of its decoded values. A list with an unknown tag, or one
-    nested more than ``depth`` levels deep, has no value."""
-    nested = F.when(_tag(v) == "uuid", F.try_variant_get(v, "$[1]", "string"))
-    if depth:
-        nested = nested.when(_tag(v).isin("set", "map"), _as_json(v, depth))
-    return nested.when(~_is_array(v), F.try_variant_get(v, "$", "string"))
-
-
-def _as_json(v: Column, depth: int) -> Column:
-    """JSON text of a decoded value; no value is null. Of equal keys the last counts."""
-    none = F.lit("null")
-    scalar = F.when(_tag(v) == "uuid", F.to_json(F.try_variant_get(v, "$[1]", "variant")))
-    plain = scalar.when(~_is_array(v), F.to_json(v))
-    if not depth:
-        return F.coalesce(plain, none)
-    items = F.transform(F.try_variant_get(v, "$[1]", "array<variant>"), lambda x: _as_json(x, depth - 1))
-    pairs = F.transform(
-        F.try_variant_get(v, "$[1]", "array<array<variant>>"),
-        lambda p: F.struct(
-            F.try_variant_get(F.get(p, F.lit(0)), "$", "string").alias("key"),
-            _as_json(F.get(p, F.lit(1)), depth - 1).alias("value"),
-        ),
+def _leaf(v: Column) -> Column:
+    """Text of a value inside a set or map that is not nested: a scalar as it is, the id of a
+    reference. A list with an unknown tag has no value."""
+    return F.when(_tag(v) == "uuid", F.try_variant_get(v, "$[1]", "string")).when(
+        ~_is_array(v), F.try_variant_get(v, "$", "string")
     )
-    # a key is written as a list of one, without the brackets
-    key = lambda e: let(F.to_json(F.array(e["key"])), lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
-    entries = let(pairs, lambda all_: F.transform(F.array_sort(_last_of_each(all_)), lambda e: F.concat(key(e), F.lit(":"), e["value"])))
-    listed = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
-    named = F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
-    return F.coalesce(plain.when(_tag(v) == "set", listed).when(_tag(v) == "map", named), none)
 
 
 def _last_of_each(pairs: Column) -> Column:
@@ -64,12 +53,115 @@ def _last_of_each(pairs: Column) -> Column:
     )
 
 
+class _Number(str):
+    """A number as it was written."""
+
+
+def _tag_of(value) -> str | None:
+    pair = isinstance(value, list) and len(value) == 2 and type(value[0]) is str
+    return value[0] if pair and value[0] in ("uuid", "set", "map") else None
+
+
+def _pairs(value) -> dict[str, object]:
+    """Entries of the pairs of a map, the last of equal keys; keys are texts as a scalar's is."""
+    found = {}
+    for p in value if isinstance(value, list) else ():
+        if isinstance(p, list) and p and p[0] is not None:
+            found[_text(p[0])] = p[1] if len(p) > 1 else None
+    return found
+
+
+def _plain(value):
+    """A value with every tag, at any depth, replaced by what it stands for; a list without one is nothing."""
+    tag = _tag_of(value)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if tag == "set":
+        return [_plain(v) for v in value[1]] if isinstance(value[1], list) else None
+    if tag == "map":
+        return {k: _plain(v) for k, v in _pairs(value[1]).items()}
+    if tag == "uuid":
+        return value[1]
+    return None if isinstance(value, list) else value
+
+
+def _written(value) -> str:
+    """JSON text, keys in order, numbers as they were."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_written, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
+def _text(value) -> str | None:
+    """Text of a decoded value: a scalar as it is, anything else as JSON."""
+    if value is None or isinstance(value, str):
+        return value if value is None else str(value)
+    return _written(value)
+
+
+def _decoded_cell(cell: str) -> dict:
+    try:
+        value = json.loads(cell, parse_int=_Number, parse_float=_Number)
+    except ValueError:
+        return {"kind": "unknown", "raw": cell}
+    tag = _tag_of(value)
+    if isinstance(value, dict) or tag == "map":
+        entries = value if isinstance(value, dict) else _pairs(value[1])
+        return {"kind": tag or "object", "map": {k: _text(_plain(v)) for k, v in entries.items()}}
+    if tag == "set":
+        return {"kind": tag, "set": [_text(_plain(v)) for v in value[1]] if isinstance(value[1], list) else None}
+    if tag == "uuid":
+        return {"kind": tag, "scalar": _text(value[1])}
+    return {"kind": "unknown", "raw": cell} if isinstance(value, list) else {"kind": "scalar", "scalar": _text(value)}
+
+
+@F.pandas_udf(StringType())
+def _deep_cells(records: pd.Series) -> pd.Series:
+    """Decoded cells of each record, given and returned as one JSON object of cell texts."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+
+    def one(text):
+        if not isinstance(text, str):
+            return None
+        return json.dumps({name: _decoded_cell(cell) for name, cell in json.loads(text).items()})
+
+    return pd.Series([one(t) for t in records], dtype=object)
+
+
+def is_nested(cell: Column) -> Column:
+    """Whether a cell may have a set, map or object inside another: true for every one that has, and for some texts."""
+    return cell.rlike(r'(?s)\{|(\["(set|map)",.*){2}')
+
+
+def decode_cells(cols: Column) -> Column:
+    """A map of decoded cells for a map of cells given as JSON text; see ``decode_tagged``.
+
+    Values inside sets, maps and objects are texts; those that are sets, maps or objects
+    again are decoded to JSON, whatever their depth: sets are lists, maps objects with keys
+    in order. The last of equal keys counts. A list with an unknown tag or length has no value.
+    """
+    nested = F.map_filter(cols, lambda k, v: F.coalesce(is_nested(v), F.lit(False)))
+    deep = F.from_json(_deep_cells(F.when(F.size(nested) > 0, F.to_json(nested))), f"map<string,{DECODED}>")
+
+    def decoded(found: Column) -> Column:
+        return F.transform_values(cols, lambda k, v: F.coalesce(F.try_element_at(found, k), _flat(v)))
+
+    return let(deep, decoded)
+
+
 def decode_tagged(cell: Column) -> Column:
     """Struct ``(kind, scalar, set, map, raw)`` of a cell given as JSON text.
 
-    ``kind`` is scalar, uuid, set, map or unknown. A list that is no tagged pair
-    has no value: only ``raw`` keeps it. Sets and maps inside are decoded to JSON.
+    ``kind`` is scalar, uuid, set, map, object or unknown. A list that is no tagged pair
+    has no value: only ``raw`` keeps it. See ``decode_cells`` for what is inside.
     """
+    return let(decode_cells(F.create_map(F.lit("cell"), cell)), lambda m: m["cell"])
+
+
+def _flat(cell: Column) -> Column:
+    """A cell without sets, maps or objects inside others."""
     return let(F.try_parse_json(cell), lambda v: let(_tag(v), lambda tag: _decoded(v, tag, cell)))
 
 
@@ -92,6 +184,7 @@ def _decoded(v: Column, tag: Column, cell: Column) -> Column:
             _leaf(F.get(p, F.lit(1))).alias("value"),
         ),
     )
+    named = F.filter(entries, lambda e: e["key"].isNotNull())
     items = F.transform(F.try_variant_get(v, "$[1]", "array<variant>"), lambda x: _leaf(x))
     return F.struct(
         kind.alias("kind"),
@@ -99,11 +192,18 @@ def _decoded(v: Column, tag: Column, cell: Column) -> Column:
         .when(~_is_array(v), F.try_variant_get(v, "$", "string"))
         .alias("scalar"),
         F.when(tag == "set", items).alias("set"),
-        F.when(tag == "map", let(entries, lambda e: F.map_from_entries(_last_of_each(e)))).alias("map"),
+        F.when(tag == "map", let(named, lambda e: F.map_from_entries(_last_of_each(e)))).alias("map"),
         F.when(kind == "unknown", cell).alias("raw"),
     )
 
 
 def map_entry(cell: Column, key: str) -> Column:
-    """Value of one key of a tagged map cell, NULL when the cell is no map."""
-    return F.try_element_at(decode_tagged(cell)["map"], F.lit(key))
+    """Text of the entry of one key of a tagged map cell, the last of several; NULL when the cell is no map or
+    the entry is a set, map or list. No other entry is decoded."""
+
+    def entry(v: Column) -> Column:
+        pairs = F.when(_tag(v) == "map", F.try_variant_get(v, "$[1]", "array<array<variant>>"))
+        own = F.filter(pairs, lambda p: F.try_variant_get(F.get(p, F.lit(0)), "$", "string") == key)
+        return let(F.get(F.try_element_at(own, F.lit(-1)), F.lit(1)), _leaf)
+
+    return let(F.try_parse_json(cell), entry)

@@ -14,6 +14,7 @@ from statetrail.functions import patterns as P
 from statetrail.functions.fields import matched_parts, regex_parts
 from statetrail.functions.jsontext import comparable, json_object, text_of, unwrap_json, unwrap_paths
 from statetrail.functions.let import let, only_if
+from statetrail.operators.entities import per_entity
 from statetrail.operators.records import settle
 
 
@@ -126,15 +127,12 @@ def parse_states(lines: DataFrame, text: str = "value", on_bad_record: str = "fa
 
 
 def as_ops(parsed: DataFrame, source: str, fields: list[str] | None = None, seq: str = "seq") -> DataFrame:
-    """Operations in the shape the look-back reads.
+    """Operations in the shape the look-back reads, one for each entity of a line.
 
-    ``payload`` is the JSON text of ``fields``, or the ``body`` of a message.
+    ``payload`` is the JSON text of ``fields``, or the ``body`` of a message. It is made
+    before lines with ``entity_ids`` are dealt out to these.
     """
     payload = F.col("body") if fields is None else F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    return parsed.select(
-        "entity_id",
-        F.lit(source).alias("source"),
-        "ts_text",
-        F.col(seq).alias("seq"),
-        payload.alias("payload"),
-    )
+    by = "entity_ids" if "entity_ids" in parsed.columns else "entity_id"
+    ops = parsed.select(by, F.lit(source).alias("source"), "ts_text", F.col(seq).alias("seq"), payload.alias("payload"))
+    return ops if by == "entity_id" else per_entity(ops).select("entity_id", "source", "ts_text", "seq", "payload")

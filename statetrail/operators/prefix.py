@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statetrail.operators.lineage import settle_rounds
-from statetrail.operators.slices import HOURS, Bins, changed, next_flagged, numbered
+from statetrail.operators.slices import changed, next_flagged, numbered
 from statetrail.operators.snapshots import table_rows
 
 CELL = ["host", "table", "row_pos"]
 
 
-def prefix_changes(snapshots: DataFrame, order: list[str] | None = None, bins: Bins = HOURS) -> DataFrame:
+def prefix_changes(snapshots: DataFrame, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """First snapshot of a host and each one that replaces the kept one before.
 
     ``seq`` names a snapshot. Places and digests are worked out once each and written
@@ -29,10 +29,10 @@ def prefix_changes(snapshots: DataFrame, order: list[str] | None = None, bins: B
     """
     order = order or ["ts_text", "seq"]
     slim = snapshots.select(*dict.fromkeys(["host", *order, "seq"]))
-    placed = settle_rounds(numbered(slim, ["host"], order, bins).select("host", "seq", "pos"))
+    placed = settle_rounds(numbered(slim, ["host"], order, parts).select("host", "seq", "pos"))
     start = placed.select("host", "pos").filter("pos = 1")
     rows = table_rows(snapshots.select("seq", "tables")).join(placed, "seq").select(*CELL, "pos", "digest")
-    pointers = settle_rounds(_pointers(rows, bins))
+    pointers = settle_rounds(_pointers(rows, parts))
     # Only the start and what is pointed at can be kept. A long run of equal
     # snapshots, which all point to its end, leaves one pointer.
     targets = pointers.select("host", F.col("next").alias("pos")).union(start).distinct()
@@ -41,10 +41,10 @@ def prefix_changes(snapshots: DataFrame, order: list[str] | None = None, bins: B
     return snapshots.join(kept, "seq", "left_semi")
 
 
-def _pointers(rows: DataFrame, bins: Bins) -> DataFrame:
+def _pointers(rows: DataFrame, parts: int | None) -> DataFrame:
     """(host, pos, next): where the snapshot at ``pos`` would be replaced."""
-    flagged = changed(rows, CELL, ["pos"], ["digest"], bins)
-    ahead = next_flagged(flagged, CELL, "pos", "_changed", bins)
+    flagged = changed(rows, CELL, ["pos"], ["digest"], parts)
+    ahead = next_flagged(flagged, CELL, "pos", "_changed", parts)
     return ahead.groupBy("host", "pos").agg(F.min("_next").alias("next")).filter("next is not null")
 
 

@@ -1,122 +1,117 @@
 """Ordered work on groups of which a few may be huge.
 
-A window over a key puts all rows of that key in one task. Here every group is cut
-into slices that are a fixed function of the row: its key and a bin of the first
-order column, which rises with the order. The window runs inside (key, bin). What a
-row has to know of the bins before its own comes from one pre-aggregated row per
-(key, bin), folded over bins in two levels, and is joined back to the rows. The
-answer is that of the plain window for every row and any width of the bins; nothing
-is counted or sampled to decide, and nothing is collected or broadcast.
-
-Missing keys are one group. Keys and bins travel packed in a struct, which compares
-missing parts as equal.
+A window over a key puts all rows of that key in one task. Here the rows, written once, are
+dealt into ranges of (key, order) of about equal size, whatever the keys: a sample of what
+was written places the borders, and a row's range is a function of the row and the borders
+alone. The window runs inside (range, key). Only the first and the last key of a range can
+go on in another one, so what a row has to know of the ranges before its own is a scan over
+two rows a range, which is broadcast: its size is bounded by the number of ranges. The
+answer is that of the plain window for every row and any borders.
+
+Missing keys are one group. Keys travel packed in a struct, which compares missing parts as
+equal.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
-@dataclass(frozen=True)
-class Bins:
-    """Widths of the bins. Text is cut to its first characters: of a time written
-    ``YYYY-MM-DD hh:mm:ss``, 13 are the hour and 7 the month. Numbers are divided."""
+from statetrail.functions.search import count_not_above, literal_list
+from statetrail.operators.lineage import settle_rounds
 
-    text: tuple[int, int] = (13, 7)
-    number: tuple[int, int] = (100_000, 100_000_000)
+#: Rows of the sample for each range, about.
+SAMPLED = 100
+SLICE = ["_part", "_key"]
 
-    def of(self, df: DataFrame, column: str) -> tuple[Column, Column]:
-        """The bin of a row, and the coarser bin of that."""
-        c = F.col(column)
-        if isinstance(df.schema[column].dataType, T.StringType):
-            fine, coarse = (F.substring(c, 1, n) for n in self.text)
-        else:
-            fine, coarse = (F.floor(c / n) for n in self.number)
-        return fine, coarse
 
+def ranged(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """``df``, written once, with ``_key`` and ``_part``, the number of its range of (key, order).
 
-HOURS = Bins()
-KEY, FINE, COARSE = "_group.key", "_group.fine", "_group.coarse"
+    As many ranges as a shuffle has partitions, or ``parts``. Sampling steers only where the
+    borders lie.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    held = settle_rounds(df.withColumn("_key", key))
+    place = F.struct("_key", *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    places = held.select(place.alias("at"))
+    share = min(1.0, SAMPLED * parts / max(held.count(), 1))
+    kind = places.schema["at"].dataType
+    sampled = (places if share == 1.0 else places.sample(share, seed=1)).orderBy("at").select(F.to_json("at").alias("at")).toPandas()["at"]
+    borders = [sampled.iloc[len(sampled) * i // parts] for i in range(1, parts)] if len(sampled) else []
+    # borders are sorted, so the number of those not above a row is that of its range
+    return held.withColumn("_part", count_not_above(literal_list(borders, kind), len(borders), place))
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[str], bins: Bins = HOURS) -> DataFrame:
-    """Add ``_group``, the key and the bin of each row."""
-    fine, coarse = bins.of(df, order[0])
-    parts = F.struct(F.struct(*keys).alias("key"), coarse.alias("coarse"), fine.alias("fine"))
-    return df.withColumn("_group", parts)
+def dealt(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows of ``ranged``, each range in a task of its own."""
+    return rows.repartitionById(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_part")
 
 
-def inside(order: list[Column | str]):
-    """Window over the rows of a slice."""
-    return Window.partitionBy("_group").orderBy(*order)
+def inside(*order: Column | str):
+    """Window over the rows of a key in a range."""
+    return Window.partitionBy(*SLICE).orderBy(*order)
 
 
-def carried(per_slice: DataFrame, fold, join, descending: bool = False) -> DataFrame:
-    """``_group`` and ``_carried``, the fold of ``_value`` over the slices of the key
-    that come before (or after, if ``descending``).
+def carried(rows: DataFrame, value: Column, fold, descending: bool = False) -> DataFrame:
+    """``_part, _key, _carried``: the fold of an aggregate over the ranges before (or after)
+    in which the key has rows. A key without any there is not in it.
 
-    ``fold`` is an aggregate that also works over a window, ``join`` puts the fold of
-    coarser bins and that of bins inside the own coarse bin together. No window holds
-    more than the fine bins of one coarse bin, or the coarse bins of one key.
+    ``fold`` is an aggregate of ``_value`` that also works over a window.
     """
+    slices = rows.groupBy(*SLICE).agg(value.alias("_value"))
+    own = F.struct("_key", "_value")
+    ends = slices.groupBy("_part").agg(F.min_by(own, "_key").alias("_low"), F.max_by(own, "_key").alias("_high"))
+    both = F.when(F.col("_low._key") == F.col("_high._key"), F.array("_low")).otherwise(F.array("_low", "_high"))
+    edges = ends.select("_part", F.inline(both))
     direction = F.desc if descending else F.asc
-    before = (Window.unboundedPreceding, -1)
-    near = Window.partitionBy(KEY, COARSE).orderBy(direction(FINE)).rowsBetween(*before)
-    whole = Window.partitionBy("key").orderBy(direction("coarse")).rowsBetween(*before)
-    # ordered inside the aggregate, since a group has no order of its own
-    folded = per_slice.select("*", fold("_value").over(near).alias("_near"))
-    totals = (
-        per_slice.select(
-            F.col(KEY).alias("key"), F.col(COARSE).alias("coarse"),
-            fold("_value").over(
-                Window.partitionBy(KEY, COARSE).orderBy(direction(FINE)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ).alias("_all"),
-            F.row_number().over(Window.partitionBy(KEY, COARSE).orderBy(direction(FINE))).alias("_nth"),
-        )
-        .filter("_nth = 1")
-        .select(F.struct("key", "coarse").alias("_month"), fold("_all").over(whole).alias("_far"))
-    )
-    both = folded.withColumn("_month", F.struct(F.col(KEY).alias("key"), F.col(COARSE).alias("coarse"))).join(totals, "_month")
-    return both.select("_group", join(F.col("_near"), F.col("_far")).alias("_carried"))
-
-
-def changed(df: DataFrame, keys: list[str], order: list[str], compare: list[str], bins: Bins = HOURS) -> DataFrame:
+    before = Window.partitionBy("_key").orderBy(direction("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    return edges.select(*SLICE, fold(F.col("_value")).over(before).alias("_carried")).where("_carried is not null")
+
+
+def _with_carried(rows: DataFrame, ahead: DataFrame, parts: int | None) -> DataFrame:
+    return dealt(rows, parts).join(F.broadcast(ahead), SLICE, "left")
+
+
+def changed(df: DataFrame, keys: list[str], order: list[str], compare: list[str], parts: int | None = None) -> DataFrame:
     """Add ``_changed``: whether a row is the first of its group or differs in any
     ``compare`` column from the row before."""
-    rows = sliced(df, keys, order, bins)
-    w = inside(order)
+    rows = ranged(df, keys, order, parts)
     state = F.struct(F.struct(*compare).alias("state"))
-    last = rows.groupBy("_group").agg(F.max_by(state, F.struct(*order)).alias("_value"))
-    ahead = carried(last, lambda c: F.last(c, ignorenulls=True), lambda near, far: F.coalesce(near, far))
-    seen = {f"_prev_{i}": F.lag(c).over(w) for i, c in enumerate(compare)}
-    placed = rows.withColumns({"_first": F.row_number().over(w) == 1, **seen}).join(ahead, "_group")
-    moved = reduce(or_, [~F.col(f"_prev_{i}").eqNullSafe(F.col(c)) for i, c in enumerate(compare)])
-    at_start = F.col("_carried").isNull() | ~F.col("_carried.state").eqNullSafe(F.struct(*compare))
-    flagged = placed.withColumn("_changed", F.when(F.col("_first"), at_start).otherwise(moved))
-    return flagged.drop("_group", "_carried", "_first", *seen)
+    ahead = carried(rows, F.max_by(state, F.struct(*order)), lambda c: F.last(c, ignorenulls=True))
+    seen = _with_carried(rows, ahead, parts).withColumn("_before", F.coalesce(F.lag(state).over(inside(*order)), "_carried"))
+    moved = F.col("_before").isNull() | ~F.col("_before.state").eqNullSafe(F.struct(*compare))
+    return seen.withColumn("_changed", moved).drop(*SLICE, "_carried", "_before")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], bins: Bins = HOURS) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Add ``pos``, the 1-based place of each row in its group."""
-    rows = sliced(df, keys, order, bins)
-    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_value"))
+    rows = ranged(df, keys, order, parts)
+    ahead = carried(rows, F.count(F.lit(1)), F.sum)
     none = F.lit(0).cast("bigint")
-    ahead = carried(sizes, F.sum, lambda near, far: F.coalesce(near, none) + F.coalesce(far, none))
-    placed = rows.withColumn("_at", F.row_number().over(inside(order))).join(ahead, "_group")
-    return placed.withColumn("pos", F.col("_at") + F.col("_carried")).drop("_group", "_at", "_carried")
+    placed = _with_carried(rows, ahead, parts).withColumn("_at", F.row_number().over(inside(*order)))
+    return placed.withColumn("pos", F.col("_at") + F.coalesce("_carried", none)).drop(*SLICE, "_at", "_carried")
 
 
-def next_flagged(df: DataFrame, keys: list[str], place: str, flag: str, bins: Bins = HOURS) -> DataFrame:
+def next_flagged(df: DataFrame, keys: list[str], place: str, flag: str, parts: int | None = None) -> DataFrame:
     """Add ``_next``, the place of the next flagged row after each row of a group."""
-    rows = sliced(df, keys, [place], bins).withColumn("_spot", F.when(F.col(flag), F.col(place)))
-    firsts = rows.groupBy("_group").agg(F.min("_spot").alias("_value"))
-    behind = carried(firsts, F.min, lambda near, far: F.least(near, far), descending=True)
-    later = inside([F.desc(place)]).rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("_here", F.min("_spot").over(later)).join(behind, "_group")
-    return seen.withColumn("_next", F.coalesce("_here", "_carried")).drop("_group", "_spot", "_here", "_carried")
+    rows = ranged(df, keys, [place], parts).withColumn("_spot", F.when(F.col(flag), F.col(place)))
+    behind = carried(rows, F.min("_spot"), F.min, descending=True)
+    later = inside(F.desc(place)).rowsBetween(Window.unboundedPreceding, -1)
+    seen = _with_carried(rows, behind, parts).withColumn("_here", F.min("_spot").over(later))
+    return seen.withColumn("_next", F.coalesce("_here", "_carried")).drop(*SLICE, "_spot", "_here", "_carried")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, parts: int | None = None, last: bool = False) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of a group up to each row, itself
+    included; with ``last`` the value of the last row up to it that has one."""
+    rows = ranged(df.withColumn("_given", value), keys, order, parts)
+    fold = (lambda c: F.last(c, ignorenulls=True)) if last else F.sum
+    # ordered inside the aggregate, since a group has no order of its own
+    whole = F.max_by(F.struct("_given"), F.when(F.col("_given").isNotNull(), F.struct(*order)))["_given"] if last else F.sum("_given")
+    ahead = carried(rows, whole, fold)
+    so_far = inside(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = _with_carried(rows, ahead, parts).withColumn("_here", fold(F.col("_given")).over(so_far))
+    total = F.coalesce("_here", "_carried") if last else F.coalesce("_here", F.lit(0)) + F.coalesce("_carried", F.lit(0))
+    return seen.withColumn(name, total).drop(*SLICE, "_given", "_here", "_carried")

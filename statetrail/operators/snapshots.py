@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from statetrail.functions import patterns as P
 from statetrail.functions.jsontext import json_object, text_of
-from statetrail.functions.tagged import decode_tagged, map_entry
-from statetrail.operators.apart import aggregate_apart
-from statetrail.operators.changes import slim_changes
+from statetrail.functions import tagged
+from statetrail.operators.apart import aggregate_apart, distinct_apart
+from statetrail.operators.changes import found_again, slim_changes
 from statetrail.operators.records import POLICIES, settle
-from statetrail.operators.slices import HOURS, Bins
 
 
 def parse_snapshots(lines: DataFrame, text: str = "value", on_bad_record: str = "fail") -> DataFrame:
@@ -77,14 +76,18 @@ def table_rows(snapshots: DataFrame, ignored: str = "statistics") -> DataFrame:
     return rows.select(*kept, "table", "row_pos", _digest(F.col("_row")).alias("digest"))
 
 
-def snapshot_changes(snapshots: DataFrame, order: list[str] | None = None, bins: Bins = HOURS) -> DataFrame:
+def snapshot_changes(
+    snapshots: DataFrame, order: list[str] | None = None, whole: bool = True, parts: int | None = None
+) -> DataFrame:
     """First snapshot of every run of equal ones per host; added and removed rows
     count. See ``prefix_changes`` for the comparison that ignores those.
 
-    Whole snapshots stay out of the windows; ``seq`` finds the kept ones again.
+    Whole snapshots stay out of the windows; ``seq`` finds the kept ones again. Without
+    ``whole`` there are host, order, digest and ``seq`` alone, and nothing is parsed twice.
     """
     digested = snapshots.withColumn("digest", snapshot_digest(F.col("tables")))
-    return slim_changes(digested, ["host"], order or ["ts_text", "seq"], "digest", ["seq"], bins)
+    kept = slim_changes(digested, ["host"], order or ["ts_text", "seq"], "digest", ["seq"], parts=parts)
+    return found_again(digested, kept, ["seq"]) if whole else kept
 
 
 def _zip_row(headings: Column, row: Column) -> Column:
@@ -137,19 +140,25 @@ def comparable_cells(cols: Column, ignored: list[str] | None = None) -> Column:
     return F.sort_array(F.map_entries(F.map_filter(cols, lambda k, v: ~k.isin(skip))))
 
 
+RECORD_PLACE = ["seq", "table", "row_pos"]
+
+
 def record_changes(
     records: DataFrame,
     key: list[str] | None = None,
     order: list[str] | None = None,
     ignored: list[str] | None = None,
-    bins: Bins = HOURS,
     on_bad_record: str = "fail",
+    carry: list[str] | None = None,
+    whole: bool = True,
+    parts: int | None = None,
 ) -> DataFrame:
     """Change history of every record, statistics and injected columns ignored.
 
     Record ids are taken to be unique over hosts; give ``key`` to add the host. Cells
-    are compared by their digest and stay out of the windows. Records without an id stop
-    the query or, with ``drop`` and ``quarantine``, have no history.
+    are compared by their digest and stay out of the windows. Without ``whole`` there are
+    key, order, place and the columns of ``carry`` alone, and nothing is parsed twice.
+    Records without an id stop the query or, with ``drop`` and ``quarantine``, have no history.
     """
     if on_bad_record == "fail":
         missing = F.raise_error(F.concat(F.lit("record without _uuid: "), F.col("table")))
@@ -159,18 +168,26 @@ def record_changes(
     else:
         raise ValueError(f"unknown policy {on_bad_record!r}, expected one of {POLICIES}")
     cells = records.withColumn("_cells", _digest(comparable_cells(F.col("cols"), ignored)))
-    by = order or ["ts_text", "seq", "table", "row_pos"]
-    return slim_changes(cells, key or ["record_id"], by, "_cells", ["seq", "table", "row_pos"], bins).drop("_cells")
+    by = order or ["ts_text", *RECORD_PLACE]
+    kept = slim_changes(cells, key or ["record_id"], by, "_cells", RECORD_PLACE, carry, parts).drop("_cells")
+    return found_again(records, kept, RECORD_PLACE) if whole else kept
 
 
 def decode_cells(records: DataFrame) -> DataFrame:
-    """Replace the cells of ``cols`` by their decoded structs."""
-    return records.withColumn("cols", F.transform_values("cols", lambda k, v: decode_tagged(v)))
+    """Replace the cells of ``cols`` by their decoded structs, values inside them at any depth included."""
+    return records.withColumn("cols", tagged.decode_cells(F.col("cols")))
 
 
 def iface_id(cols: Column) -> Column:
     """Interface id of a record with cells as JSON text, NULL when it has none."""
-    return map_entry(cols[P.IFACE_COLUMN], P.IFACE_KEY)
+    return tagged.map_entry(cols[P.IFACE_COLUMN], P.IFACE_KEY)
+
+
+def with_iface(records: DataFrame, key: str = "record_id", value: Column | None = None) -> DataFrame:
+    """All records of the groups of which any record has an interface id; groups without one go."""
+    own = iface_id(F.col("cols")) if value is None else value
+    having = distinct_apart(records.filter(own.isNotNull()), [key])
+    return records.join(having, key, "left_semi")
 
 
 def rekey(
@@ -182,13 +199,14 @@ def rekey(
     """Histories keyed by the first interface id of any of their records.
 
     Groups without one are dropped. The first id is an aggregate, combined before
-    the shuffle, and joined back: no window has to hold a group.
+    the shuffle, and joined back: no window has to hold a group. ``records`` is read
+    twice: hand in what is written, as histories are.
     """
     order = order or ["ts_text", "seq"]
     value = iface_id(F.col("cols")) if new_key is None else new_key
-    tagged = records.withColumn("_new", value)
+    tagged_ = records.withColumn("_new", value)
     firsts = aggregate_apart(
-        tagged.filter(F.col("_new").isNotNull()),
+        tagged_.filter(F.col("_new").isNotNull()),
         [old_key],
         F.min_by("_new", F.struct(*order)).alias("entity_id"),
     )

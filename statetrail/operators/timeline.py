@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statetrail.operators.slices import HOURS, Bins, numbered
+from statetrail.operators.slices import numbered
 
 ORDER = ["ts_text", "seq"]
 #: Characters of the time that an array of the nested form shares: the day.
@@ -32,7 +32,7 @@ def nested_timeline(
     fields: list[str],
     order: list[str] | None = None,
     part_chars: int = PART,
-    bins: Bins = HOURS,
+    parts: int | None = None,
 ) -> DataFrame:
     """``(entity_id, part, records)`` with ``records`` sorted by time and numbered
     through all parts by ``pos``.
@@ -41,7 +41,7 @@ def nested_timeline(
     a fixed rule, so results have the same shape at every size.
     """
     order = order or ORDER
-    placed = numbered(records, ["entity_id"], order, bins)
+    placed = numbered(records, ["entity_id"], order, parts)
     part = F.substring(F.col(order[0]), 1, part_chars).alias("part")
     item = F.struct("pos", *fields)
     return placed.groupBy("entity_id", part).agg(F.array_sort(F.collect_list(item)).alias("records"))

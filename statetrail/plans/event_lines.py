@@ -60,9 +60,12 @@ LINES = {
     # eight hosts, statistics differ every time
     "snapshot": "'{{\"timestamp\": \"'||ts_ms||'\", \"IP\": \"10.1.0.'||cast(user_id%8 as {S})||"
     "'\", \"Interface\": {{\"headings\": [\"_uuid\",\"name\",\"statistics\",\"external_ids\"], \"data\": [[[\"uuid\",\"'||{id}||'\"],\"'||event_type||"
-    "'\",[\"map\",[[\"rx\",'||es||']]],[\"map\",[[\"iface-id\",\"if-'||us||'\"],[\"peers\",[\"set\",[\"a\",[\"uuid\",\"'||us||'\"],[\"zz\",1]]]],[\"odd\",[\"zz\",1]]]]]]}}, "
-    "\"Bridge\": {{\"headings\": [\"_uuid\",\"ports\"], \"data\": [[[\"uuid\",\"br-'||cast(user_id%8 as {S})||"
-    "'\"],[\"set\",[[\"uuid\",\"p1\"],[\"uuid\",\"p2\"]]]]]}}}},'",
+    "'\",[\"map\",[[\"rx\",'||es||']]],[\"map\",['||CASE WHEN user_id%7=0 OR event_type='error' THEN '' ELSE '[\"iface-id\",\"if-'||us||'\"],' END||"
+    "'[\"peers\",[\"set\",[\"a\",[\"uuid\",\"'||us||'\"],[\"zz\",1]]]],[\"odd\",[\"zz\",1]],"
+    "[\"deep\",[\"map\",[[\"b\",[\"set\",[[\"map\",[[\"c\",[\"set\",[[\"map\",[[\"d\",[\"uuid\",\"'||us||'\"]],"
+    "[\"o\",{{\"z\":[\"set\",[\"'||us||'\"]],\"a\":1}}]]],null]]]]],true]]]]]]]]]]}}, "
+    "\"Bridge\": {{\"headings\": [\"_uuid\",\"ports\",\"config\"], \"data\": [[[\"uuid\",\"br-'||cast(user_id%8 as {S})||"
+    "'\"],[\"set\",[[\"uuid\",\"p1\"],[\"uuid\",\"p2\"]]],{{\"mode\":\"m\",\"peers\":[\"set\",[\"p1\"]]}}]]}}}},'",
     # one table of one to three rows, so that comparing the rows both have is not transitive
     "ports": "'{{\"timestamp\": \"'||ts_ms||'\", \"IP\": \"10.1.0.'||cast(user_id%8 as {S})||"
     "'\", \"Port\": {{\"headings\": [\"name\",\"statistics\"], \"data\": [[\"'||link||'\",'||es||']'||"
@@ -79,7 +82,10 @@ def _fill(template: str, dialect: dict, entity: str = "uuid") -> str:
 
 def event_lines(spark: SparkSession, sf_dir: str, kind: str, entity: str = "uuid") -> DataFrame:
     """Lines of one kind with the event's id as ``seq`` and its type as ``role``."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").repartition("event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # a table of fewer splits than there are cores is small; larger ones stay as they are read
+    if events.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        events = events.repartition("event_id")
     base = events.selectExpr("*", *[f"{_fill(x, SPARK)} AS {name}" for name, x in BASE])
     line = _fill(LINES[kind], SPARK, entity)
     return base.selectExpr(f"{line} AS value", "event_id AS seq", "event_type AS role")

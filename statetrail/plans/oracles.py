@@ -171,8 +171,8 @@ _IFACE_CELL = "'[\"uuid\",\"'||uuid||'\"]'"
 _PORTS_CELL = "'[\"set\",[[\"uuid\",\"p1\"],[\"uuid\",\"p2\"]]]'"
 _RECORDS = (
     f"r AS (SELECT {_HOST} AS host, ts_ms AS ts_text, event_id AS seq, 'Interface' AS \"table\", uuid AS record_id, "
-    "CAST(4 AS BIGINT) AS n_cols, '\"'||event_type||'\"' AS name_cell, CAST(NULL AS VARCHAR) AS ports_cell, us, es, event_type FROM e "
-    f"UNION ALL SELECT {_HOST}, ts_ms, event_id, 'Bridge', {_BRIDGE}, 2, NULL, {_PORTS_CELL}, us, es, event_type FROM e)"
+    "CAST(4 AS BIGINT) AS n_cols, '\"'||event_type||'\"' AS name_cell, CAST(NULL AS VARCHAR) AS ports_cell, us, es, event_type, user_id FROM e "
+    f"UNION ALL SELECT {_HOST}, ts_ms, event_id, 'Bridge', {_BRIDGE}, 3, NULL, {_PORTS_CELL}, us, es, event_type, user_id FROM e)"
 )
 _REC_CHANGES = (
     "rc AS (SELECT * FROM (SELECT *, row_number() OVER w AS rn, lag(name_cell) OVER w AS p FROM r "
@@ -180,6 +180,9 @@ _REC_CHANGES = (
 )
 
 
+_HAS_IFACE = "(\"table\"='Interface' AND user_id%7<>0 AND event_type<>'error')"
+
+
 def _timeline(source: str) -> str:
     return (
         f"WITH {E}, {_IDS}, {_ops('uuid', (source,), 'SELECT entity_id FROM ids')} "
@@ -210,6 +213,13 @@ ORACLES: dict[str, str] = {
     "uuid_explode": f"WITH {E}, {_mentions()} SELECT seq, entity_id FROM m",
     "uuid_match": f"WITH {E}, {_IDS}, {_mentions()} SELECT seq, entity_id, value FROM m JOIN ids USING (entity_id)",
     "uuid_match_shuffled": f"WITH {E}, {_IDS}, {_mentions()} SELECT seq, entity_id, value FROM m JOIN ids USING (entity_id)",
+    **{
+        name: f"WITH {E}, {_IDS}, lines AS (SELECT event_id AS seq, {_MENTION} AS value FROM e), "
+        f"x AS (SELECT seq, unnest(regexp_extract_all(value, '{UUID_V4}')) AS u, generate_subscripts(regexp_extract_all(value, '{UUID_V4}'), 1) AS i FROM lines), "
+        "y AS (SELECT seq, u, min(i) AS i FROM x WHERE u IN (SELECT entity_id FROM ids) GROUP BY seq, u) "
+        "SELECT seq, string_agg(u, '|' ORDER BY i) AS ids, value FROM y JOIN lines USING (seq) GROUP BY seq, value"
+        for name in ("uuid_lines", "uuid_lines_shuffled")
+    },
     "uuid_match_normalized": f"WITH {E}, {_IDS}, {_mentions(True)} SELECT seq, m.entity_id FROM m JOIN "
     "(SELECT DISTINCT replace(entity_id, '-', '') AS entity_id FROM ids) i ON i.entity_id = m.entity_id",
     "uuid_filter": f"WITH {E}, {_IDS}, {_mentions()} SELECT DISTINCT seq, value FROM m WHERE entity_id IN (SELECT entity_id FROM ids)",
@@ -245,9 +255,11 @@ ORACLES: dict[str, str] = {
     "record_take": f"WITH {E}, {_RECORDS} SELECT ts_text, seq, \"table\", record_id FROM r ORDER BY ts_text, seq, \"table\" LIMIT 10",
     "tagged_decode": f"WITH {E}, {_RECORDS} SELECT seq, \"table\", record_id AS id, "
     "CASE WHEN \"table\"='Interface' THEN event_type END AS name, CASE WHEN \"table\"='Interface' THEN es END AS rx, "
-    "CASE WHEN \"table\"='Interface' THEN 'if-'||us END AS iface_id, "
+    f"CASE WHEN {_HAS_IFACE} THEN 'if-'||us END AS iface_id, "
     "CASE WHEN \"table\"='Interface' THEN '[\"a\",\"'||us||'\",null]' END AS peers, 'none' AS odd, "
+    "CASE WHEN \"table\"='Interface' THEN '{\"b\":[{\"c\":[{\"d\":\"'||us||'\",\"o\":{\"a\":1,\"z\":[\"'||us||'\"]}},null]},true]}' END AS deep, "
     " CASE WHEN \"table\"='Bridge' THEN 'p1,p2' END AS ports, "
+    " CASE WHEN \"table\"='Bridge' THEN 'object|m|[\"p1\"]' ELSE '' END AS config, "
     "CASE WHEN \"table\"='Bridge' THEN 'set' END AS ports_kind FROM r",
     "record_changes": f"WITH {E}, {_RECORDS}, {_REC_CHANGES} SELECT record_id, host, \"table\", ts_text, seq, name_cell FROM rc",
     "snapshot_changes": f"WITH {E} SELECT host, ts_text, seq FROM (SELECT {_HOST} AS host, ts_ms AS ts_text, event_id AS seq, "
@@ -259,8 +271,13 @@ ORACLES: dict[str, str] = {
     "OR (a.more > 0 AND b.more > 0 AND a.event_type <> b.event_type) OR (a.more > 1 AND b.more > 1 AND a.wk <> b.wk)) GROUP BY a.host, a.pos), "
     "kept AS (SELECT host, pos FROM n WHERE pos = 1 UNION ALL SELECT k.host, x.next FROM kept k JOIN nxt x ON x.host = k.host AND x.pos = k.pos) "
     "SELECT host, ts_text, seq FROM n JOIN kept USING (host, pos)",
-    "iface_filter": f"WITH {E}, {_RECORDS}, {_REC_CHANGES} SELECT record_id, \"table\", seq FROM rc WHERE \"table\"='Interface'",
-    "iface_rekey": f"WITH {E}, {_RECORDS}, {_REC_CHANGES} SELECT 'if-'||us AS entity_id, record_id, ts_text, seq FROM rc WHERE \"table\"='Interface'",
+    "snapshot_history": f"WITH {E} SELECT seq, rtrim({oracle_line('snapshot')}, ',') AS value FROM (SELECT *, event_id AS seq, "
+    "row_number() OVER w AS rn, uuid||event_type||us AS fp, lag(uuid||event_type||us) OVER w AS p FROM e "
+    f"WINDOW w AS (PARTITION BY {_HOST} ORDER BY ts_ms, event_id)) WHERE rn = 1 OR p <> fp",
+    "iface_filter": f"WITH {E}, {_RECORDS}, {_REC_CHANGES} SELECT record_id, \"table\", seq FROM rc "
+    f"WHERE record_id IN (SELECT record_id FROM rc WHERE {_HAS_IFACE})",
+    "iface_rekey": f"WITH {E}, {_RECORDS}, {_REC_CHANGES} SELECT 'if-'||us AS entity_id, record_id, ts_text, seq FROM rc "
+    f"WHERE record_id IN (SELECT record_id FROM rc WHERE {_HAS_IFACE})",
     "lookback_join": f"WITH {_pairs(300)} SELECT {_PAIR} FROM pairs",
     "lookback_day": f"WITH {_pairs(DAY)} SELECT {_PAIR} FROM pairs",
     "lookback_instant": f"WITH {_pairs(300, ('db',), True)} SELECT {_PAIR} FROM pairs",

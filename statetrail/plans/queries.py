@@ -18,6 +18,7 @@ from statetrail.operators import prefix as pf
 from statetrail.operators import slices as sl
 from statetrail.operators import snapshots as sn
 from statetrail.operators import timeline as tl
+from statetrail.operators.lineage import settle_rounds
 from statetrail.plans.event_lines import event_lines
 
 DAY = 86_400
@@ -71,25 +72,22 @@ def vm_states(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame
 
 
 def vm_changes(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
-    kept = ch.changes(vm_states(spark, sf_dir, entity), "entity_id", ["ts_text", "seq"], ["state"])
+    states = vm_states(spark, sf_dir, entity).drop("vcpu")
+    kept = ch.changes(states, "entity_id", ["ts_text", "seq"], ["state"])
     return kept.select("entity_id", "ts_text", "seq", F.col("status_text").alias("state"))
 
 
-def log_ops(spark: SparkSession, sf_dir: str, entity: str, ids: DataFrame | None = None, small="auto") -> DataFrame:
-    return pa.as_ops(pa.parse_log(_wanted(role_lines(spark, sf_dir, "log", entity), ids, small)), "log", LOG_FIELDS)
+def log_ops(spark: SparkSession, sf_dir: str, entity: str, ids: en.Wanted | None = None) -> DataFrame:
+    return pa.as_ops(pa.parse_log(en.match_lines(role_lines(spark, sf_dir, "log", entity), ids)), "log", LOG_FIELDS)
 
 
-def msg_ops(spark: SparkSession, sf_dir: str, entity: str, ids: DataFrame | None = None, small="auto") -> DataFrame:
+def msg_ops(spark: SparkSession, sf_dir: str, entity: str, ids: en.Wanted | None = None) -> DataFrame:
     lines = bare(role_lines(spark, sf_dir, "msg", entity))
-    return pa.as_ops(pa.decode_messages(_wanted(lines, ids, small)), "msg")
+    return pa.as_ops(pa.decode_messages(en.match_lines(lines, ids)), "msg")
 
 
-def db_ops(spark: SparkSession, sf_dir: str, entity: str, ids: DataFrame | None = None, small="auto") -> DataFrame:
-    return pa.as_ops(pa.parse_db(_wanted(role_lines(spark, sf_dir, "db", entity), ids, small)), "db", DB_FIELDS)
-
-
-def _wanted(lines: DataFrame, ids: DataFrame | None, small) -> DataFrame:
-    return en.extract_entities(lines) if ids is None else en.match_entities(lines, ids, broadcast=small)
+def db_ops(spark: SparkSession, sf_dir: str, entity: str, ids: en.Wanted | None = None) -> DataFrame:
+    return pa.as_ops(pa.parse_db(en.match_lines(role_lines(spark, sf_dir, "db", entity), ids)), "db", DB_FIELDS)
 
 
 def all_ops(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
@@ -105,7 +103,9 @@ def records_of(lines: DataFrame) -> DataFrame:
 
 
 def record_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sn.record_changes(records_of(snapshot_lines(spark, sf_dir)))
+    """Written histories of records, without their cells but for the interface id."""
+    records = records_of(snapshot_lines(spark, sf_dir)).withColumn("iface", sn.iface_id(F.col("cols")))
+    return settle_rounds(sn.record_changes(records, carry=["iface"], whole=False))
 
 
 # -- entity matching ---------------------------------------------------------
@@ -135,6 +135,20 @@ def uuid_match_shuffled(spark, sf_dir):
     return en.match_entities(lines, ids, broadcast=False).select("seq", "entity_id", "value")
 
 
+@query
+def uuid_lines(spark, sf_dir):
+    ids = en.wanted_ids(supplier_ids(spark, sf_dir))
+    found = en.match_lines(event_lines(spark, sf_dir, "mention"), ids)
+    return found.select("seq", F.array_join("entity_ids", "|").alias("ids"), "value")
+
+
+@query
+def uuid_lines_shuffled(spark, sf_dir):
+    ids = en.wanted_ids(supplier_ids(spark, sf_dir), listed_bytes=0)
+    found = en.match_lines(event_lines(spark, sf_dir, "mention"), ids)
+    return found.select("seq", F.array_join("entity_ids", "|").alias("ids"), "value")
+
+
 @query
 def uuid_match_normalized(spark, sf_dir):
     ids = supplier_ids(spark, sf_dir)
@@ -256,7 +270,7 @@ def timeline_group(spark, sf_dir):
 
 
 def _job_timeline(spark, sf_dir, build):
-    ids = supplier_ids(spark, sf_dir)
+    ids = en.wanted_ids(supplier_ids(spark, sf_dir))
     ops = build(spark, sf_dir, "uuid", ids)
     return tl.timeline(ops).select("entity_id", "ts_text", "seq", "payload")
 
@@ -328,23 +342,32 @@ def tagged_decode(spark, sf_dir):
         cell["external_ids"]["map"]["iface-id"].alias("iface_id"),
         cell["external_ids"]["map"]["peers"].alias("peers"),
         F.coalesce(cell["external_ids"]["map"]["odd"], F.lit("none")).alias("odd"),
+        cell["external_ids"]["map"]["deep"].alias("deep"),
         F.array_join(cell["ports"]["set"], ",").alias("ports"),
+        F.concat_ws("|", cell["config"]["kind"], cell["config"]["map"]["mode"], cell["config"]["map"]["peers"]).alias("config"),
         cell["ports"]["kind"].alias("ports_kind"),
     )
 
 
 @query
 def record_changes(spark, sf_dir):
-    kept = record_history(spark, sf_dir)
+    kept = sn.record_changes(records_of(snapshot_lines(spark, sf_dir)))
     return kept.select("record_id", "host", "table", "ts_text", "seq", F.col("cols")["name"].alias("name_cell"))
 
 
 @query
 def snapshot_changes(spark, sf_dir):
-    kept = sn.snapshot_changes(sn.parse_snapshots(snapshot_lines(spark, sf_dir)))
+    kept = sn.snapshot_changes(sn.parse_snapshots(snapshot_lines(spark, sf_dir)), whole=False)
     return kept.select("host", "ts_text", "seq")
 
 
+@query
+def snapshot_history(spark, sf_dir):
+    lines = snapshot_lines(spark, sf_dir)
+    kept = sn.snapshot_changes(sn.parse_snapshots(lines), whole=False)
+    return ch.found_again(lines, kept, ["seq"]).select("seq", "value")
+
+
 @query
 def snapshot_changes_prefix(spark, sf_dir):
     kept = pf.prefix_changes(sn.parse_snapshots(snapshot_lines(spark, sf_dir, "ports")))
@@ -354,13 +377,13 @@ def snapshot_changes_prefix(spark, sf_dir):
 @query
 def iface_filter(spark, sf_dir):
     records = record_history(spark, sf_dir)
-    return sn.rekey(records).select("record_id", "table", "seq")
+    return sn.with_iface(records, value=F.col("iface")).select("record_id", "table", "seq")
 
 
 @query
 def iface_rekey(spark, sf_dir):
     records = record_history(spark, sf_dir)
-    return sn.rekey(records).select("entity_id", "record_id", "ts_text", "seq")
+    return sn.rekey(records, new_key=F.col("iface")).select("entity_id", "record_id", "ts_text", "seq")
 
 
 # -- look-back and correlation -----------------------------------------------
@@ -412,11 +435,10 @@ def lookback_start(spark, sf_dir):
 
 
 def correlated(spark, sf_dir, seconds=300):
-    """From lines to correlation: histories, their ids, three matched timelines."""
-    states = vm_changes(spark, sf_dir)
-    ids = en.entity_ids(states)
-    small = en.fits_broadcast(ids)
-    ops = co.union_ops([f(spark, sf_dir, "vm", ids, small) for f in (log_ops, msg_ops, db_ops)])
+    """From lines to correlation: histories, their ids, three matched timelines, each written once."""
+    states = settle_rounds(vm_changes(spark, sf_dir))
+    ids = en.wanted_ids(states)
+    ops = settle_rounds(co.union_ops([f(spark, sf_dir, "vm", ids) for f in (log_ops, msg_ops, db_ops)]))
     return co.correlate(states, ops, seconds=seconds)
 
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from statetrail.operators import slices
 from statetrail.operators.changes import changes
-from statetrail.operators.slices import Bins
 from statetrail.operators.timeline import history_summary, nested_timeline, timeline
 
 
@@ -41,39 +40,68 @@ def test_run_dedupe(spark):
     assert [r["seq"] for r in kept] == [0, 2, 3, 4, 6]
 
 
-WIDTHS = [(13, 7), (3, 2), (2, 1), (0, 0), (3, 0)]
+PARTS = [1, 2, 5, 40, None]
 
 
-@pytest.mark.parametrize("text", WIDTHS)
+@pytest.mark.parametrize("parts", PARTS)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_changes_same_for_any_width(spark, text, seed):
+def test_changes_same_for_any_number_of_ranges(spark, parts, seed):
     rows = random_rows(seed)
-    kept = changes(frame(spark, rows), "k", ["ts_text", "seq"], ["v"], Bins(text))
+    kept = changes(frame(spark, rows), "k", ["ts_text", "seq"], ["v"], parts)
     assert sorted(r["seq"] for r in kept.collect()) == runs(rows)
 
 
-@pytest.mark.parametrize("text", [(13, 7), (3, 2)])
-def test_missing_keys_are_one_group(spark, text):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_missing_keys_are_one_group(spark, parts):
     rows = [(None if r[0] == "hot" else r[0], *r[1:]) for r in random_rows(7)]
-    kept = changes(frame(spark, rows), "k", ["ts_text", "seq"], ["v"], Bins(text))
+    kept = changes(frame(spark, rows), "k", ["ts_text", "seq"], ["v"], parts)
     assert sorted(r["seq"] for r in kept.collect()) == runs(rows)
 
 
-def test_building_runs_no_job(spark):
-    df = frame(spark, random_rows(8))
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("building", "building")
-    changes(df, "k", ["ts_text", "seq"], ["v"])
-    slices.numbered(df, ["k"], ["ts_text", "seq"])
-    assert not tracker.getJobIdsForGroup("building")
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+def test_rows_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
 
+    @F.udf("string")
+    def counted(v):
+        seen.add(1)
+        return v
 
-def test_slices_bound_a_hot_key(spark):
-    """A key with nine tenths of the rows, partly without a key, is cut by time."""
-    rows = [(None if i % 10 < 5 else "hot" if i % 10 < 9 else "cold", f"2024-01-{1 + i % 28:02d} {i % 24:02d}:00:00", i, "x") for i in range(4000)]
-    sizes = slices.sliced(frame(spark, rows), ["k"], ["ts_text", "seq"]).groupBy("_group").count()
-    assert sizes.agg(F.max("count")).first()[0] < 100
+    rows = random_rows(8)
+    kept = changes(frame(spark, rows).withColumn("v", counted("v")), "k", ["ts_text", "seq"], ["v"])
+    assert sorted(r["seq"] for r in kept.collect()) == runs(rows) and seen.value == len(rows)
+
+
+@pytest.mark.parametrize("when", ["2024-01-01 00:00:00", None])
+def test_ranges_bound_a_hot_stretch(spark, when):
+    """Nine tenths of the rows are one key's within a second, or without any time."""
+    rows = [("hot" if i % 10 < 9 else f"k{i}", when if i % 10 < 9 else f"2024-01-{1 + i % 28:02d}", i, str(i // 7 % 3)) for i in range(8000)]
+    df = frame(spark, rows)
+    ranged = slices.ranged(df, ["k"], ["ts_text", "seq"], 16)
+    sizes = [r["count"] for r in ranged.groupBy("_part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sorted(sizes)[8]
+    per_task = [r["count"] for r in slices.dealt(ranged, 16).groupBy(F.spark_partition_id()).count().collect()]
+    assert sorted(per_task) == sorted(sizes)
+    kept = changes(df, "k", ["ts_text", "seq"], ["v"], 16)
+    assert sorted(r["seq"] for r in kept.collect()) == runs(rows)
+
+
+def test_windows_take_the_ranges_as_they_are(spark):
+    plan = slices.numbered(frame(spark, random_rows(9)), ["k"], ["ts_text", "seq"], 6)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    window = text[: text.index("BroadcastExchange")]
+    assert window.count("Exchange") == 1 and "REPARTITION_BY_NUM" in window
+
+
+@pytest.mark.parametrize("last", [False, True])
+@pytest.mark.parametrize("parts", [1, 6])
+def test_running(spark, parts, last):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "a", "b", None]), f"t{i // 3:03d}", i, rnd.choice([None, None, i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, ts_text string, seq bigint, n bigint")
+    got = {r["seq"]: r["x"] for r in slices.running(df, ["k"], ["ts_text", "seq"], F.col("n"), "x", parts, last).collect()}
+    for k, _, i, _ in rows:
+        until = [r[3] for r in rows if r[0] == k and r[2] <= i and r[3] is not None]
+        assert got[i] == ((until[-1] if until else None) if last else sum(until))
 
 
 def test_several_columns_and_new_nulls(spark):
@@ -83,10 +111,10 @@ def test_several_columns_and_new_nulls(spark):
     assert sorted(r["seq"] for r in kept.collect()) == [0, 2, 3]
 
 
-@pytest.mark.parametrize("text", WIDTHS)
-def test_numbered(spark, text):
+@pytest.mark.parametrize("parts", PARTS)
+def test_numbered(spark, parts):
     rows = random_rows(4)
-    placed = slices.numbered(frame(spark, rows), ["k"], ["ts_text", "seq"], Bins(text))
+    placed = slices.numbered(frame(spark, rows), ["k"], ["ts_text", "seq"], parts)
     got = {r["seq"]: r["pos"] for r in placed.collect()}
     want = {}
     for key in {r[0] for r in rows}:
@@ -95,12 +123,12 @@ def test_numbered(spark, text):
     assert got == want
 
 
-@pytest.mark.parametrize("number", [(100_000, 100_000_000), (7, 20), (1, 1)])
-def test_next_flagged(spark, number):
+@pytest.mark.parametrize("parts", [1, 3, 30])
+def test_next_flagged(spark, parts):
     rnd = random.Random(5)
     rows = [(rnd.choice("aab"), i, rnd.random() < 0.2) for i in range(120)]
     df = spark.createDataFrame(rows, "k string, pos bigint, f boolean")
-    got = {r["pos"]: r["_next"] for r in slices.next_flagged(df, ["k"], "pos", "f", Bins(number=number)).collect()}
+    got = {r["pos"]: r["_next"] for r in slices.next_flagged(df, ["k"], "pos", "f", parts).collect()}
     for k, pos, _ in rows:
         later = [p for kk, p, f in rows if kk == k and p > pos and f]
         assert got[pos] == (min(later) if later else None)
@@ -108,7 +136,7 @@ def test_next_flagged(spark, number):
 
 def test_nested_timeline_parts(spark):
     df = spark.createDataFrame([("e", f"t{i % 7}", i) for i in range(95)], "entity_id string, ts_text string, seq bigint")
-    nested = nested_timeline(df, ["ts_text", "seq"], part_chars=2, bins=Bins((1, 1))).orderBy("part").collect()
+    nested = nested_timeline(df, ["ts_text", "seq"], part_chars=2, parts=9).orderBy("part").collect()
     assert [r["part"] for r in nested] == [f"t{i}" for i in range(7)]
     flat = [(x["ts_text"], x["seq"]) for r in nested for x in r["records"]]
     assert flat == sorted(flat) and [x["pos"] for r in nested for x in r["records"]] == list(range(1, 96))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from statetrail.operators.changes import changes
 from statetrail.operators.parse import parse_states
-from statetrail.operators.slices import Bins
 from statetrail.plans import jobs
 from statetrail.sinks import write_ids, write_json_lines, write_table
 from statetrail.sources import read_entities, read_lines, read_table
@@ -161,12 +160,12 @@ def test_interleaved_files_do_not_break_histories(spark, tmp_path):
 
 
 def test_cut_groups_over_files(spark, tmp_path):
-    """Equal times are ordered by place in the file, in slices of any width."""
+    """Equal times are ordered by place in the file, in ranges of any size."""
     rnd = random.Random(4)
     states = [(i // 4, rnd.choice("xy")) for i in range(400)]
     put(tmp_path / "vm" / "f", *[json.dumps({"uuid": VM, "timestamp": ts(i), "s": s}) + "," for i, s in states])
     given = read_lines(spark, str(tmp_path / "vm"), strip=",\n")
-    kept = changes(parse_states(given), "entity_id", ["ts_text", "seq"], ["state"], Bins((18, 15)))
+    kept = changes(parse_states(given), "entity_id", ["ts_text", "seq"], ["state"], 9)
     got = sorted(r["seq"]["row"] for r in kept.select("seq").collect())
     want = [i for i, (_, s) in enumerate(states) if i == 0 or states[i - 1][1] != s]
     assert len(got) == len(want) and [g - got[0] for g in got] == want

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from statetrail.functions.tagged import decode_tagged, map_entry
 from statetrail.operators.prefix import prefix_changes
-from statetrail.operators.slices import Bins
 from statetrail.operators.snapshots import (
     decode_cells,
     expand_snapshots,
@@ -56,6 +55,9 @@ def test_tagged_values(spark, cell, want):
         ('["map",[["k",["map",[["y",["uuid","u"]],["x",1]]]]]]', {"k": '{"x":1,"y":"u"}'}),
         ('["map",[["k",["zz",1]],["l",[1,2,3]]]]', {"k": None, "l": None}),
         ('["map",[["k",["set",[["set",["a",["zz",1]]],true,null]]]]]', {"k": '[["a",null],true,null]'}),
+        ('["map",[["k",["set",["a",["set",["b",["set",["c",["set",["d"]]]]]]]]]]]', {"k": '["a",["b",["c",["d"]]]]'}),
+        ('["map",[["k",{"b":["map",[["y",{"z":["uuid","u"]}],["x",1.5]]],"a":[1]}]]]', {"k": '{"a":null,"b":{"x":1.5,"y":{"z":"u"}}}'}),
+        ('["map",[[null,1],["k",["set",[]]],["k",2],["l",["map",[]]]]]', {"k": "2", "l": "{}"}),
     ],
 )
 def test_tagged_values_inside(spark, cell, want):
@@ -65,6 +67,18 @@ def test_tagged_values_inside(spark, cell, want):
     assert len(listed.select(decode_tagged(F.col("c"))["set"]).first()[0]) == 1
 
 
+def test_objects_and_any_depth(spark):
+    deep, plain = '"x"', '"x"'
+    for i in range(200):
+        deep, plain = f'["set",[{deep},["map",[["k{i}",{i}]]]]]', f'[{plain},{{"k{i}":{i}}}]'
+    cells = {"o": '{"a":["uuid","u"],"b":{"c":["set",[1]]}}', "d": deep, "s": '"text"', "w": None, "bad": "{"}
+    df = spark.createDataFrame([(cells,), ({},), (None,)], "cols map<string,string>").coalesce(1)
+    got = [r["cols"] for r in decode_cells(df).collect()]
+    assert tuple(got[0]["o"]) == ("object", None, None, {"a": "u", "b": '{"c":[1]}'}, None)
+    assert got[0]["d"]["set"] == [json.dumps(json.loads(plain)[0], separators=(",", ":")), '{"k199":199}']
+    assert got[0]["s"]["scalar"] == "text" and got[0]["w"]["kind"] == "unknown" and got[0]["bad"]["raw"] == "{" and got[1:] == [{}, None]
+
+
 def test_records_without_an_id(lines):
     df = lines(snap(1, T=(["name"], [["a"], ["b"]])), record(2, "r1", name="x"))
     records = expand_snapshots(parse_snapshots(df))
@@ -139,8 +153,8 @@ def test_prefix_keeps_on_common_rows_only(lines):
     assert kept_by_prefix(lines(rows_of(1), rows_of(2, 7))) == [0]
 
 
-@pytest.mark.parametrize("bins", [Bins(), Bins((18, 16), (5, 20))])
-def test_prefix_against_walking_the_snapshots(lines, bins):
+@pytest.mark.parametrize("parts", [None, 11])
+def test_prefix_against_walking_the_snapshots(lines, parts):
     rnd = random.Random(11)
     snaps = [
         (rnd.choice(["h1", "h1", "h2"]), {t: [rnd.randrange(3) for _ in range(rnd.randrange(3))] for t in "AB"})
@@ -156,7 +170,7 @@ def test_prefix_against_walking_the_snapshots(lines, bins):
             if ref is None or any(a != b for t in ref for a, b in zip(ref[t], tables[t])):
                 want.append(i)
                 ref = tables
-    assert kept_by_prefix(df, bins=bins) == sorted(want)
+    assert kept_by_prefix(df, parts=parts) == sorted(want)
 
 
 def test_rekey_takes_the_first_known_interface(lines):
