@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from statetrail.functions import patterns as P
 from statetrail.functions.jsontext import json_object, text_of
+from statetrail.functions.let import let
 from statetrail.functions import tagged
 from statetrail.operators.apart import aggregate_apart, distinct_apart
 from statetrail.operators.changes import found_again, slim_changes
@@ -40,11 +41,13 @@ def _data(table: Column) -> Column:
 
 def _row_texts(table: Column, ignored: str) -> Column:
     """Rows of a table as arrays of cell texts, one column left out."""
-    skip = F.array_position(_headings(table), ignored) - 1
-    return F.transform(
-        _data(table),
-        lambda row: F.transform(row, lambda c, i: F.when(skip == i, None).otherwise(F.to_json(c))),
-    )
+
+    def texts(skip: Column) -> Column:
+        cells = lambda row: F.transform(row, lambda c, i: F.when(skip == i, None).otherwise(F.to_json(c)))
+        return F.transform(_data(table), cells)
+
+    # bound once: inside the lambdas it would be looked up for every cell
+    return let(F.coalesce(F.array_position(_headings(table), ignored), F.lit(0)) - 1, texts)
 
 
 def _digest(value: Column) -> Column:
@@ -57,12 +60,8 @@ def snapshot_digest(tables: Column, ignored: str = "statistics") -> Column:
     The digest stands for the snapshot in comparisons, so that shuffles and sorts
     do not compare whole databases.
     """
-    content = F.transform(
-        F.sort_array(F.map_keys(tables)),
-        lambda name: F.struct(
-            name.alias("table"), _row_texts(F.element_at(tables, name), ignored).alias("rows")
-        ),
-    )
+    entries = F.array_sort(F.map_entries(tables), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    content = F.transform(entries, lambda e: F.struct(e["key"].alias("table"), _row_texts(e["value"], ignored).alias("rows")))
     return _digest(content)
 
 
@@ -90,9 +89,11 @@ def snapshot_changes(
     return found_again(digested, kept, ["seq"]) if whole else kept
 
 
-def _zip_row(headings: Column, row: Column) -> Column:
-    """Map of column to JSON text, up to the shorter side, last of equal headings."""
-    plain = (F.size(headings) == F.size(row)) & (F.size(F.array_distinct(headings)) == F.size(headings))
+def _zip_row(headings: Column, row: Column, distinct: Column) -> Column:
+    """Map of column to JSON text, up to the shorter side, last of equal headings.
+
+    ``distinct`` says that no headings are equal, as it is for all rows of a table."""
+    plain = (F.size(headings) == F.size(row)) & distinct
     n = F.least(F.size(headings), F.size(row))
     names = F.slice(headings, 1, n)
     entries = F.transform(
@@ -109,24 +110,31 @@ def expand_snapshots(snapshots: DataFrame) -> DataFrame:
     ``cols``, a map of column name to cell as JSON text."""
     kept = [c for c in snapshots.columns if c not in ("tables", "value", "parse_ok", "digest")]
     tables = snapshots.select(*kept, F.explode("tables").alias("table", "_table"))
-    rows = tables.select(
-        *kept, "table", _headings(F.col("_table")).alias("_headings"), F.posexplode(_data(F.col("_table"))).alias("row_pos", "_row")
+    h = F.col("_headings")
+    # what holds for all rows of a table is worked out before they are dealt out
+    named = tables.select(*kept, "table", "_table", _headings(F.col("_table")).alias("_headings")).select(
+        "*", (F.size(F.array_distinct(h)) == F.size(h)).alias("_distinct"), _from_end(h).alias("_id_at")
     )
+    rows = named.select(*kept, "table", "_headings", "_distinct", "_id_at", F.posexplode(_data(F.col("_table"))).alias("row_pos", "_row"))
     return rows.select(
         *kept,
         "table",
         "row_pos",
-        _record_id(F.col("_headings"), F.col("_row")).alias("record_id"),
-        _zip_row(F.col("_headings"), F.col("_row")).alias("cols"),
+        _record_id(F.col("_id_at"), F.col("_row")).alias("record_id"),
+        _zip_row(h, F.col("_row"), F.col("_distinct")).alias("cols"),
     )
 
 
-def _record_id(headings: Column, row: Column) -> Column:
+def _from_end(headings: Column) -> Column:
+    """Place of the last ``_uuid`` heading, from 0; NULL without one."""
+    back = F.array_position(F.reverse(headings), "_uuid")
+    return F.when(back > 0, F.size(headings) - back).cast("int")
+
+
+def _record_id(at: Column, row: Column) -> Column:
     """Id out of the ``_uuid`` cell, read from the row so that a query for ids does
     not build the columns."""
-    from_end = F.array_position(F.reverse(headings), "_uuid")
-    cell = F.when(from_end > 0, F.get(row, (F.size(headings) - from_end).cast("int")))
-    return F.try_variant_get(cell, "$[1]", "string")
+    return F.try_variant_get(F.get(row, at), "$[1]", "string")
 
 
 def first_records(records: DataFrame, n: int = 10) -> DataFrame:
