@@ -136,9 +136,12 @@ def streams(rows: DataFrame) -> DataFrame:
     same = same.withColumns({"bucket": F.substring("key", 1, DIGITS), "words": F.col("size") * F.col("copies")})
     before = (Window.unboundedPreceding, -1)
     none = F.lit(0).cast("bigint")
-    totals = same.groupBy("of", "bucket").agg(F.sum("words").alias("words"))
-    far = F.coalesce(F.sum("words").over(Window.partitionBy("of").orderBy("bucket").rowsBetween(*before)), none)
-    ahead = totals.select("of", "bucket", far.alias("far"))
+    # buckets are summed up inside groups of 256, then the 256 groups of a source
+    totals = same.groupBy("of", "bucket").agg(F.sum("words").alias("words")).withColumn("group", F.substring("bucket", 1, DIGITS // 2))
+    inner = F.coalesce(F.sum("words").over(Window.partitionBy("of", "group").orderBy("bucket").rowsBetween(*before)), none)
+    outer = F.coalesce(F.sum("words").over(Window.partitionBy("of").orderBy("group").rowsBetween(*before)), none)
+    groups = totals.groupBy("of", "group").agg(F.sum("words").alias("words")).select("of", "group", outer.alias("outer"))
+    ahead = totals.withColumn("inner", inner).join(groups, ["of", "group"]).select("of", "bucket", (F.col("inner") + F.col("outer")).alias("far"))
     near = F.coalesce(F.sum("words").over(Window.partitionBy("of", "bucket").orderBy("key", "doc_id", "size").rowsBetween(*before)), none)
     placed = same.withColumn("near", near).join(ahead, ["of", "bucket"])
     each = placed.select("of", "doc_id", "size", "near", "far", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
