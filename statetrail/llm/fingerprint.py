@@ -5,7 +5,7 @@ sum of the vectors modulo 2**16. The order of paragraphs doesn't matter; a parag
 inserted by adding its vector and deleted by subtracting it (``combine``).
 
 The first 16 components are pieces of xxhash64 values of the whole paragraph: they settle
-equality. The other 128 are sums of a random sign for each piece of three words of the
+equality. The other 128 are sums of a random sign for each piece of up to five words of the
 paragraph. Such sums estimate inner products of the multisets of pieces, so likeness
 follows from two fingerprints alone.
 """
@@ -21,12 +21,14 @@ from statetrail.llm.store import id_of, keyed, settle
 WHOLE, SIGNS = (1, 2, 3, 4), (11, 12)
 MODULUS = 1 << 16
 EQUAL_LANES, LIKE_LANES = 4 * len(WHOLE), 64 * len(SIGNS)
-PIECE = r"[^ \t\r\n]++(?:[ \t\r]++[^ \t\r\n]++){0,2}+"
+#: A piece ends with a word whose last letter is one of a few, or is the fifth word: where pieces
+#: end follows from the words themselves, so a word put in changes the pieces next to it only.
+PIECE = r"(?:[^ \t\r\n]++(?<![aent])[ \t\r]++){0,4}[^ \t\r\n]++"
 LOW_BITS = 0x0000000100000001
 
 
 def units(text: Column) -> Column:
-    """Paragraphs, each marked by a leading line feed, and their pieces of up to three words."""
+    """Paragraphs, each marked by a leading line feed, and their pieces of up to five words."""
     paragraphs = F.transform(F.split(text, "\n", -1), lambda p: F.concat(F.lit("\n"), p))
     return F.concat(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), paragraphs)
 

@@ -184,6 +184,19 @@ def test_fingerprints_add_up(spark):
     assert both["sum"] == v[1] and both["rest"] == v[3] and both.same == 1.0
 
 
+@pytest.mark.parametrize("at", [0, 3, 150, 299])
+def test_likeness_outlives_an_inserted_word(spark, at):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(300)]
+    other = " ".join("".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(300))
+    texts = [" ".join(words), " ".join([*words[:at], "inserted", *words[at:]]), other]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    v = {r.id: r.v for r in fingerprint.fingerprints(frame, ["id"], "t", "v").collect()}
+    pair = spark.createDataFrame([(v[0], v[1], v[2])], "a array<smallint>, b array<smallint>, c array<smallint>")
+    got = pair.select(fingerprint.likeness(F.col("a"), F.col("b")).alias("near"), fingerprint.likeness(F.col("a"), F.col("c")).alias("far")).first()
+    assert got.near > 0.9 and got.far < 0.35
+
+
 def test_fold(spark):
     log = [
         (1, "a", 0, "open", "user", None), (1, "a", 1, "delta", None, "he"), (1, "a", 2, "delta", None, "llo"),
