@@ -17,7 +17,10 @@ def settle(frame: DataFrame) -> DataFrame:
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
     return frame.checkpoint()
 
 
