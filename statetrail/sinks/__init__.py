@@ -1,4 +1,4 @@
-"""Writers. Every one of them refuses to write over an existing result."""
+"""Writers. All but ``write_parts`` refuse to write over an existing result."""
 
 from __future__ import annotations
 
@@ -14,6 +14,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
+def write_parts(df: DataFrame, path: str, by: list[str]) -> None:
+    """Parts of a table, one for each value of ``by``: those in ``df`` are replaced whole, the
+    others stay, so writing the same again adds nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """One JSON object per line, for readers outside Spark."""
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)

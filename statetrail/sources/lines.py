@@ -11,15 +11,15 @@ def read_lines(
     paths: str | list[str],
     strip: str | None = None,
     depth: int = 0,
-    label: tuple[str, str] | None = None,
+    label: tuple[str, str] | list[tuple[str, str]] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Lines of files, directories or globs as ``value``, ``src``, ``seq``.
 
     ``strip`` removes these characters from both ends (``",\\n"`` for line-wise
     JSON). ``depth`` appends that many ``/*`` levels to every path. ``label``
-    names a column and the pattern whose first group finds it in the file path:
-    one job then covers all hosts or splits. ``partitions`` asks for a number of
+    names a column and the pattern whose first group finds it in the file path, or
+    several of both: one job then covers all hosts or splits. ``partitions`` asks for a number of
     partitions; without it the scan sizes its own splits.
 
     ``seq`` is the place of the line: file, offset of the file block, running
@@ -37,8 +37,8 @@ def read_lines(
             F.monotonically_increasing_id().alias("row"),
         ).alias("seq"),
     ]
-    if label is not None:
-        columns.append(F.regexp_extract(path, label[1], 1).alias(label[0]))
+    for name, pattern in [label] if isinstance(label, tuple) else label or []:
+        columns.append(F.regexp_extract(path, pattern, 1).alias(name))
     lines = spark.read.text([p.rstrip("/") + "/*" * depth for p in given]).select(*columns)
     return lines if partitions is None else lines.repartition(partitions)
 

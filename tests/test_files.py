@@ -137,7 +137,55 @@ def test_vm_history_as_json_lines(spark, inputs):
     assert sorted(json.loads(r["state"])["status"] for r in rows) == ["run", "stop"]
 
 
+def test_only_new_splits_are_read(spark, tmp_path):
+    head = " do /srv/app.py:1 7 INFO svc [r u t] "
+    line = lambda s: ts(s) + ".000" + head + VM
+    put(tmp_path / "logs" / "h1" / "s0" / "a", line(1), line(2), "junk " + VM)
+    put(tmp_path / "logs" / "h2" / "s0" / "a", line(3))
+    ids, glob, store = put(tmp_path / "ids", VM), str(tmp_path / "logs/*/*/*"), str(tmp_path / "store")
+    add = lambda: jobs.timeline_add(spark, "log", glob, store, ids)
+    rows = lambda: sorted((r["host"], r["split"], r["ts_text"][-6:-4]) for r in read_table(spark, store + "/rows").collect())
+    assert add() == 2 and rows() == [("h1", "s0", "01"), ("h1", "s0", "02"), ("h2", "s0", "03")]
+    written = {p for p in (tmp_path / "store" / "rows").rglob("*.parquet")}
+    assert add() == 0 and {p for p in (tmp_path / "store" / "rows").rglob("*.parquet")} == written
+    put(tmp_path / "logs" / "h1" / "s1" / "a", line(4))
+    put(tmp_path / "logs" / "h2" / "s0" / "b", line(5))
+    assert add() == 2 and rows()[2:] == [("h1", "s1", "04"), ("h2", "s0", "03"), ("h2", "s0", "05")]
+    assert {p for p in written if "host=h1" in str(p)} <= {p for p in (tmp_path / "store" / "rows").rglob("*.parquet")}
+
+
+def test_vm_history_continues(spark, tmp_path):
+    rnd = random.Random(9)
+    text = lambda i, s: json.dumps({"uuid": VM, "timestamp": ts(i) + ".000", "s": s}) + ","
+    states, store = {}, str(tmp_path / "store")
+    # the second and third splits have later states and late ones
+    for n, seconds in enumerate((range(0, 40, 2), [*range(40, 60), 5, 7, 9], [33, 61])):
+        split = {i: rnd.choice("xy") for i in seconds}
+        states |= split
+        put(tmp_path / "vm" / f"split_{n}", *[text(i, s) for i, s in split.items()])
+        assert jobs.vm_history_add(spark, str(tmp_path / "vm"), store) == 1
+        order = sorted(states)
+        want = [ts(i) + ".000" for j, i in enumerate(order) if j == 0 or states[order[j - 1]] != states[i]]
+        got = jobs.stored_history(spark, store)
+        assert sorted(r["ts_text"] for r in got.collect()) == want and got.agg(F.sum("n")).first()[0] == len(states)
+    assert jobs.vm_history_add(spark, str(tmp_path / "vm"), store) == 0
+
+
+def test_bad_lines_by_policy(spark, inputs):
+    p = lambda name: str(inputs / name)
+    put(inputs / "ids", VM, PORT)
+    jobs.log_timeline(spark, p("logs"), p("out"), p("ids"), bad_lines="quarantine")
+    assert read_table(spark, p("out/parse_ok=true")).count() == 2
+    assert [(r["entity_id"], r["bad_line"]) for r in read_table(spark, p("out/parse_ok=false")).collect()] == [(VM, "junk " + VM)]
+    with pytest.raises(Exception, match="does not parse"):
+        jobs.log_timeline(spark, p("logs"), p("out2"), p("ids"), bad_lines="fail")
+
+
 def test_usage():
+    assert jobs.options_of(jobs.log_timeline, ["--bad-lines=drop"]) == {"bad_lines": "drop"}
+    assert jobs.options_of(jobs.vm_history, ["--json"]) == {"as_json": True}
+    assert jobs.options_of(jobs.vm_history, ["--bad-lines=drop"]) is None and jobs.options_of(jobs.log_timeline, ["--bad-lines=x"]) is None
+    assert jobs.main(["log-timeline", "a", "b", "c", "--no-such"]) == 1
     assert jobs.main([]) == 1
     assert jobs.main(["correlate", "too", "few"]) == 1
     assert jobs.main(["no-such-job"]) == 1
