@@ -106,12 +106,20 @@ def next_flagged(df: DataFrame, keys: list[str], place: str, flag: str, parts: i
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, parts: int | None = None, last: bool = False) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows of a group up to each row, itself
     included; with ``last`` the value of the last row up to it that has one."""
-    rows = ranged(df.withColumn("_given", value), keys, order, parts)
-    fold = (lambda c: F.last(c, ignorenulls=True)) if last else F.sum
-    # ordered inside the aggregate, since a group has no order of its own
-    whole = F.max_by(F.struct("_given"), F.when(F.col("_given").isNotNull(), F.struct(*order)))["_given"] if last else F.sum("_given")
-    ahead = carried(rows, whole, fold)
+    return running_all(df, keys, order, {name: (value, last)}, parts)
+
+
+def running_all(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[Column, bool]], parts: int | None = None) -> DataFrame:
+    """As ``running`` for several values, ``name: (value, last)``, over rows that are written and dealt once."""
+    rows = ranged(df.withColumns({f"_of_{n}": v for n, (v, _) in values.items()}), keys, order, parts)
     so_far = inside(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = _with_carried(rows, ahead, parts).withColumn("_here", fold(F.col("_given")).over(so_far))
-    total = F.coalesce("_here", "_carried") if last else F.coalesce("_here", F.lit(0)) + F.coalesce("_carried", F.lit(0))
-    return seen.withColumn(name, total).drop(*SLICE, "_given", "_here", "_carried")
+    seen, done = dealt(rows, parts), {}
+    for n, (_, last) in values.items():
+        own, ahead = F.col(f"_of_{n}"), f"_ahead_{n}"
+        fold = (lambda c: F.last(c, ignorenulls=True)) if last else F.sum
+        # ordered inside the aggregate, since a group has no order of its own
+        whole = F.max_by(F.struct(own.alias("v")), F.when(own.isNotNull(), F.struct(*order)))["v"] if last else F.sum(own)
+        seen = seen.join(F.broadcast(carried(rows, whole, fold).withColumnRenamed("_carried", ahead)), SLICE, "left")
+        here = fold(own).over(so_far)
+        done[n] = F.coalesce(here, ahead) if last else F.coalesce(here, F.lit(0)) + F.coalesce(ahead, F.lit(0))
+    return seen.withColumns(done).drop(*SLICE, *[f"{x}{n}" for n in values for x in ("_of_", "_ahead_")])

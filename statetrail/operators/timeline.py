@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statetrail.operators.slices import numbered
+from statetrail.operators.apart import aggregate_apart
+from statetrail.operators.slices import numbered, running_all
 
 ORDER = ["ts_text", "seq"]
 #: Characters of the time that an array of the nested form shares: the day.
@@ -64,3 +65,27 @@ def history_summary(states: DataFrame, ops: DataFrame) -> DataFrame:
         F.max("ts_text").alias("last_op"),
     )
     return left.join(right, "entity_id", "left")
+
+
+def history_timeline(states: DataFrame, ops: DataFrame, sources: list[str], parts: int | None = None) -> DataFrame:
+    """Left join of histories and timelines, row by row: ``entity_id, ts_text, seq, kind, state, since, n_<source>..``.
+
+    All states and operations of entities that have a state, in one order of time, an
+    operation before a state of the same time. Each row has the state that holds then and
+    since when (NULL before the first), and how many operations of each source came up to it
+    (NULL for an entity without any). Made by one scan, without pairs; ``states`` need a
+    ``state`` column. Missing entities are left out.
+    """
+    text = states.schema["state"].dataType
+    none = F.lit(None).cast(text).alias("state")
+    events = states.select("entity_id", "ts_text", "seq", F.lit("state").alias("kind"), "state").unionByName(
+        ops.select("entity_id", "ts_text", "seq", F.col("source").alias("kind"), none)
+    ).where("entity_id is not null").withColumn("_after", F.col("kind") == "state")
+    holds = F.when(F.col("_after"), F.struct("state", F.col("ts_text").alias("since")))
+    counts = {f"n_{s}": (F.when(F.col("kind") == s, 1).otherwise(0).cast("bigint"), False) for s in sources}
+    scanned = running_all(events, ["entity_id"], ["ts_text", "_after", "seq"], {"_holds": (holds, True), **counts}, parts)
+    known = aggregate_apart(events, ["entity_id"], F.bool_or("_after").alias("_states"), F.bool_or(~F.col("_after")).alias("_ops"))
+    told = scanned.join(known.where("_states"), "entity_id")
+    return told.select(
+        "entity_id", "ts_text", "seq", "kind", "_holds.state", "_holds.since", *[F.when(F.col("_ops"), F.col(n)).alias(n) for n in counts]
+    )

@@ -30,9 +30,11 @@ BASE = [
     ("us", "cast(user_id as {S})"),
     ("ts_ms", "{ts_ms}"),
     ("ts_sec", "{ts_sec}"),
-    # an entity per user, one per user and week, and one per neighbouring user
+    # an entity per user, one per user and week, one per neighbouring user, and one that seven
+    # of eight users share for a week
     ("uuid", _SHAPE.replace("{h}", "md5(cast(user_id as {S}))")),
     ("vm", _SHAPE.replace("{h}", "md5(cast(user_id as {S})||'/'||{week})")),
+    ("rack", _SHAPE.replace("{h}", "md5(CASE WHEN user_id%8=0 THEN cast(user_id as {S}) ELSE 'all' END||'/rack/'||{week})")),
     ("link", "CASE WHEN event_type='error' THEN 'down' ELSE 'up' END"),
     ("wk", "{week}"),
     ("peer", _SHAPE.replace("{h}", "md5(cast(user_id+1 as {S}))")),

@@ -80,17 +80,24 @@ def _log_table(entity: str = "uuid", where: str = "true") -> str:
     )
 
 
-def _role(entity: str, kind: str) -> str:
+_ROLES = {"log": "click", "msg": "purchase", "db": "signup"}
+_ALL = tuple(_ROLES)
+
+
+def _role(entity: str, kind: str, sources: tuple[str, ...] = _ALL) -> str:
     """Events that stand for a kind of line: all, or one part where states meet operations."""
-    parts = {"log": "('click')", "msg": "('purchase')", "db": "('signup')", "state": "('view', 'error')"}
-    return f"event_type IN {parts[kind]}" if entity == "vm" else "true"
+    if entity == "uuid":
+        return "true"
+    if kind == "state":
+        return "event_type NOT IN (" + ", ".join(f"'{_ROLES[s]}'" for s in sources) + ")"
+    return f"event_type = '{_ROLES[kind]}'"
 
 
-def _changes(entity: str) -> str:
+def _changes(entity: str, sources: tuple[str, ...] = _ALL) -> str:
     """CTE ``s``: change history of the state lines of an entity."""
     return (
         f"s AS (SELECT entity_id, ts_text, seq, state FROM (SELECT {entity} AS entity_id, ts_ms AS ts_text, event_id AS seq, "
-        f"event_type AS state, user_id%4 AS vcpu, lag(event_type) OVER w AS p, lag(user_id%4) OVER w AS pv FROM e WHERE {_role(entity, 'state')} "
+        f"event_type AS state, user_id%4 AS vcpu, lag(event_type) OVER w AS p, lag(user_id%4) OVER w AS pv FROM e WHERE {_role(entity, 'state', sources)} "
         f"WINDOW w AS (PARTITION BY {entity} ORDER BY ts_ms, event_id)) "
         "WHERE p IS NULL OR p IS DISTINCT FROM state OR pv IS DISTINCT FROM vcpu)"
     )
@@ -129,7 +136,7 @@ def _start(seconds: int, ts: str = "ts_text") -> str:
     return f"strftime(CAST({ts} AS TIMESTAMP) - INTERVAL {seconds} SECOND, '%Y-%m-%d %H:%M:%S.%g')"
 
 
-def _pairs(seconds: int, sources: tuple[str, ...] = ("log", "msg", "db"), instant: bool = False) -> str:
+def _pairs(seconds: int, sources: tuple[str, ...] = _ALL, instant: bool = False, entity: str = "vm") -> str:
     """CTEs ending in ``pairs``: state x operation inside the window."""
     inside = (
         f"CAST(o.ts_text AS TIMESTAMP) BETWEEN CAST(s.ts_text AS TIMESTAMP) - INTERVAL {seconds} SECOND AND CAST(s.ts_text AS TIMESTAMP)"
@@ -137,7 +144,7 @@ def _pairs(seconds: int, sources: tuple[str, ...] = ("log", "msg", "db"), instan
         else f"o.ts_text BETWEEN {_start(seconds, 's.ts_text')} AND s.ts_text"
     )
     return (
-        f"{E}, {_changes('vm')}, {_ops('vm', sources)}, "
+        f"{E}, {_changes(entity, sources)}, {_ops(entity, sources)}, "
         "pairs AS (SELECT s.entity_id, s.ts_text, s.seq, s.state, o.source, o.ts_text AS op_ts_text, o.seq AS op_seq, o.payload "
         f"FROM s JOIN ops o ON s.entity_id = o.entity_id AND {inside})"
     )
@@ -152,9 +159,9 @@ def _status() -> str:
     )
 
 
-def _correlated(seconds: int) -> str:
+def _correlated(seconds: int, entity: str) -> str:
     return (
-        f"WITH {_pairs(seconds)}, {_status()}, "
+        f"WITH {_pairs(seconds, entity=entity)}, {_status()}, "
         "flat AS (SELECT entity_id, ts_text, seq, state, source, op_ts_text, op_seq, payload, 'matched' AS status FROM pairs "
         "UNION ALL SELECT entity_id, ts_text, seq, state, source, NULL, NULL, NULL, status FROM st WHERE status <> 'matched')"
     )
@@ -245,7 +252,16 @@ ORACLES: dict[str, str] = {
     "msg_timeline": _timeline("msg"),
     "db_timeline": _timeline("db"),
     "state_timestamps": f"WITH {E}, {_changes('uuid')} SELECT entity_id, ts_text FROM s",
-    "history_left_join": f"WITH {E}, {_changes('vm')}, {_ops('vm', ('db',))}, "
+    "history_timeline": f"WITH {E}, {_changes('vm')}, {_ops('vm')}, "
+    "ev AS (SELECT entity_id, ts_text, seq, 'state' AS kind, state FROM s UNION ALL SELECT entity_id, ts_text, seq, source, NULL FROM ops), "
+    "x AS (SELECT entity_id, ts_text, seq, kind, last_value(state IGNORE NULLS) OVER w AS state, "
+    "last_value(CASE WHEN kind='state' THEN ts_text END IGNORE NULLS) OVER w AS since, "
+    "count(*) FILTER (kind='log') OVER w AS n_log, count(*) FILTER (kind='msg') OVER w AS n_msg, count(*) FILTER (kind='db') OVER w AS n_db FROM ev "
+    "WINDOW w AS (PARTITION BY entity_id ORDER BY ts_text, CASE WHEN kind='state' THEN 1 ELSE 0 END, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+    "SELECT entity_id, ts_text, seq, kind, state, since, "
+    + ", ".join(f"CASE WHEN entity_id IN (SELECT entity_id FROM ops) THEN n_{k} END AS n_{k}" for k in ("log", "msg", "db"))
+    + " FROM x WHERE entity_id IN (SELECT entity_id FROM s)",
+    "history_left_join": f"WITH {E}, {_changes('vm', ('db',))}, {_ops('vm', ('db',))}, "
     "a AS (SELECT entity_id, count(*) AS n_states, min(ts_text) AS first_state, max(ts_text) AS last_state FROM s GROUP BY 1), "
     "b AS (SELECT entity_id, count(*) AS n_ops, min(ts_text) AS first_op, max(ts_text) AS last_op FROM ops GROUP BY 1) "
     "SELECT * FROM a LEFT JOIN b USING (entity_id)",
@@ -278,17 +294,17 @@ ORACLES: dict[str, str] = {
     f"WHERE record_id IN (SELECT record_id FROM rc WHERE {_HAS_IFACE})",
     "iface_rekey": f"WITH {E}, {_RECORDS}, {_REC_CHANGES} SELECT 'if-'||us AS entity_id, record_id, ts_text, seq FROM rc "
     f"WHERE record_id IN (SELECT record_id FROM rc WHERE {_HAS_IFACE})",
-    "lookback_join": f"WITH {_pairs(300)} SELECT {_PAIR} FROM pairs",
+    "lookback_join": f"WITH {_pairs(300, entity='rack')} SELECT {_PAIR} FROM pairs",
     "lookback_day": f"WITH {_pairs(DAY)} SELECT {_PAIR} FROM pairs",
-    "lookback_instant": f"WITH {_pairs(300, ('db',), True)} SELECT {_PAIR} FROM pairs",
+    "lookback_instant": f"WITH {_pairs(300, ('db',), True, 'rack')} SELECT {_PAIR} FROM pairs",
     "lookback_log": _lookback_source("log"),
     "lookback_msg": _lookback_source("msg"),
     "lookback_db": _lookback_source("db"),
     "lookback_status": f"WITH {_pairs(DAY)}, {_status()} SELECT entity_id, ts_text, seq, source, status FROM st",
     "lookback_start": f"WITH {E} SELECT event_id AS seq, ts_ms AS ts_text, {_start(300, 'ts_ms')} AS start_text FROM e",
-    "correlate": _correlated(300) + " SELECT * FROM flat",
-    "correlate_day": _correlated(DAY) + " SELECT * FROM flat",
-    "correlate_sorted": _correlated(300) + " SELECT * EXCLUDE (payload) FROM flat ORDER BY entity_id, ts_text, seq, source, op_ts_text, op_seq",
+    "correlate": _correlated(300, "rack") + " SELECT * FROM flat",
+    "correlate_day": _correlated(DAY, "vm") + " SELECT * FROM flat",
+    "correlate_sorted": _correlated(300, "rack") + " SELECT * EXCLUDE (payload) FROM flat ORDER BY entity_id, ts_text, seq, source, op_ts_text, op_seq",
     "correlate_nested": f"WITH {_pairs(DAY)}, pp AS (SELECT *, {_stretch('ts_text')} - {_stretch('op_ts_text')} AS part FROM pairs), "
     "sp AS (SELECT DISTINCT s.*, coalesce(pp.part, 0) AS part FROM s LEFT JOIN pp USING (entity_id, ts_text, seq)) "
     f"SELECT entity_id, ts_text, seq, part, state, {_list('log')}, {_list('msg')}, {_list('db')} FROM sp s",

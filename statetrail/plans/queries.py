@@ -24,7 +24,9 @@ from statetrail.plans.event_lines import event_lines
 DAY = 86_400
 #: What the events stand for where states meet operations: every event has one part.
 #: Timelines and histories by themselves (entity ``uuid``) read all events in each part.
-ROLES = {"log": ["click"], "msg": ["purchase"], "db": ["signup"], "state": ["view", "error"]}
+#: Where fewer sources take part, the events of the others are states as well.
+ROLES = {"log": ["click"], "msg": ["purchase"], "db": ["signup"]}
+ALL = tuple(ROLES)
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -51,9 +53,13 @@ def bare(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", F.btrim("value", F.lit(",\n")))
 
 
-def role_lines(spark: SparkSession, sf_dir: str, kind: str, entity: str) -> DataFrame:
+def role_lines(spark: SparkSession, sf_dir: str, kind: str, entity: str, sources: tuple[str, ...] = ALL) -> DataFrame:
     lines = event_lines(spark, sf_dir, kind, entity)
-    return lines.filter(F.col("role").isin(ROLES[kind])) if entity == "vm" else lines
+    if entity == "uuid":
+        return lines
+    if kind == "state":
+        return lines.filter(~F.col("role").isin([r for s in sources for r in ROLES[s]]))
+    return lines.filter(F.col("role").isin(ROLES[kind]))
 
 
 def vm_fields(lines: DataFrame) -> DataFrame:
@@ -67,12 +73,12 @@ def vm_fields(lines: DataFrame) -> DataFrame:
     )
 
 
-def vm_states(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
-    return vm_fields(bare(role_lines(spark, sf_dir, "state", entity)))
+def vm_states(spark: SparkSession, sf_dir: str, entity: str = "vm", sources: tuple[str, ...] = ALL) -> DataFrame:
+    return vm_fields(bare(role_lines(spark, sf_dir, "state", entity, sources)))
 
 
-def vm_changes(spark: SparkSession, sf_dir: str, entity: str = "vm") -> DataFrame:
-    states = vm_states(spark, sf_dir, entity).drop("vcpu")
+def vm_changes(spark: SparkSession, sf_dir: str, entity: str = "vm", sources: tuple[str, ...] = ALL) -> DataFrame:
+    states = vm_states(spark, sf_dir, entity, sources).drop("vcpu")
     kept = ch.changes(states, "entity_id", ["ts_text", "seq"], ["state"])
     return kept.select("entity_id", "ts_text", "seq", F.col("status_text").alias("state"))
 
@@ -297,7 +303,12 @@ def state_timestamps(spark, sf_dir):
 
 @query
 def history_left_join(spark, sf_dir):
-    return tl.history_summary(vm_changes(spark, sf_dir), db_ops(spark, sf_dir, "vm"))
+    return tl.history_summary(vm_changes(spark, sf_dir, "vm", ("db",)), db_ops(spark, sf_dir, "vm"))
+
+
+@query
+def history_timeline(spark, sf_dir):
+    return tl.history_timeline(vm_changes(spark, sf_dir), all_ops(spark, sf_dir), co.SOURCES)
 
 
 # -- change histories --------------------------------------------------------
@@ -393,7 +404,7 @@ PAIR = ["entity_id", "ts_text", "seq", "state", "source", "op_ts_text", "op_seq"
 
 @query
 def lookback_join(spark, sf_dir):
-    return lb.lookback(vm_changes(spark, sf_dir), all_ops(spark, sf_dir)).select(*PAIR)
+    return lb.lookback(vm_changes(spark, sf_dir, "rack"), all_ops(spark, sf_dir, "rack")).select(*PAIR)
 
 
 @query
@@ -403,23 +414,23 @@ def lookback_day(spark, sf_dir):
 
 @query
 def lookback_instant(spark, sf_dir):
-    ops = db_ops(spark, sf_dir, "vm")
-    return lb.lookback(vm_changes(spark, sf_dir), ops, compare="instant").select(*PAIR)
+    ops = db_ops(spark, sf_dir, "rack")
+    return lb.lookback(vm_changes(spark, sf_dir, "rack", ("db",)), ops, compare="instant").select(*PAIR)
 
 
 @query
 def lookback_log(spark, sf_dir):
-    return lb.lookback(vm_changes(spark, sf_dir), log_ops(spark, sf_dir, "vm"), DAY).select(*PAIR, "payload")
+    return lb.lookback(vm_changes(spark, sf_dir, "vm", ("log",)), log_ops(spark, sf_dir, "vm"), DAY).select(*PAIR, "payload")
 
 
 @query
 def lookback_msg(spark, sf_dir):
-    return lb.lookback(vm_changes(spark, sf_dir), msg_ops(spark, sf_dir, "vm"), DAY).select(*PAIR, "payload")
+    return lb.lookback(vm_changes(spark, sf_dir, "vm", ("msg",)), msg_ops(spark, sf_dir, "vm"), DAY).select(*PAIR, "payload")
 
 
 @query
 def lookback_db(spark, sf_dir):
-    return lb.lookback(vm_changes(spark, sf_dir), db_ops(spark, sf_dir, "vm"), DAY).select(*PAIR, "payload")
+    return lb.lookback(vm_changes(spark, sf_dir, "vm", ("db",)), db_ops(spark, sf_dir, "vm"), DAY).select(*PAIR, "payload")
 
 
 @query
@@ -434,28 +445,28 @@ def lookback_start(spark, sf_dir):
     return states.select("seq", "ts_text", clock.lookback_start(F.col("ts_text"), 300).alias("start_text"))
 
 
-def correlated(spark, sf_dir, seconds=300):
+def correlated(spark, sf_dir, entity, seconds=300):
     """From lines to correlation: histories, their ids, three matched timelines, each written once."""
-    states = settle_rounds(vm_changes(spark, sf_dir))
+    states = settle_rounds(vm_changes(spark, sf_dir, entity))
     ids = en.wanted_ids(states)
-    ops = settle_rounds(co.union_ops([f(spark, sf_dir, "vm", ids) for f in (log_ops, msg_ops, db_ops)]))
+    ops = settle_rounds(co.union_ops([f(spark, sf_dir, entity, ids) for f in (log_ops, msg_ops, db_ops)]))
     return co.correlate(states, ops, seconds=seconds)
 
 
 @query
 def correlate(spark, sf_dir):
-    return correlated(spark, sf_dir)
+    return correlated(spark, sf_dir, "rack")
 
 
 @query
 def correlate_day(spark, sf_dir):
-    return correlated(spark, sf_dir, DAY)
+    return correlated(spark, sf_dir, "vm", DAY)
 
 
 @query
 def correlate_sorted(spark, sf_dir):
-    ops = all_ops(spark, sf_dir)
-    return co.sorted_by_key(co.correlate(vm_changes(spark, sf_dir), ops)).drop("payload")
+    ops = all_ops(spark, sf_dir, "rack")
+    return co.sorted_by_key(co.correlate(vm_changes(spark, sf_dir, "rack"), ops)).drop("payload")
 
 
 @query
