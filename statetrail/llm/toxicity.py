@@ -4,7 +4,7 @@ A document is a bag of sentences. A sentence's complement is that of the logisti
 weights of its words and of their beginnings, divided by that of a sentence without any: so it
 scores 0 without evidence, however many there are. A document scores the noisy-or of its
 sentences over the score of chance, one minus the product of their complements. Weights are learned from labels of whole
-documents of any length, and the sentences that carry a document over the threshold are located
+documents of any length, the bias of a sentence and the score of chance on a part of these labels kept from that fit, and the sentences that carry a document over the threshold are located
 from their own scores.
 """
 
@@ -32,8 +32,9 @@ TRAIN_ROWS = 8_000
 STEPS, RATE, DECAY = 80, 0.2, 1e-4
 #: Share of documents that the fit takes to be labelled toxic without evidence, whatever their length.
 LEAK = 0.05
-#: Bias of a sentence, and the score that one reaches by chance: documents count what is above it.
-BIAS, FLOOR = -6.0, 0.05
+#: Biases of a sentence that the fit chooses from, on learning rows of remainder INNER. The evidence that a
+#: clean sentence has on average there, times MARGIN, is what documents of any length are allowed a sentence.
+BIASES, INNER, MARGIN = (-4.0, -6.0, -8.0), 1, 2.0
 #: Bytes that end a sentence: full stop, exclamation and question mark, line feed.
 ENDS = np.isin(arrays.BYTES, [0x2E, 0x21, 0x3F, 0x0A])
 
@@ -67,10 +68,10 @@ class Bags:
 
 
 class Weights:
-    """Weights of words, by their sorted hashes, and the bias of a sentence."""
+    """Weights of words, by their sorted hashes, the bias of a sentence and the evidence that it may have by chance."""
 
-    def __init__(self, words: np.ndarray, values: np.ndarray, bias: float):
-        self.words, self.values, self.bias = words, values, bias
+    def __init__(self, words: np.ndarray, values: np.ndarray, bias: float, chance: float = 0.0):
+        self.words, self.values, self.bias, self.chance = words, values, bias, chance
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the words have a weight, and its number."""
@@ -87,9 +88,10 @@ def evidence(values: np.ndarray, bias: float, feature: np.ndarray, place: np.nda
     return np.logaddexp(0, z) - np.logaddexp(0, bias)
 
 
-def noisy_or(found: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Scores of documents relative to the floor, so that weak evidence doesn't add up with their length."""
-    return -np.expm1(-np.bincount(owner, np.maximum(found + np.log1p(-FLOOR), 0), n))
+def noisy_or(found: np.ndarray, owner: np.ndarray, sentences: np.ndarray, chance: float, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Scores of documents of so many sentences: every complement is taken relative to that of chance,
+    so that weak evidence doesn't add up with their length."""
+    return -np.expm1(-np.maximum(np.bincount(owner, found * times, len(sentences)) - chance * sentences, 0))
 
 
 def vocabulary(counts: DataFrame) -> tuple[np.ndarray, int]:
@@ -136,23 +138,31 @@ def patterns(owner: np.ndarray, place: np.ndarray, feature: np.ndarray, n: int)
     ]
 
 
-def fit(label: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int, total: int) -> np.ndarray:
-    """Weights of ``size`` words, by Adam on the log-likelihood of the labels, with a quadratic penalty.
+Bag = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    ``bags`` has what ``patterns`` finds in each document, ``total`` is the number of all
-    documents with those that hold no word of the vocabulary. Weights are not negative.
-    """
+
+def flat(bags: list[Bag]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all sentences, the sentence of each, how often each sentence occurs, and its document."""
     counts = np.array([len(times) for _, _, times in bags], np.int64)
-    n, m = len(label), int(counts.sum())
-    owner = np.repeat(np.arange(n), counts)
     none = [np.zeros(0, np.int64)]
     feature = np.concatenate([*none, *(f for f, _, _ in bags)]).astype(np.int64)
     place = np.concatenate([*none, *(s + b for (_, s, _), b in zip(bags, np.cumsum(counts) - counts, strict=True))]).astype(np.int64)
     times = np.concatenate([*none, *(t for _, _, t in bags)]).astype(np.float64)
+    return feature, place, times, np.repeat(np.arange(len(bags)), counts)
+
+
+def fit(label: np.ndarray, bags: list[Bag], size: int, total: float, bias: float) -> np.ndarray:
+    """Weights of ``size`` words, by Adam on the log-likelihood of the labels, with a quadratic penalty.
+
+    ``bags`` has what ``patterns`` finds in each document, ``total`` is the number of all
+    documents with those that hold no word of the vocabulary. Weights are not negative.
+    """
+    feature, place, times, owner = flat(bags)
+    n, m = len(label), len(times)
     w, mean, square = np.zeros((3, size))
-    base = 1 / (1 + np.exp(-BIAS))
+    base = 1 / (1 + np.exp(-bias))
     for step in range(1, STEPS + 1):
-        found = evidence(w, BIAS, feature, place, m)
+        found = evidence(w, bias, feature, place, m)
         whole = 1 - (1 - LEAK) * np.exp(-np.bincount(owner, found * times, n))
         slope = np.where(label == 1, -(1 - whole) / whole, 1.0)[owner] * times
         # the logistic, from the logarithm of its complement
@@ -164,13 +174,33 @@ def fit(label: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     return w
 
 
+def tuned(label: np.ndarray, bags: list[Bag], sentences: np.ndarray, inner: np.ndarray, size: int, total: int) -> tuple[float, float]:
+    """The bias and the evidence of chance, from the ``inner`` documents and weights fitted on the others.
+
+    The bias is the one whose scores of the inner documents lose least.
+    """
+    pick = lambda mask: [b for b, x in zip(bags, mask, strict=True) if x]
+    feature, place, times, owner = flat(pick(inner))
+    told, count = label[inner], sentences[inner]
+    best = (np.inf, BIASES[0], 0.0)
+    for bias in BIASES:
+        w = fit(label[~inner], pick(~inner), size, max(1.0, total * float((~inner).mean())), bias)
+        found = evidence(w, bias, feature, place, len(times))
+        clean = np.bincount(owner, found * times, len(told))[told == 0].sum()
+        chance = MARGIN * clean / max(1, count[told == 0].sum())
+        score = np.clip(noisy_or(found, owner, count, chance, times), 0.01, 0.99)
+        loss = float(-np.where(told == 1, np.log(score), np.log1p(-score)).sum())
+        best = min(best, (loss, bias, chance))
+    return best[1], best[2]
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights:
     """Weights from at most ``rows`` labelled documents outside the held-out fold, each with its whole text.
 
     Which rows: the smallest hashes of ids, alike at every size. Labels other than 0 and 1
     and rows without an id are not learned from; of several labels the largest counts.
     The sample is bounded, so its ids are broadcast. Its words are counted where they are
-    read; one task fits the weights on what is left, sentences of words of the vocabulary.
+    read; one task fits the weights on what is left of them, sentences with words of the vocabulary.
     Without labels no word has a weight.
     """
     wanted = (
@@ -202,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights
                 )
 
     known, total = vocabulary(sample.mapInArrow(counted, "word bigint, docs bigint, toxic bigint"))
-    none = Weights(known[:0], np.zeros(0), BIAS)
+    none = Weights(known[:0], np.zeros(0), BIASES[0])
     if not len(known):
         return none
     shared = docs.sparkSession.sparkContext.broadcast(known)
@@ -214,20 +244,23 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights
                 b, n = Bags(data, borders), len(borders) - 1
                 at, feature = lookup.find(b.words)
                 found = patterns(b.owner, b.place[at], feature, n)
-                held = np.array([len(times) > 0 for _, _, times in found], bool)
                 columns = [pa.array([x[i].astype(np.int64).tobytes() for x in found], pa.binary()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(row, n), batch["toxic"].slice(row, n), *columns], names=["id", "toxic", "feature", "place", "times"],
-                ).filter(pa.array(held))
+                    [batch["doc_id"].slice(row, n), batch["toxic"].slice(row, n), pa.array(np.bincount(b.owner, minlength=n), pa.int64()), *columns],
+                    names=["id", "toxic", "sentences", "feature", "place", "times"],
+                )
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "feature", "place", "times"], kind="stable")
         found = [tuple(np.frombuffer(x, np.int64) for x in r) for r in zip(rows["feature"], rows["place"], rows["times"], strict=True)]
-        return pd.DataFrame({"weights": [fit(rows["toxic"].to_numpy(), found, len(shared.value), total).tobytes()]})
+        label, size = rows["toxic"].to_numpy(), len(shared.value)
+        bias, chance = tuned(label, found, rows["sentences"].to_numpy(), rows["inner"].to_numpy(bool), size, total)
+        return pd.DataFrame({"weights": [fit(label, found, size, total, bias).tobytes()], "bias": [bias], "chance": [chance]})
 
-    bagged = sample.mapInArrow(bags, "id bigint, toxic int, feature binary, place binary, times binary").withColumn("one", F.lit(1))
-    got = bagged.groupBy("one").applyInPandas(fitted, "weights binary").first()
-    return none if got is None else Weights(known, np.frombuffer(got["weights"]), BIAS)
+    bagged = sample.mapInArrow(bags, "id bigint, toxic int, sentences bigint, feature binary, place binary, times binary")
+    bagged = bagged.withColumns({"one": F.lit(1), "inner": fold_of(F.col("id")) == INNER})
+    got = bagged.groupBy("one").applyInPandas(fitted, "weights binary, bias double, chance double").first()
+    return none if got is None else Weights(known, np.frombuffer(got["weights"]), got["bias"], got["chance"])
 
 
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
@@ -246,7 +279,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
                 b, n = Bags(data, borders), len(borders) - 1
                 known, feature = w.find(b.words)
                 found = evidence(w.values, w.bias, feature, b.place[known], len(b.begin))
-                whole = noisy_or(found, b.owner, n)
+                whole = noisy_or(found, b.owner, np.bincount(b.owner, minlength=n), w.chance)
                 bad = np.flatnonzero(-np.expm1(-found) >= 0.5)
                 at = np.searchsorted(b.owner[bad], np.arange(n + 1)).astype(np.int32)
                 text_at = borders[:-1][b.owner[bad]]
@@ -281,6 +314,6 @@ def toxicity_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 b, n = Bags(data, borders), len(borders) - 1
                 known, feature = w.find(b.words)
                 found = evidence(w.values, w.bias, feature, b.place[known], len(b.begin))
-                yield batch.slice(row, n).filter(pa.array(noisy_or(found, b.owner, n) < 0.5))
+                yield batch.slice(row, n).filter(pa.array(noisy_or(found, b.owner, np.bincount(b.owner, minlength=n), w.chance) < 0.5))
 
     return docs.mapInArrow(kept, docs.schema)
