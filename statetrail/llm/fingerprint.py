@@ -134,6 +134,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     A null id counts as the smallest id and a null text as empty. Rows equal in id and text are
     one document and give one row. An empty text has one empty paragraph. No documents, no rows.
+    Likeness compares pieces of words; see ``PIECE``. Texts of any length are one row of a join.
     """
     slim = keyed(docs)
     order = followed(slim.select("k", "h", F.char_length("text").alias("size")).distinct())
@@ -144,11 +145,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         F.struct(F.lit(False).alias("new"), F.col("text").alias("text")),
         F.struct(F.lit(True).alias("new"), F.col("edited").alias("text")),
     )).alias("v")).select(*keys, "v.*")
-    pair = fingerprints(versions, [*keys, "new"], "text", "vector").groupBy(*keys).agg(
-        F.max(F.when(~F.col("new"), F.col("vector"))).alias("own"),
-        F.max(F.when(F.col("new"), F.col("vector"))).alias("changed"),
-    )
-    following = fingerprints(dealt, ["k", "h"], "text", "following").withColumnsRenamed({"k": "nk", "h": "nh"})
+    vectors = settle(fingerprints(versions, [*keys, "new"], "text", "vector"))
+    own = vectors.where(~F.col("new")).select("k", "h", F.col("vector").alias("own"))
+    following = own.toDF("nk", "nh", "following")
+    pair = vectors.where("new").withColumnRenamed("vector", "changed").join(own, ["k", "h"])
     return pair.join(following, ["nk", "nh"]).select(
         id_of(F.col("k")).alias("doc_id"), F.col("size").cast("bigint").alias("n_chars"), "edited_sha256",
         render(F.col("own")).alias("fingerprint"), render(F.col("changed")).alias("edited_fingerprint"),
