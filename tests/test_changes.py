@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from statetrail.operators import slices
 from statetrail.operators.changes import changes
-from statetrail.operators.timeline import history_summary, nested_timeline, timeline
+from statetrail.operators.timeline import history_summary, history_timeline, nested_timeline, timeline
 
 
 def frame(spark, rows):
@@ -153,3 +153,20 @@ def test_history_summary_marks_unknown_entities(spark):
     ops = spark.createDataFrame([("a", "t0")], "entity_id string, ts_text string")
     got = {r["entity_id"]: (r["n_states"], r["n_ops"], r["last_state"]) for r in history_summary(states, ops).collect()}
     assert got == {"a": (2, 1, "t2"), "b": (1, None, "t1")}
+
+
+def test_history_timeline(spark):
+    states = [("a", "t2", 1, "x"), ("a", "t4", 2, "y"), ("b", "t1", 3, "z")]
+    ops = [("a", "log", "t1", 4), ("a", "log", "t2", 5), ("a", "db", "t3", 6), ("c", "log", "t1", 7), (None, "log", "t1", 8)]
+    left = spark.createDataFrame(states, "entity_id string, ts_text string, seq bigint, state string")
+    right = spark.createDataFrame(ops, "entity_id string, source string, ts_text string, seq bigint")
+    for parts in (1, 5):
+        got = sorted(tuple(r) for r in history_timeline(left, right, ["log", "db"], parts).collect())
+        assert sorted(got, key=lambda r: (r[0], r[1], r[2] in (1, 2, 3))) == [
+            ("a", "t1", 4, "log", None, None, 1, 0),
+            ("a", "t2", 5, "log", None, None, 2, 0),
+            ("a", "t2", 1, "state", "x", "t2", 2, 0),
+            ("a", "t3", 6, "db", "x", "t2", 2, 1),
+            ("a", "t4", 2, "state", "y", "t4", 2, 1),
+            ("b", "t1", 3, "state", "z", "t1", None, None),
+        ]

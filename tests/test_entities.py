@@ -1,5 +1,10 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from statetrail.functions import search
+from statetrail.operators import entities as en
 from statetrail.operators.entities import entity_ids, extract_entities, filter_lines, fits_broadcast, match_entities
 
 A = "0cc175b9-c0f1-46b6-831c-399e26977266"
@@ -58,3 +63,50 @@ def test_many_ids_join_by_shuffle(spark, lines):
 def test_entity_ids(spark):
     df = spark.createDataFrame([(A, 1), (A, 2), (B, 3)], "entity_id string, n int")
     assert sorted(r[0] for r in entity_ids(df).collect()) == sorted([A, B])
+
+
+@pytest.mark.parametrize("listed_bytes", [1_000_000, 0])
+def test_lines_find_all_their_ids_and_are_parsed_once(spark, listed_bytes):
+    ids = [f"0cc175b9-c0f1-46b6-831c-{i:012d}" for i in range(300)]
+    texts = [f"x {ids[i]} y {ids[(i * 7) % 300]} z {ids[i]}" for i in range(300)] + ["nothing", None]
+    given = spark.createDataFrame(list(enumerate(texts)), "seq bigint, value string").repartition(3)
+    some = ids[::3]
+    wanted = en.wanted_ids(spark.createDataFrame([(i,) for i in [*some, some[0], None, "not an id"]], "entity_id string"), listed_bytes)
+    assert (wanted.listed is None) == (listed_bytes == 0)
+    found = en.match_lines(given, wanted)
+    got = {r["seq"]: r["entity_ids"] for r in found.collect()}
+    want = {i: [u for u in dict.fromkeys(en_ids(t)) if u in some] for i, t in enumerate(texts[:300])}
+    assert got == {i: u for i, u in want.items() if u}
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def parsed(text):
+        calls.add(1)
+        return text[:1]
+
+    rows = en.per_entity(found.withColumn("p", parsed("value"))).select("seq", "entity_id", "p").collect()
+    assert calls.value == len(got) and len(rows) == sum(map(len, got.values()))
+
+
+def en_ids(text):
+    return re.findall(r"[0-9a-f-]{36}", text)
+
+
+def test_no_wanted_ids_match_nothing(spark):
+    given = spark.createDataFrame([(1, "0cc175b9-c0f1-46b6-831c-399e26977266")], "seq bigint, value string")
+    none = spark.createDataFrame([], "entity_id string")
+    assert en.match_lines(given, none).count() == 0 and en.match_lines(given, None).count() == 1
+
+
+def test_bloom_filter_holds_all_and_little_else(spark):
+    values = spark.range(5000).select(F.col("id").cast("string").alias("v"))
+    words = search.bloom_words(values, "v", 1 << 16)
+    assert len(words) == 1 << 10
+    held = spark.range(15_000).select("id", search.may_hold(words, F.col("id").cast("string"), 1 << 16).alias("m"))
+    assert held.where("id < 5000 and m").count() == 5000 and held.where("id >= 5000 and m").count() < 500
+
+
+def test_bloom_filter_comes_before_the_shuffle(spark):
+    given = spark.createDataFrame([(1, "0cc175b9-c0f1-46b6-831c-399e26977266")], "seq bigint, value string")
+    plan = en.match_entities(given, given.selectExpr("value as entity_id"), broadcast=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("getbit")
