@@ -13,8 +13,8 @@ from statetrail.operators.apart import aggregate_apart
 from statetrail.operators.slices import numbered, running_all
 
 ORDER = ["ts_text", "seq"]
-#: Characters of the time that an array of the nested form shares: the day.
-PART = 10
+#: Characters of the time that an array of the nested form shares: the day. Records that it has at most.
+PART, BLOCK = 10, 10_000
 
 
 def timeline(records: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -34,18 +34,20 @@ def nested_timeline(
     order: list[str] | None = None,
     part_chars: int = PART,
     parts: int | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """``(entity_id, part, records)`` with ``records`` sorted by time and numbered
+    """``(entity_id, part, block, records)`` with ``records`` sorted by time and numbered
     through all parts by ``pos``.
 
-    ``part`` is the beginning of the time that its records share, the day by default:
-    a fixed rule, so results have the same shape at every size.
+    ``part`` is the beginning of the time that its records share, the day by default, and
+    ``block`` counts each ``block`` records of the entity: fixed rules, so results have the
+    same shape at every size, and no array is longer.
     """
     order = order or ORDER
     placed = numbered(records, ["entity_id"], order, parts)
     part = F.substring(F.col(order[0]), 1, part_chars).alias("part")
     item = F.struct("pos", *fields)
-    return placed.groupBy("entity_id", part).agg(F.array_sort(F.collect_list(item)).alias("records"))
+    return placed.groupBy("entity_id", part, F.floor((F.col("pos") - 1) / block).alias("block")).agg(F.array_sort(F.collect_list(item)).alias("records"))
 
 
 def history_summary(states: DataFrame, ops: DataFrame) -> DataFrame:

@@ -246,8 +246,10 @@ ORACLES: dict[str, str] = {
     "state_parse": f"WITH {E} SELECT uuid AS entity_id, ts_ms AS ts_text, event_id AS seq, event_type AS status_text, user_id%4 AS vcpu FROM e",
     "timeline_sorted": f"WITH {E}, {_ops('uuid', ('log',))} SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts_text, seq) AS pos, "
     "ts_text, seq, payload FROM ops",
-    "timeline_group": f"WITH {E}, {_ops('uuid')} SELECT entity_id, substr(ts_text, 1, 10) AS part, count(*) AS n, "
-    "string_agg(source||':'||CAST(seq AS VARCHAR), ',' ORDER BY ts_text, seq, source) AS records FROM ops GROUP BY entity_id, part",
+    "timeline_group": f"WITH {E}, {_ops('uuid')}, x AS (SELECT *, substr(ts_text, 1, 10) AS part, "
+    "(row_number() OVER (PARTITION BY entity_id ORDER BY ts_text, seq, source) - 1) // 50 AS block FROM ops) "
+    "SELECT entity_id, part, block, count(*) AS n, "
+    "string_agg(source||':'||CAST(seq AS VARCHAR), ',' ORDER BY ts_text, seq, source) AS records FROM x GROUP BY entity_id, part, block",
     "log_timeline": _timeline("log"),
     "msg_timeline": _timeline("msg"),
     "db_timeline": _timeline("db"),

@@ -268,10 +268,10 @@ def timeline_sorted(spark, sf_dir):
 
 @query
 def timeline_group(spark, sf_dir):
-    nested = tl.nested_timeline(all_ops(spark, sf_dir, "uuid"), ["seq", "source"])
+    nested = tl.nested_timeline(all_ops(spark, sf_dir, "uuid"), ["seq", "source"], ["ts_text", "seq", "source"], block=50)
     items = F.transform("records", lambda r: F.concat(r["source"], F.lit(":"), r["seq"].cast("string")))
     return nested.select(
-        "entity_id", "part", F.size("records").cast("bigint").alias("n"), F.array_join(items, ",").alias("records")
+        "entity_id", "part", "block", F.size("records").cast("bigint").alias("n"), F.array_join(items, ",").alias("records")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,28 @@ def read_lines(
     return lines if partitions is None else lines.repartition(partitions)
 
 
+def number_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lines`` of ``read_lines``, with ``seq`` as (``file``, ``line``), two numbers, and the files' numbers and paths.
+
+    Files are numbered by path and lines as in their file, from 1. Every block of a file
+    counts its lines; sums over the blocks before give the number of its first one. Rows
+    carry no path any more, the second table has it. The lines are read twice, the first
+    time only to be counted; repartition them afterwards, not before.
+    """
+    place = lines.select(F.col("seq.file").alias("path"), F.col("seq.block").alias("block"), F.col("seq.row").alias("row"))
+    blocks = place.groupBy("path", "block").agg(F.count(F.lit(1)).alias("count"), F.min("row").alias("first"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    # one row a file, so that one task may number them
+    files = place.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("file"))
+    starts = placed.join(files, "path").select(
+        F.struct("path", "block").alias("_block"), "file", (F.col("before") - F.col("first") + 1).alias("_shift")
+    )
+    both = lines.withColumn("_block", F.struct(F.col("seq.file").alias("path"), F.col("seq.block").alias("block"))).join(F.broadcast(starts), "_block")
+    seq = F.struct("file", (F.col("seq.row") + F.col("_shift")).alias("line"))
+    return both.withColumn("seq", seq).drop("src", "_block", "file", "_shift"), files
+
+
 def read_entities(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Distinct entity ids, one per line, exactly as written."""
     given = [paths] if isinstance(paths, str) else list(paths)

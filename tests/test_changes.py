@@ -139,6 +139,7 @@ def test_nested_timeline_parts(spark):
     nested = nested_timeline(df, ["ts_text", "seq"], part_chars=2, parts=9).orderBy("part").collect()
     assert [r["part"] for r in nested] == [f"t{i}" for i in range(7)]
     flat = [(x["ts_text"], x["seq"]) for r in nested for x in r["records"]]
+    assert [len(r["records"]) for r in nested_timeline(df, ["seq"], part_chars=1, block=40).orderBy("block").collect()] == [40, 40, 15]
     assert flat == sorted(flat) and [x["pos"] for r in nested for x in r["records"]] == list(range(1, 96))
 
 

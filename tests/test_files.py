@@ -8,7 +8,7 @@ from statetrail.operators.changes import changes
 from statetrail.operators.parse import parse_states
 from statetrail.plans import jobs
 from statetrail.sinks import write_ids, write_json_lines, write_table
-from statetrail.sources import read_entities, read_lines, read_table
+from statetrail.sources import number_lines, read_entities, read_lines, read_table
 
 VM = "0cc175b9-c0f1-46b6-831c-399e26977266"
 PORT = "92eb5ffe-e6ae-4fec-8ad7-1c777531578f"
@@ -43,6 +43,23 @@ def test_line_order_holds_over_blocks(spark, tmp_path):
     assert got == [f"{i:06d}" for i in range(2000)]
 
 
+def test_line_numbers_are_those_of_the_files(spark, tmp_path):
+    rnd = random.Random(8)
+    texts = {f"f{n}": [f"{n} {i} {'x' * rnd.randrange(80)}" for i in range(rnd.choice([1, 40, 900]))] for n in range(7)}
+    for name, part in texts.items():
+        put(tmp_path / "in" / name, *part)
+    put(tmp_path / "in" / "empty")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        lines, files = number_lines(read_lines(spark, str(tmp_path / "in")))
+        assert lines.columns == ["value", "seq"]
+        names = {r["file"]: r["path"].rsplit("/", 1)[1] for r in files.collect()}
+        got = sorted((names[r["seq"]["file"]], r["seq"]["line"], r["value"]) for r in lines.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((name, i + 1, t) for name, part in texts.items() for i, t in enumerate(part))
+
+
 def test_globs_partitions_and_entities(spark, tmp_path):
     put(tmp_path / "host1" / "svc" / "a.log", "one")
     put(tmp_path / "host2" / "svc" / "b.log", "two")
