@@ -61,7 +61,7 @@ DOCS += [(None, "no id", "s1"), (None, "other no id", "s1"), (None, None, None),
 DOCS += [(500 + i, "few", "z-few") for i in range(3)]
 
 
-@pytest.mark.parametrize("block", [1, 16, 128])
+@pytest.mark.parametrize("block", [16, 128])
 def test_mix_equals_the_walk(spark, block):
     docs = spark.createDataFrame([(*d, 1, 2.0) for d in DOCS], "doc_id bigint, text string, source string, size int, target double").repartition(3)
     got, want = rows(mixing.mix_words(docs, block)), brute(DOCS, block)
