@@ -1,6 +1,20 @@
 """What must not grow with the input: texts of plans, rows of a task."""
 
+import datetime
+
+import pytest
+
 from statetrail.operators import entities as en
+from statetrail.plans import event_lines as el
+
+
+@pytest.fixture
+def sf_dir(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, day + datetime.timedelta(minutes=i), i % 5, ["view", "error", "click"][i % 3], 1.0, "{}") for i in range(100)]
+    made = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
 
 
 def plan(df) -> str:
@@ -15,3 +29,9 @@ def test_a_bloom_filter_is_not_in_the_text_of_the_plan(spark, lines):
     assert sorted(r["seq"] for r in found.collect()) == list(range(10))
     met = en.match_entities(lines(*ids), wanted.ids, broadcast=False)
     assert len(plan(met)) < 100_000 and met.count() == 10
+
+
+def test_lines_are_dealt_to_tasks_of_bounded_length(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(el, "TASK_ROWS", 10, raising=False)
+    made = el.event_lines(spark, sf_dir, "state")
+    assert made.rdd.getNumPartitions() == 10 and made.count() == 100
