@@ -1,9 +1,12 @@
 """What must not grow with the input: texts of plans, rows of a task."""
 
 import datetime
+import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from statetrail.functions import jsontext
 from statetrail.operators import entities as en
 from statetrail.plans import event_lines as el
 
@@ -35,3 +38,11 @@ def test_lines_are_dealt_to_tasks_of_bounded_length(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(el, "TASK_ROWS", 10, raising=False)
     made = el.event_lines(spark, sf_dir, "state")
     assert made.rdd.getNumPartitions() == 10 and made.count() == 100
+
+
+def test_texts_that_are_no_json_are_told_without_parsing_them(spark):
+    texts = ["1", " -2.5e3\n", "true", "null", '"a"', "[1]", ' {"a":1}', "click", "2024-01-01 00:00:00.000", "", "1,2", "1],[2", "truely", "NaN", "- 1", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", F.col("t").rlike(jsontext.MAY_BE_JSON).alias("may"), F.to_json(jsontext.as_variant(F.col("t"))).alias("v")).collect()
+    assert [json.loads(r["v"]) if r["v"] else None for r in rows] == [1, -2500, True, None, "a", [1], {"a": 1}] + [None] * 9
+    assert not any(r["may"] for r in rows if r["t"] in ("click", "2024-01-01 00:00:00.000", "", "1,2"))
