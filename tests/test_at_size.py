@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from statetrail.functions import jsontext
+from statetrail.functions import jsontext, tagged
 from statetrail.operators import entities as en
 from statetrail.plans import event_lines as el
 
@@ -46,3 +46,11 @@ def test_texts_that_are_no_json_are_told_without_parsing_them(spark):
     rows = df.select("t", F.col("t").rlike(jsontext.MAY_BE_JSON).alias("may"), F.to_json(jsontext.as_variant(F.col("t"))).alias("v")).collect()
     assert [json.loads(r["v"]) if r["v"] else None for r in rows] == [1, -2500, True, None, "a", [1], {"a": 1}] + [None] * 9
     assert not any(r["may"] for r in rows if r["t"] in ("click", "2024-01-01 00:00:00.000", "", "1,2"))
+
+
+def test_cells_are_read_by_one_decoder_and_written_as_before():
+    texts = ["a\"\\\n\t\x01\x7f é€", ""]
+    assert [tagged._written([t]) for t in texts] == [json.dumps([t], ensure_ascii=False) for t in texts]
+    made = []
+    load = lambda t: made.append(t) or json.loads(t)
+    assert tagged._decoded_cell('["set",["x"]]', load) == {"kind": "set", "set": ["x"]} and len(made) == 1
