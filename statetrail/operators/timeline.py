@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statetrail.operators.apart import aggregate_apart
-from statetrail.operators.slices import numbered, running_all
+from statetrail.operators.slices import SLICE, numbered, ranged, running_over
 
 ORDER = ["ts_text", "seq"]
 #: Characters of the time that an array of the nested form shares: the day. Records that it has at most.
@@ -85,8 +85,11 @@ def history_timeline(states: DataFrame, ops: DataFrame, sources: list[str], part
     ).where("entity_id is not null").withColumn("_after", F.col("kind") == "state")
     holds = F.when(F.col("_after"), F.struct("state", F.col("ts_text").alias("since")))
     counts = {f"n_{s}": (F.when(F.col("kind") == s, 1).otherwise(0).cast("bigint"), False) for s in sources}
-    scanned = running_all(events, ["entity_id"], ["ts_text", "_after", "seq"], {"_holds": (holds, True), **counts}, parts)
-    known = aggregate_apart(events, ["entity_id"], F.bool_or("_after").alias("_states"), F.bool_or(~F.col("_after")).alias("_ops"))
+    order = ["ts_text", "_after", "seq"]
+    # the written rows serve both, so that histories and operations are made once
+    rows = ranged(events, ["entity_id"], order, parts)
+    scanned = running_over(rows, order, {"_holds": (holds, True), **counts}, parts).drop(*SLICE)
+    known = aggregate_apart(rows, ["entity_id"], F.bool_or("_after").alias("_states"), F.bool_or(~F.col("_after")).alias("_ops"))
     told = scanned.join(known.where("_states"), "entity_id")
     return told.select(
         "entity_id", "ts_text", "seq", "kind", "_holds.state", "_holds.since", *[F.when(F.col("_ops"), F.col(n)).alias(n) for n in counts]

@@ -5,9 +5,12 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from statetrail.functions import jsontext, tagged
+from statetrail.functions import jsontext, search, tagged
 from statetrail.operators import entities as en
+from statetrail.operators import slices as sl
+from statetrail.operators import timeline as tl
 from statetrail.plans import event_lines as el
 
 
@@ -54,3 +57,22 @@ def test_cells_are_read_by_one_decoder_and_written_as_before():
     made = []
     load = lambda t: made.append(t) or json.loads(t)
     assert tagged._decoded_cell('["set",["x"]]', load) == {"kind": "set", "set": ["x"]} and len(made) == 1
+
+
+def test_the_range_of_a_row_is_looked_up_by_compiled_columns(spark):
+    df = spark.createDataFrame([(i,) for i in (-1, 0, 1, 5, 9, 10, 11, None)], "v int")
+    for items in ([], ["0"], ["0", "5"], ["0", "5", "10"], ["0", "0", "5", "10", "10"]):
+        listed = search.literal_list(items, T.IntegerType())
+        found = search.with_count_not_above(df, "n", listed, len(items), F.col("v")).collect()
+        assert [r["n"] for r in found] == [sum(r["v"] is not None and int(i) <= r["v"] for i in items) for r in found]
+    placed = sl.numbered(spark.range(100).selectExpr("id % 3 AS k", "id"), ["k"], ["id"])
+    assert "lambdafunction" not in plan(placed) and {(r["k"], r["id"]): r["pos"] for r in placed.collect()} == {(i % 3, i): i // 3 + 1 for i in range(100)}
+
+
+def test_a_timeline_of_histories_reads_its_input_once(spark):
+    states = spark.range(30).selectExpr("concat('e', id % 4) AS entity_id", "concat('2024-01-01 00:00:', 10 + id) AS ts_text", "id AS seq", "concat('s', id) AS state")
+    ops = spark.range(30).selectExpr("concat('e', id % 3) AS entity_id", "concat('2024-01-01 00:00:', 10 + id) AS ts_text", "id AS seq", "if(id % 2 = 0, 'log', 'msg') AS source")
+    told = tl.history_timeline(states, ops, ["log", "msg"])
+    assert "Range (" not in plan(told)
+    rows = told.where("entity_id = 'e2'").orderBy("ts_text", "kind").collect()
+    assert len(rows) == 17 and rows[-1]["n_log"] + rows[-1]["n_msg"] == 10 and rows[-1]["state"] == "s26"
