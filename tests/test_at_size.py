@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 
 from statetrail.functions import jsontext, search, tagged
 from statetrail.operators import entities as en
+from statetrail.operators import prefix as pf
 from statetrail.operators import slices as sl
+from statetrail.operators import snapshots as sn
 from statetrail.operators import timeline as tl
 from statetrail.plans import event_lines as el
 
@@ -62,8 +64,7 @@ def test_cells_are_read_by_one_decoder_and_written_as_before():
 def test_the_range_of_a_row_is_looked_up_by_compiled_columns(spark):
     df = spark.createDataFrame([(i,) for i in (-1, 0, 1, 5, 9, 10, 11, None)], "v int")
     for items in ([], ["0"], ["0", "5"], ["0", "5", "10"], ["0", "0", "5", "10", "10"]):
-        listed = search.literal_list(items, T.IntegerType())
-        found = search.with_count_not_above(df, "n", listed, len(items), F.col("v")).collect()
+        found = search.with_count_not_above(df, "n", items, T.IntegerType(), F.col("v")).collect()
         assert [r["n"] for r in found] == [sum(r["v"] is not None and int(i) <= r["v"] for i in items) for r in found]
     placed = sl.numbered(spark.range(100).selectExpr("id % 3 AS k", "id"), ["k"], ["id"])
     assert "lambdafunction" not in plan(placed) and {(r["k"], r["id"]): r["pos"] for r in placed.collect()} == {(i % 3, i): i // 3 + 1 for i in range(100)}
@@ -76,3 +77,24 @@ def test_a_timeline_of_histories_reads_its_input_once(spark):
     assert "Range (" not in plan(told)
     rows = told.where("entity_id = 'e2'").orderBy("ts_text", "kind").collect()
     assert len(rows) == 17 and rows[-1]["n_log"] + rows[-1]["n_msg"] == 10 and rows[-1]["state"] == "s26"
+
+
+def test_records_and_snapshots_are_parsed_once_for_their_histories(spark, lines):
+    text = '{"timestamp":"2024-01-01 00:00:0%d","IP":"h","T":{"headings":["_uuid","name","statistics"],"data":[[["uuid","r"],"n%d",%d]]}}'
+    made = lines(*[text % (i, i // 2, i) for i in range(6)])
+    made = made.union(made.where("seq = 2"))  # a place that comes twice is found twice
+    records = sn.expand_snapshots(sn.parse_snapshots(made)).withColumn("name", F.col("cols")["name"])
+    kept = sn.record_changes(records, only=["host", "name"])
+    assert "from_json" not in plan(kept) and "Scan ExistingRDD" in plan(kept)
+    whole = sn.record_changes(records).select(*kept.columns)
+    assert sorted(kept.collect()) == sorted(whole.collect()) and kept.count() == 4
+    digests = sn.parse_snapshots(made).select(F.inline(sn.row_digests(F.col("tables"))))
+    assert [r["row_pos"] for r in digests.collect()] == [0] * 7 and digests.distinct().count() == 3
+
+
+def test_places_without_rows_are_counted_in_prefix_histories(spark, lines):
+    text = '{"timestamp":"2024-01-01 00:00:0%d","IP":"h"%s}'
+    table = ',"T":{"headings":["name"],"data":[["%s"]]}'
+    made = lines(*[text % (i, table % c if c else "") for i, c in enumerate(["", "a", "", "a", "b"])])
+    kept = pf.prefix_changes(sn.parse_snapshots(made))
+    assert [r["seq"] for r in kept.orderBy("seq").collect()] == [0]
