@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from statetrail.functions import jsontext, search, tagged
 from statetrail.operators import entities as en
+from statetrail.operators import lookback as lb
 from statetrail.operators import prefix as pf
 from statetrail.operators import slices as sl
 from statetrail.operators import snapshots as sn
@@ -98,3 +99,24 @@ def test_places_without_rows_are_counted_in_prefix_histories(spark, lines):
     made = lines(*[text % (i, table % c if c else "") for i, c in enumerate(["", "a", "", "a", "b"])])
     kept = pf.prefix_changes(sn.parse_snapshots(made))
     assert [r["seq"] for r in kept.orderBy("seq").collect()] == [0]
+
+
+def test_tasks_of_a_look_back_compare_a_bounded_number_of_pairs(spark, monkeypatch):
+    at = "concat('2024-01-01 00:00:', lpad(id % 60, 2, '0')) AS ts_text"
+    states = spark.range(90).selectExpr("if(id < 60, 'hot', concat('e', id % 7)) AS entity_id", at, "id % 50 AS seq", "concat('s', id) AS state")
+    ops = spark.range(120).selectExpr("if(id < 80, 'hot', concat('e', id % 9)) AS entity_id", at, "id AS seq", "'log' AS source", "repeat('p', 9) AS payload")
+    found = {}
+    for most in (10**9, 500):
+        monkeypatch.setattr(lb, "TASK_PAIRS", most, raising=False)
+        pairs = lb.lookback(states, ops, 300)
+        sizes = [len(p) for p in pairs.rdd.glom().collect()]
+        found[most] = sorted(pairs.collect())
+    assert found[500] == found[10**9] and len(found[500]) > 1_000
+    assert len(sizes) >= 10 and max(sizes) < len(found[500]) / 2
+
+
+def test_a_look_back_gives_an_operation_with_all_its_states(spark):
+    states = spark.range(20).selectExpr("'e' AS entity_id", "concat('2024-01-01 00:00:', 30 + id) AS ts_text", "id AS seq")
+    ops = spark.range(20).selectExpr("'e' AS entity_id", "'2024-01-01 00:00:10' AS ts_text", "id AS seq", "'log' AS source", "'p' AS payload")
+    seqs = [r["op_seq"] for r in lb.lookback(states.hint("merge"), ops.hint("merge"), 300, written=True).collect()]
+    assert len(seqs) == 400 and sum(a != b for a, b in zip(seqs, seqs[1:])) == 19
