@@ -120,3 +120,16 @@ def test_a_look_back_gives_an_operation_with_all_its_states(spark):
     ops = spark.range(20).selectExpr("'e' AS entity_id", "'2024-01-01 00:00:10' AS ts_text", "id AS seq", "'log' AS source", "'p' AS payload")
     seqs = [r["op_seq"] for r in lb.lookback(states.hint("merge"), ops.hint("merge"), 300, written=True).collect()]
     assert len(seqs) == 400 and sum(a != b for a, b in zip(seqs, seqs[1:])) == 19
+
+
+def test_an_interface_id_is_read_from_the_cell_as_it_was_parsed(spark, lines):
+    cells = ['["map",[["iface-id","if-1"],["n",1]]]', '["map",[["iface-id","a"],["iface-id","b"]]]', '["map",[["iface-id",%s]]]' % "1.50e1", '["map",[["iface-id",0.10]]]',
+             '["map",[["iface-id",["uuid","u"]]]]', '["map",[["iface-id",["set",["x"]]]]]', '["map",[["iface-id",null],["k"]]]', '["set",[]]', '"if-1"', "null", '{"iface-id":"x"}', "[]", "7"]
+    headed = lambda h, row: '{"timestamp":"2024-01-01 00:00:00","IP":"h","T":{"headings":[%s],"data":[[["uuid","r"]%s]]}}' % (h, row)
+    texts = [headed('"_uuid","external_ids"', "," + c) for c in cells]
+    twice = '"_uuid","external_ids","external_ids"'
+    texts += [headed(twice, f",{cells[0]},{cells[1]}"), headed(twice, f",{cells[0]}"), headed(twice, ""), headed('"_uuid"', f",{cells[0]}")]
+    records = sn.expand_snapshots(sn.parse_snapshots(lines(*texts)), iface=True)
+    rows = records.select("iface", sn.iface_id(F.col("cols")).alias("read")).collect()
+    assert len(rows) == len(texts) and all(r["iface"] == r["read"] for r in rows), rows
+    assert [r["iface"] for r in rows[:2]] == ["if-1", "b"] and rows[13]["iface"] == "b" and rows[14]["iface"] == "if-1"
