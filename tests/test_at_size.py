@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statetrail.functions import jsontext, search, tagged
+from statetrail.operators import correlate as co
 from statetrail.operators import entities as en
 from statetrail.operators import lookback as lb
 from statetrail.operators import prefix as pf
@@ -133,3 +134,27 @@ def test_an_interface_id_is_read_from_the_cell_as_it_was_parsed(spark, lines):
     rows = records.select("iface", sn.iface_id(F.col("cols")).alias("read")).collect()
     assert len(rows) == len(texts) and all(r["iface"] == r["read"] for r in rows), rows
     assert [r["iface"] for r in rows[:2]] == ["if-1", "b"] and rows[13]["iface"] == "b" and rows[14]["iface"] == "if-1"
+
+
+def test_pairs_are_made_where_they_are_sorted(spark, monkeypatch):
+    at = "if(id % 30 = 7, null, concat('2024-01-01 00:0', id % 4, ':', lpad(id % 60, 2, '0'))) AS ts_text"
+    # some states come twice, some have no time, some no operations
+    states = spark.range(200).selectExpr("if(id < 60, 'hot', concat('e', id % 7)) AS entity_id", at, "id % 50 AS seq", "concat('s', id % 100) AS state")
+    states = states.unionByName(states.limit(70))
+    ops = spark.range(240).selectExpr("if(id < 80, 'hot', concat('e', id % 5)) AS entity_id", at, "id AS seq", "if(id % 3 = 0, 'log', 'msg') AS source", "'p' AS payload")
+    order = ["entity_id", "ts_text", "seq", "source", "op_ts_text", "op_seq"]
+    monkeypatch.setattr(lb, "SORTED_PAIRS", 800)
+    found = co.sorted_by_key(co.correlate(states, ops, ordered=True))
+    plain = co.sorted_by_key(co.correlate(states, ops))
+    assert found.columns == plain.columns
+    assert "rangepartitioning" in plan(plain) and "rangepartitioning" not in plan(found)
+    rows = found.collect()
+    assert [tuple(r[c] for c in order) for r in rows] == [tuple(r[c] for c in order) for r in plain.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, plain.collect())) and len(rows) > 5_000
+    sizes = [len(p) for p in found.rdd.glom().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 2_000
+    # one state with more operations than a task should have is sorted by all columns
+    monkeypatch.setattr(lb, "SORTED_PAIRS", 5)
+    cut = co.sorted_by_key(co.correlate(states, ops, ordered=True))
+    assert "rangepartitioning" in plan(cut) and sorted(map(str, cut.collect())) == sorted(map(str, rows))
+    assert co.sorted_by_key(co.correlate(states.limit(0), ops, ordered=True)).count() == 0
