@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from statetrail.functions import jsontext, search, tagged
 from statetrail.operators import correlate as co
 from statetrail.operators import entities as en
+from statetrail.operators import lineage
 from statetrail.operators import lookback as lb
 from statetrail.operators import prefix as pf
 from statetrail.operators import slices as sl
@@ -158,3 +159,29 @@ def test_pairs_are_made_where_they_are_sorted(spark, monkeypatch):
     cut = co.sorted_by_key(co.correlate(states, ops, ordered=True))
     assert "rangepartitioning" in plan(cut) and sorted(map(str, cut.collect())) == sorted(map(str, rows))
     assert co.sorted_by_key(co.correlate(states.limit(0), ops, ordered=True)).count() == 0
+
+
+def test_prefix_histories_follow_ranges_and_broadcast_no_table(spark, tmp_path, monkeypatch):
+    text = '{"timestamp":"2024-01-01 00:00:00","IP":"h%d","T":{"headings":["name"],"data":[%s]}}'
+    cells = [[f"n{i % 7}", f"m{i // 11}", f"k{i % 2}"][: 1 + i % 3] for i in range(400)]
+    made = [(i, text % (i % 2, ",".join(f'["{c}"]' for c in row))) for i, row in enumerate(cells)]
+    spark.createDataFrame(made, "seq bigint, value string").write.parquet(f"{tmp_path}/lines")
+    want, before = [], {}
+    for i, row in enumerate(cells):
+        if i % 2 not in before or any(a != b for a, b in zip(before[i % 2], row)):
+            before[i % 2] = row
+            want.append(i)
+    plans, sizes = [], []
+
+    def told(df):
+        plans.append(plan(df))
+        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return lineage.settle_rounds(df)
+
+    for at in (pf, sl):
+        monkeypatch.setattr(at, "settle_rounds", told)
+    kept = pf.prefix_changes(sn.parse_snapshots(spark.read.parquet(f"{tmp_path}/lines")), parts=4)
+    assert sorted(r["seq"] for r in kept.collect()) == want and len(want) > 100
+    # an estimate is squared each round; rounds go with the ranges, not with the places
+    assert max(sizes) < 10**1_000 and len(plans) < 20
+    assert not any("BroadcastHashJoin [seq" in p for p in plans)
