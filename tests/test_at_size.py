@@ -124,6 +124,18 @@ def test_a_look_back_gives_an_operation_with_all_its_states(spark):
     assert len(seqs) == 400 and sum(a != b for a, b in zip(seqs, seqs[1:])) == 19
 
 
+def test_pairs_without_payload_repeat_the_shorter_side(spark):
+    states = spark.range(40).selectExpr("'e' AS entity_id", "concat('2024-01-01 00:00:', 20 + id) AS ts_text", "id AS seq")
+    ops = spark.range(40).selectExpr("'e' AS entity_id", "'2024-01-01 00:00:10' AS ts_text", "id AS seq", "'log' AS source", "'p' AS payload")
+    for n_states, n_ops, outer in ((40, 10, "seq"), (10, 40, "op_seq")):
+        some = [states.filter(f"seq < {n_states}").hint("merge"), ops.filter(f"seq < {n_ops}").hint("merge")]
+        pairs = lb.lookback(*some, 300, written=True, payload=False)
+        seqs = [r[outer] for r in pairs.collect()]
+        assert len(seqs) == 400 and sum(a != b for a, b in zip(seqs, seqs[1:])) == 39 and "payload" not in pairs.columns
+        whole = lb.lookback(*some, 300, written=True)
+        assert sorted(whole.drop("payload").collect()) == sorted(pairs.collect()) and whole.columns[-1] == "payload"
+
+
 def test_an_interface_id_is_read_from_the_cell_as_it_was_parsed(spark, lines):
     cells = ['["map",[["iface-id","if-1"],["n",1]]]', '["map",[["iface-id","a"],["iface-id","b"]]]', '["map",[["iface-id",%s]]]' % "1.50e1", '["map",[["iface-id",0.10]]]',
              '["map",[["iface-id",["uuid","u"]]]]', '["map",[["iface-id",["set",["x"]]]]]', '["map",[["iface-id",null],["k"]]]', '["set",[]]', '"if-1"', "null", '{"iface-id":"x"}', "[]", "7"]
