@@ -161,6 +161,8 @@ def test_pairs_are_made_where_they_are_sorted(spark, monkeypatch):
     plain = co.sorted_by_key(co.correlate(states, ops))
     assert found.columns == plain.columns
     assert "rangepartitioning" in plan(plain) and "rangepartitioning" not in plan(found)
+    # the pairs of a task are sorted by one number
+    assert next(x for x in plan(found).split("\n") if " Sort [" in x).count(" ASC") == 1
     rows = found.collect()
     assert [tuple(r[c] for c in order) for r in rows] == [tuple(r[c] for c in order) for r in plain.collect()]
     assert sorted(map(str, rows)) == sorted(map(str, plain.collect())) and len(rows) > 5_000
